@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, secrets
+from . import decontaminate, licenses, secrets, toxicity
 
 
 def queries() -> dict:
     return {
         "op3_license_scan": licenses.op3_license_scan,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op7_secret_scan": secrets.op7_secret_scan,
         "op10_decontamination": decontaminate.op10_decontamination,
     }
