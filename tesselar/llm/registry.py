@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, packing, secrets, toxicity
+from . import decontaminate, jaccard, licenses, packing, secrets, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op3_license_scan": licenses.op3_license_scan,
         "op4_toxicity": toxicity.op4_toxicity,
         "op7_secret_scan": secrets.op7_secret_scan,
+        "op8_jaccard_join": jaccard.op8_jaccard_join,
         "op9_packing": packing.op9_packing,
         "op10_decontamination": decontaminate.op10_decontamination,
     }
