@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, licenses, packing, secrets, toxicity
+from . import audio, decontaminate, jaccard, licenses, packing, secrets, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op1_warc": warc.op1_warc,
+        "op2_telephony_audio": audio.op2_telephony_audio,
         "op3_license_scan": licenses.op3_license_scan,
         "op4_toxicity": toxicity.op4_toxicity,
         "op7_secret_scan": secrets.op7_secret_scan,
@@ -17,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle() -> dict[str, str]:
-    return {"op3_license_scan": licenses.oracle(), "op10_decontamination": decontaminate.ORACLE}
+    return {"op1_warc": warc.ORACLE, "op3_license_scan": licenses.oracle(), "op10_decontamination": decontaminate.ORACLE}
