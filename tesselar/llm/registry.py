@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, chat, decontaminate, jaccard, licenses, packing, secrets, toxicity, warc
+from . import audio, chat, decontaminate, jaccard, language_model, licenses, packing, secrets, toxicity, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_telephony_audio": audio.op2_telephony_audio,
         "op3_license_scan": licenses.op3_license_scan,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_lm_scoring": language_model.op5_lm_scoring,
         "op6_chat_linking": chat.op6_chat_linking,
         "op7_secret_scan": secrets.op7_secret_scan,
         "op8_jaccard_join": jaccard.op8_jaccard_join,
