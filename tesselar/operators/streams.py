@@ -96,8 +96,9 @@ def cdc_full_identity_move(spark, sf_dir):
 
 
 def _stream(spark, sf_dir):
+    """The events table as a stream of files; event time needs an instant, which the session's time zone gives."""
     schema = read(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _collected(spark, stream, mode: str = "append"):
@@ -117,22 +118,19 @@ def cdc_source(spark, sf_dir):
     return _collected(spark, s).agg(F.count("*").alias("n"), F.max("lsn").alias("newest"))
 
 
-_HOUR = "time_bucket(INTERVAL '1 hour', ts)"
-
-
 @query("stream_tumbling", "SELECT event_type, date_trunc('hour', ts)::TIMESTAMP AS start, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_tumbling(spark, sf_dir):
     w = _stream(spark, sf_dir).withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"))
-    return _collected(spark, w.select("event_type", F.col("window.start").alias("start"), "n"), "complete")
+    return _collected(spark, w.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("start"), "n"), "complete")
 
 
 @query("stream_sliding", "SELECT date_trunc('hour', ts)::TIMESTAMP - INTERVAL 1 HOUR * k AS start, count(*) AS n FROM events, (VALUES (0), (1)) t(k) GROUP BY 1")
 def stream_sliding(spark, sf_dir):
     w = _stream(spark, sf_dir).withWatermark("ts", "2 hours").groupBy(F.window("ts", "2 hours", "1 hour")).agg(F.count("*").alias("n"))
-    return _collected(spark, w.select(F.col("window.start").alias("start"), "n"), "complete")
+    return _collected(spark, w.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n"), "complete")
 
 
 @query("stream_session", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts)::TIMESTAMP AS start, count(*) AS n FROM s GROUP BY user_id, k")
 def stream_session(spark, sf_dir):
     w = _stream(spark, sf_dir).withWatermark("ts", "1 hour").groupBy(F.session_window("ts", "30 minutes"), "user_id").agg(F.count("*").alias("n"))
-    return _collected(spark, w.select("user_id", F.col("session_window.start").alias("start"), "n"), "complete")
+    return _collected(spark, w.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n"), "complete")

@@ -50,7 +50,9 @@ def to_text(df: DataFrame) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str, schema: str, header: bool = False, sep: str = ",", null: str = "") -> DataFrame:
     """COPY CSV format: an unquoted null string is null, doubled quotes escape, fields may hold line ends."""
-    return spark.read.csv(path, schema=schema, header=header, sep=sep, nullValue=null, emptyValue="", quote='"', escape='"', multiLine=True)
+    empty = "\x01"  # a quoted empty field; the reader would take an empty string for the null string
+    df = spark.read.csv(path, schema=schema, header=header, sep=sep, nullValue=null, emptyValue=empty, quote='"', escape='"', multiLine=True)
+    return df.select(*(F.when(F.col(f"`{f.name}`") == empty, "").otherwise(F.col(f"`{f.name}`")).alias(f.name) if f.dataType.simpleString() == "string" else F.col(f"`{f.name}`") for f in df.schema))
 
 
 def write_csv(df: DataFrame, path: str, header: bool = False, sep: str = ",", null: str = "", mode: str = "errorifexists") -> None:
