@@ -21,8 +21,10 @@ text columns are read.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,49 +40,45 @@ VOCABULARY = "byte_bpe_50k.json"
 ROUNDS = 2
 #: Pieces dealt to one packing task.
 PER_TASK = 60_000
-CACHE = 400_000
 
-_OTHER_SPACE = re.compile(r"[^\S \n]|  ")
+_UNCOMMON = re.compile(r"[^\n\x20-\x7e\xa1-\u024f]")
 
 
 class Encoder:
-    """Ids of whole texts as little-endian uint32 bytes, by `tokenizers`, with the ids of space-led words kept.
+    """Ids of whole texts as little-endian uint32 bytes.
 
-    The vocabulary's pre-tokenizer never joins what a single space divides, so a
-    text is encoded word by word; a text with other white space, double spaces or
-    a space at its end is encoded in one piece.
+    The ids are those of `tokenizers`.  Texts of common characters (line end,
+    ASCII, Latin letters), on which pre-tokenizers cannot differ, are encoded by
+    `tiktoken` where the folder has the same vocabulary as ranks: it gives the same
+    ids in a fifth of the time.  All other texts are encoded by `tokenizers`.
     """
 
-    def __init__(self, path: str, keep: int = CACHE):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.keep, self.known = keep, {}
+        self.fast = None
+        ranks = path.removesuffix(".json") + ".tiktoken"
+        if os.path.exists(ranks):
+            import base64
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+            import public_tokenizers
+            import tiktoken
+
+            with open(ranks, "rb") as f:
+                pairs = [line.split() for line in f if line.strip()]
+            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(t): int(n) for t, n in pairs}, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [not (t.endswith(" ") or _OTHER_SPACE.search(t)) for t in texts]
-        rest = iter(self._ids([t for t, p in zip(texts, plain, strict=True) if not p]))
-        words = [t.split(" ") if p else None for t, p in zip(texts, plain, strict=True)]
-        heads = iter(self._ids([w[0] for w in words if w]))
-        out, known = [], self.known
-        for w in words:
-            if w is None:
-                out.append(next(rest))
-                continue
-            w[0] = next(heads)
-            try:
-                out.append(w[0] + b"".join([known[x] for x in w[1:]]))
-            except KeyError:
-                new = list({x for x in w[1:] if x not in known})
-                if len(known) + len(new) > self.keep:
-                    known.clear()
-                    new = list(set(w[1:]))
-                known.update(zip(new, self._ids([f" {x}" for x in new]), strict=True))
-                out.append(w[0] + b"".join([known[x] for x in w[1:]]))
+        out: list[bytes] = [b""] * len(texts)
+        rest = [i for i, t in enumerate(texts) if self.fast is None or _UNCOMMON.search(t)]
+        for i, e in zip(rest, self.tok.encode_batch([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = array("I", e.ids).tobytes()
+        skip = set(rest)
+        for i, t in enumerate(texts):
+            if i not in skip:
+                out[i] = array("I", self.fast.encode_ordinary(t)).tobytes()
         return out
 
 
