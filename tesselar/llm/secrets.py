@@ -48,7 +48,7 @@ _ALLOWED = (
     re.compile(r"[0-9]+(?:[-/][0-9]+)*"),
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
 )
-_C_LOG_C = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
+_C_LOG_C = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 2)]
 
 
 def window_entropy(run: str) -> Iterator[float]:
