@@ -11,7 +11,8 @@ Matching.  The lexicon is a trie; a state is the set of (trie node, edits) that
 the Levenshtein automata of all terms can be in, so one run over a word matches
 every term at once.  States are built on demand and kept.  A term of 5 letters
 or more may differ by one edit, of 9 or more by two; the first letter must
-match; a stem matches any word that begins with it.
+match; a stem matches any word that begins with it.  Misspellings count for terms
+of a log ratio of FUZZY_WEIGHT or more only.
 
 Context.  Each hit is read with a window of CONTEXT words on both sides.  A hit
 between quotation marks or after a reporting word counts as quoted; a text whose
@@ -44,7 +45,9 @@ from .common import small_side, stored, table
 SAMPLE = 200_000
 TERMS = 20_000
 MIN_DOCS = 8
-MIN_RATIO = 4.0
+MIN_RATIO = 10.0
+#: Log ratio from which a term's misspellings count.
+FUZZY_WEIGHT = 4.0
 MIN_GAIN = 20.0
 FIT_SAMPLE = 20_000
 MIN_FORMS = 3
@@ -63,14 +66,16 @@ class Matcher:
 
     KEEP = 200_000
 
-    def __init__(self, terms: list[str], stems: list[str]):
+    def __init__(self, terms: list[str], stems: list[str], exact: frozenset[str] = frozenset()):
+        """exact: terms that allow no edits."""
+        self.allowed = {t: 0 if t in exact else self.edits(t) for t in terms}
         self.child: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
         self.stem: list[str | None] = [None]
         self.budget: list[int] = [0]  # most edits that any term below allows
         for kind, words in ((self.term, terms), (self.stem, stems)):
             for w in words:
-                at, most = 0, 0 if kind is self.stem else self.edits(w)
+                at, most = 0, 0 if kind is self.stem else self.allowed[w]
                 for ch in w:
                     if ch not in self.child[at]:
                         self.child[at][ch] = len(self.child)
@@ -103,7 +108,7 @@ class Matcher:
             self.step.append({})
             stems = [self.stem[n] for n, e in positions if e == 0 and self.stem[n]]
             self.accept.append((stems[0], 0) if stems else None)
-            ends = sorted((e, self.term[n]) for n, e in positions if self.term[n] and e <= self.edits(self.term[n]))
+            ends = sorted((e, self.term[n]) for n, e in positions if self.term[n] and e <= self.allowed[self.term[n]])
             self.final.append((ends[0][1], ends[0][0]) if ends else None)
         return self.states[positions]
 
@@ -158,10 +163,14 @@ class Model:
 
     terms: list[str] = field(default_factory=list)
     stems: list[str] = field(default_factory=list)
+    exact: frozenset[str] = frozenset()  # weaker terms, of which misspellings do not count
     weights: dict[tuple[str, int], float] = field(default_factory=dict)  # of (term or stem, edits)
     forms: dict[str, float] = field(default_factory=dict)  # of known words that begin with a stem
     layer: list[float] = field(default_factory=lambda: [0.0] * 6)
 
+    def matcher(self) -> Matcher:
+        return Matcher(self.terms, self.stems, self.exact)
+
     def features(self, hits: dict[str, tuple[str, int]], quoted: bool, n_words: int) -> list[float]:
         w = [self.forms.get(word, self.weights.get(m, 0.0)) if m[1] == 0 else self.weights.get(m, 0.0) for word, m in hits.items()]
         total = sum(x for x in w if x > 0)
@@ -282,7 +291,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fit_sample: in
                 model.forms[c.f] = math.log((c.tox + each) / (c.clean + other)) + math.log(clean / toxic)
 
     few = fold.orderBy(F.xxhash64("id"), "id").limit(fit_sample)
-    parts = (model.terms, model.stems)
+    model.exact = frozenset(t for t in model.terms if model.weights[t, 0] < FUZZY_WEIGHT)
+    parts = (model.terms, model.stems, model.exact)
 
     def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = Matcher(*parts)
@@ -297,7 +307,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fit_sample: in
             if m[1]:
                 near.setdefault(m, [0, 0])[y] += 1
     for w in model.terms:
-        for e in range(1, Matcher.edits(w) + 1):
+        for e in range(1, Matcher.edits(w) + 1) if w not in model.exact else ():
             c, t = near.get((w, e), (0, 0))
             # a rare misspelling leans on the term's own weight; clean texts that have it take that away
             model.weights[w, e] = (4 * 0.6**e * max(model.weights[w, 0], 0.0) + (t + c) * ratio(t, c)) / (4 + t + c)
@@ -314,7 +324,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(model.terms, model.stems)
+        matcher = model.matcher()
         for b in batches:
             yield pd.DataFrame({"id": b["id"], "held_out": b["held_out"], "score": [model.score(t if isinstance(t, str) else None, matcher) for t in b["text"]]})
 
@@ -328,7 +338,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matcher = Matcher(model.terms, model.stems)
+        matcher = model.matcher()
         for texts in batches:
             yield texts.map(lambda t: model.score(t if isinstance(t, str) else None, matcher)).astype("float64")
 
