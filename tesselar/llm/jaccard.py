@@ -11,10 +11,13 @@ whole word sequence if it has fewer words).  Two sets link when 100 * shared >=
   gives the same links; this one keeps candidate lists short.
 * Tiles.  A tile holds the prefix places of one shingle and one size band (sizes
   within a factor 4/3, so linked sets lie in the same or neighbouring bands).
-* First the members of a tile meet its smallest member only, in two offset
-  bandings.  Groups of near copies become connected by that, at a cost in
-  proportion to their size.  Then members of a tile that are not yet connected
-  meet each other.
+* First the members of a tile meet a pivot only, in two offset bandings; then, for
+  ROUNDS rounds in all, those not yet connected with them meet PIVOTS other ones.
+  Pivots go by a hash of the id, so tiles agree on them, and groups of near copies
+  become connected at a cost in proportion to their size.  Last, members of a tile
+  that are still not connected meet each other: those of short lists by a join,
+  those of long lists as matrices of bitmaps, of which only pairs within the bound
+  become rows.
 * Bound.  Parity bitmaps of about two bits per shingle: the bits that differ bound
   the shared shingles from above, pairs that cannot reach the threshold go.
 * The rest is decided by intersecting the sorted arrays.
@@ -43,6 +46,9 @@ PERCENT = 75
 #: Shingles that at least so many texts have (as counted in batches) go to the end of the order, at most HEAVY_MOST of them.
 HEAVY = 64
 HEAVY_MOST = 300_000
+ROUNDS, PIVOTS = 2, 4
+#: Members from which a shingle's list is compared as matrices of bitmaps, in blocks of BLOCK.
+LARGE, BLOCK = 32, 2048
 _CHUNK = 1 << 20
 
 _rng = np.random.default_rng(20240501)
@@ -220,6 +226,66 @@ def _verified(pairs: DataFrame, signed: DataFrame, slim: DataFrame, kind: str) -
     return stored(left.join(side("a"), "a").join(side("b"), "b").where(links("s_a", "s_b")).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "links")
 
 
+def _pivot_pairs(p: DataFrame, seeds: range) -> DataFrame:
+    """Each member of a tile with the tile's pivots, where they are not yet connected; a pivot is the member with the smallest hash under a seed."""
+    out = None
+    for band in ("band", "half"):
+        tile = Window.partitionBy("t", band)
+        pivots = F.array(*(F.min(F.struct(F.xxhash64("id", F.lit(s)).alias("h"), F.col("id").alias("a"), F.col("root").alias("r"))).over(tile) for s in seeds))
+        pairs = p.select("id", "root", pivots.alias("ps")).select("id", "root", F.explode(F.array_distinct("ps")).alias("p")).where("p.r <> root").select(F.least("p.a", "id").alias("a"), F.greatest("p.a", "id").alias("b"))
+        out = pairs if out is None else out.union(pairs)
+    return out.distinct()
+
+
+def _matrix_pairs(ids: np.ndarray, n: np.ndarray, roots: np.ndarray, block: np.ndarray, bits: list[bytes], across: bool) -> list[np.ndarray]:
+    """Pairs of a tile that are not connected and whose bitmaps let them link; across: of different blocks only."""
+    size = np.array([len(b) for b in bits])
+    out = []
+    for width in np.unique(size).tolist():
+        rows = np.flatnonzero(size == width)
+        x = np.frombuffer(b"".join(bits[i] for i in rows), np.uint64).reshape(len(rows), -1)
+        for other in (width, 2 * width):
+            cols = np.flatnonzero(size == other)
+            if not len(cols):
+                continue
+            y = np.frombuffer(b"".join(bits[i] for i in cols), np.uint64).reshape(len(cols), -1)
+            if other != width:
+                y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+            step = max(1, (1 << 22) // max(1, y.size))
+            for at in range(0, len(rows), step):
+                i = rows[at : at + step]
+                differ = np.bitwise_count(x[at : at + step, None, :] ^ y[None]).sum(axis=2, dtype=np.int64)
+                total = n[i][:, None] + n[cols][None]
+                shared = np.minimum((total - differ) // 2, np.minimum(n[i][:, None], n[cols][None]))
+                ok = (100 * shared >= PERCENT * (total - shared)) & (roots[i][:, None] != roots[cols][None])
+                if across:
+                    ok &= block[i][:, None] != block[cols][None]
+                if other == width:
+                    ok &= i[:, None] < cols[None]
+                p, q = np.nonzero(ok)
+                out.append(np.stack([ids[i[p]], ids[cols[q]]], axis=1))
+    return out
+
+
+def _tile_pairs(p: DataFrame, signed: DataFrame, kind: str) -> DataFrame:
+    """Pairs (a, b) of long lists: a tile holds one list, or two blocks of it, and is compared as matrices; only pairs within the bound become rows."""
+    rows = p.select("t", "id", "root", "c").join(signed.select("id", "n", "bits"), "id")
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    rows = rows.withColumn("k", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.withColumn("lo", F.least("k", "j")).withColumn("hi", F.greatest("k", "j"))
+    parts = max(24, -(-p.count() // 20_000))
+    rows = rows.withColumn("g", F.pmod(F.xxhash64("t", "lo", "hi"), F.lit(parts)))
+
+    def compare(b: pd.DataFrame) -> pd.DataFrame:
+        out = [np.zeros((0, 2), b["id"].to_numpy().dtype)]
+        for (_, lo, hi), tile in b.groupby(["t", "lo", "hi"], sort=False):
+            out += _matrix_pairs(tile["id"].to_numpy(), tile["n"].to_numpy(np.int64), tile["root"].to_numpy(), tile["k"].to_numpy(), tile["bits"].tolist(), lo != hi)
+        got = np.unique(np.concatenate(out), axis=0)
+        return pd.DataFrame({"a": np.minimum(got[:, 0], got[:, 1]), "b": np.maximum(got[:, 0], got[:, 1])})
+
+    return rows.groupBy("g").applyInPandas(compare, f"a {kind}, b {kind}")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, class_id (smallest id with an equal set) and component_id (smallest id reachable by links) of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -236,17 +302,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tile = Window.partitionBy("t")
     places = places.withColumn("c", F.count("id").over(tile)).where("c > 1").select("t", "id", "n", F.floor(size).cast("int").alias("band"), F.floor(size + 0.5).cast("int").alias("half"))
     places = stored(places, "places")
-    to_first = [places.select(F.min("id").over(Window.partitionBy("t", band)).alias("a"), F.col("id").alias("b")).where("a <> b").distinct() for band in ("band", "half")]
-    links = _verified(to_first[0].union(to_first[1]).distinct(), reps, slim, kind)
-    near = stored(components(links), "components")
-
-    p = places.join(near, places["id"] == near["node"], "left").select("t", "id", "n", "band", F.coalesce("root", "id").alias("root"))
-    p = p.withColumn("lo", F.min("root").over(tile)).withColumn("hi", F.max("root").over(tile)).where("lo <> hi").select("t", "id", "n", "band", "root")
-    p = stored(p, "open")
+    links, p = None, places.withColumn("root", F.col("id"))
+    for r in range(ROUNDS):
+        found = _verified(_pivot_pairs(p, range(r * PIVOTS, r * PIVOTS + (PIVOTS if r else 1))), reps, slim, kind)
+        links = found if links is None else stored(links.union(found).distinct(), "links")
+        near = stored(components(links), "components")
+        p = places.join(near, places["id"] == near["node"], "left").select("t", "id", "n", "band", "half", F.coalesce("root", "id").alias("root"))
+        p = p.withColumn("lo", F.min("root").over(tile)).withColumn("hi", F.max("root").over(tile)).withColumn("c", F.count("id").over(tile)).where("lo <> hi").drop("lo", "hi")
+        p = stored(p, "open")
+    large_pairs = _tile_pairs(p.where(F.col("c") > LARGE), reps, kind)
+    p = p.where(F.col("c") <= LARGE)
     small = p.select("t", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
     large = p.select("t", "band", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
     open_pairs = large.join(small, ["t", "band"]).where((F.col("root_a") != F.col("root_b")) & (F.struct("n_a", "a") > F.struct("n_b", "b")) & (100 * F.col("n_b") >= PERCENT * F.col("n_a")))
-    more = _verified(open_pairs.select("a", "b").distinct(), reps, slim, kind)
+    more = _verified(open_pairs.select("a", "b").union(large_pairs).distinct(), reps, slim, kind)
     roots = components(links.union(more))
 
     named = of_row.join(roots, of_row["rep"] == roots["node"], "left").select("id", "fp", "rep", F.coalesce("root", "rep").alias("root"))
