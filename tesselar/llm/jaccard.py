@@ -49,6 +49,7 @@ HEAVY_MOST = 300_000
 ROUNDS, PIVOTS = 2, 4
 #: Members from which a shingle's list is compared as matrices of bitmaps, in blocks of BLOCK.
 LARGE, BLOCK = 32, 2048
+GROUP_BYTES = 32 << 20
 _CHUNK = 1 << 20
 
 _rng = np.random.default_rng(20240501)
@@ -269,12 +270,15 @@ def _matrix_pairs(ids: np.ndarray, n: np.ndarray, roots: np.ndarray, block: np.n
 
 def _tile_pairs(p: DataFrame, signed: DataFrame, kind: str) -> DataFrame:
     """Pairs (a, b) of long lists: a tile holds one list, or two blocks of it, and is compared as matrices; only pairs within the bound become rows."""
-    rows = p.select("t", "id", "root", "c").join(signed.select("id", "n", "bits"), "id")
+    # lists of one smallest member go to one group, which gives a pair once; GROUP_BYTES and more of them are dealt to several by shingle
+    rows = p.select("t", "id", "root", "c", F.min("id").over(Window.partitionBy("t")).alias("least")).join(signed.select("id", "n", "bits"), "id")
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     rows = rows.withColumn("k", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.withColumn("lo", F.least("k", "j")).withColumn("hi", F.greatest("k", "j"))
     parts = max(24, -(-p.count() // 20_000))
-    rows = rows.withColumn("g", F.pmod(F.xxhash64("t", "lo", "hi"), F.lit(parts)))
+    weight = rows.groupBy("least").agg(F.ceil(F.sum(F.octet_length("bits") + 64) / GROUP_BYTES).alias("salts"))
+    rows = rows.join(weight, "least")
+    rows = rows.withColumn("g", F.pmod(F.xxhash64("least", "lo", "hi", F.pmod(F.xxhash64("t"), F.col("salts"))), F.lit(parts))).drop("least", "salts")
 
     def compare(b: pd.DataFrame) -> pd.DataFrame:
         out = [np.zeros((0, 2), b["id"].to_numpy().dtype)]
