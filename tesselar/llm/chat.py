@@ -1,8 +1,8 @@
 """Tool-call linking (DataFrame functions only).
 
 Calls and results are hash-joined by identifier.  Calls are put into topological
-order by Kahn's rounds: a call's level is one more than the largest level of the
-calls it depends on.  Arguments are validated against schemas, and calls are
+order: a call's level is one more than the largest level of the calls it depends
+on.  Chains are resolved by pointer doubling, what branches by Kahn's rounds.  Arguments are validated against schemas, and calls are
 serialised as canonical JSON: keys sorted, no white space.
 
 Edge cases: arguments that are not a JSON object are invalid and serialised as a
@@ -55,27 +55,51 @@ def violations(arguments: Column, schema: dict) -> Column:
 
 
 def levels(depends: DataFrame, most: int = 1000) -> DataFrame:
-    """depends (call_id, on_id) -> call_id, level of every call that depends on a known call; null level on and behind a cycle.
+    """depends (call_id, on_id) -> call_id, level of every call that depends on something; null level on and behind a cycle.
 
-    Each round places the calls whose dependencies are all placed, and is stored.
+    Calls with one dependency form chains: pointers are doubled until each chain's
+    head is found, so a chain of n calls takes log2 n rounds.  Calls with several are
+    then placed by Kahn's rounds over the contracted graph.  Each round is stored.
     """
-    left = stored(depends.select("call_id", "on_id").where("call_id is not null and on_id is not null").distinct(), "depends")
-    calls = left.select("call_id").distinct()
-    placed = left.select(F.col("on_id").alias("call_id")).distinct().join(calls, "call_id", "left_anti").withColumn("level", F.lit(0))
-    done = None
-    for level in range(1, most + 1):
-        left = left.join(placed.select(F.col("call_id").alias("on_id")), "on_id", "left_anti").select("call_id", "on_id")
-        now = calls.join(left.select("call_id").distinct(), "call_id", "left_anti").withColumn("level", F.lit(level))
-        now = stored(now, "level")
-        done = now if done is None else done.unionByName(now)
-        n = now.limit(1).count()
-        if n:
-            calls = stored(calls.join(now, "call_id", "left_anti"), "calls")
-            left = stored(left, "depends")
-            placed = now
-        if not n or not calls.limit(1).count():
+    edges = stored(depends.select("call_id", "on_id").where("call_id is not null and on_id is not null").distinct(), "depends")
+    degree = edges.groupBy("call_id").agg(F.count("on_id").alias("n"), F.min("on_id").alias("up"))
+    chain = stored(degree.where("n = 1").select(F.col("call_id").alias("v"), "up", F.lit(1).cast("long").alias("d")), "chain").withColumn("done", F.lit(False))
+    before = None
+    while True:
+        # done: the pointer has left the chains; those that never do run in a cycle, and then a round resolves nothing
+        nxt = chain.select(F.col("v").alias("up"), F.col("up").alias("up2"), F.col("d").alias("d2"))
+        moved = chain.join(nxt, "up", "left").select("v", F.coalesce("up2", "up").alias("up"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d"), F.col("up2").isNull().alias("done"))
+        chain = stored(moved, "chain")
+        still = chain.where("not done").count()
+        if not still or still == before:
             break
-    return done.unionByName(calls.withColumn("level", F.lit(None).cast("int")))
+        before = still
+    heads = chain.where("done").select("v", F.col("up").alias("head"), "d")
+    several = degree.where("n > 1").select("call_id")
+    if not several.limit(1).count():
+        known = heads.select(F.col("v").alias("call_id"), F.col("d").cast("int").alias("level"))
+        return known.unionByName(chain.where("not done").select(F.col("v").alias("call_id"), F.lit(None).cast("int").alias("level")))
+    # dependencies of the calls with several, as (head, distance); one that runs in a cycle has no head and stays open
+    left = edges.join(several, "call_id", "left_semi").join(chain.select(F.col("v").alias("on_id"), F.when(F.col("done"), F.col("up")).alias("head"), F.col("d"), F.lit(True).alias("chained")), "on_id", "left")
+    left = stored(left.select("call_id", F.when(F.col("chained"), F.col("head")).otherwise(F.col("on_id")).alias("head"), F.coalesce("d", F.lit(0)).alias("d")), "left")
+    level = several.withColumn("level", F.lit(None).cast("long"))
+    placed = stored(level.where("level is not null"), "placed")
+    count = 0
+    for _ in range(most):
+        open_calls = several.join(placed, "call_id", "left_anti")
+        at = left.join(open_calls, "call_id", "left_semi").join(placed.select(F.col("call_id").alias("head"), F.col("level").alias("l")), "head", "left")
+        at = at.join(several.select(F.col("call_id").alias("head"), F.lit(True).alias("inner")), "head", "left")
+        known = F.when(F.col("head").isNotNull(), F.when(F.col("inner"), F.col("l")).otherwise(F.lit(0)))
+        now = at.groupBy("call_id").agg(F.max(known + F.col("d") + 1).alias("level"), F.sum(known.isNull().cast("int")).alias("missing")).where("missing = 0").select("call_id", "level")
+        placed = stored(placed.unionByName(now), "placed")
+        n = placed.count()
+        if n == count:
+            break
+        count = n
+    all_heads = heads.join(placed.select(F.col("call_id").alias("head"), "level"), "head", "left").join(several.select(F.col("call_id").alias("head"), F.lit(True).alias("inner")), "head", "left")
+    single = all_heads.select(F.col("v").alias("call_id"), F.when(F.col("inner"), F.col("level") + F.col("d")).otherwise(F.col("d")).cast("int").alias("level"))
+    single = single.unionByName(chain.where("not done").select(F.col("v").alias("call_id"), F.lit(None).cast("int").alias("level")))
+    return single.unionByName(several.join(placed, "call_id", "left").select("call_id", F.col("level").cast("int").alias("level")))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], most: int = 1000) -> DataFrame:
