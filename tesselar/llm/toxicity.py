@@ -11,8 +11,10 @@ Matching.  The lexicon is a trie; a state is the set of (trie node, edits) that
 the Levenshtein automata of all terms can be in, so one run over a word matches
 every term at once.  States are built on demand and kept.  A term of 5 letters
 or more may differ by one edit, of 9 or more by two; the first letter must
-match; a stem matches any word that begins with it.  Misspellings count for terms
-of a log ratio of FUZZY_WEIGHT or more only.
+match; a stem matches any word that begins with it, or with a misspelling of it
+by the same rule.  The known toxic forms of a stem are terms too, so that a
+misspelling is judged by the length of the whole word.  Misspellings count for
+terms of a log ratio of FUZZY_WEIGHT or more, and for stems and their forms.
 
 Context.  Each hit is read with a window of CONTEXT words on both sides.  A hit
 between quotation marks or after a reporting word counts as quoted; a text whose
@@ -69,13 +71,14 @@ class Matcher:
     def __init__(self, terms: list[str], stems: list[str], exact: frozenset[str] = frozenset()):
         """exact: terms that allow no edits."""
         self.allowed = {t: 0 if t in exact else self.edits(t) for t in terms}
+        self.stem_allowed = {s: self.edits(s) for s in stems}
         self.child: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
         self.stem: list[str | None] = [None]
         self.budget: list[int] = [0]  # most edits that any term below allows
-        for kind, words in ((self.term, terms), (self.stem, stems)):
+        for kind, words, allowed in ((self.term, terms, self.allowed), (self.stem, stems, self.stem_allowed)):
             for w in words:
-                at, most = 0, 0 if kind is self.stem else self.allowed[w]
+                at, most = 0, allowed[w]
                 for ch in w:
                     if ch not in self.child[at]:
                         self.child[at][ch] = len(self.child)
@@ -106,8 +109,8 @@ class Matcher:
             self.states[positions] = len(self.sets)
             self.sets.append(positions)
             self.step.append({})
-            stems = [self.stem[n] for n, e in positions if e == 0 and self.stem[n]]
-            self.accept.append((stems[0], 0) if stems else None)
+            stems = sorted((e, self.stem[n]) for n, e in positions if self.stem[n] and e <= self.stem_allowed[self.stem[n]])
+            self.accept.append((stems[0][1], stems[0][0]) if stems else None)
             ends = sorted((e, self.term[n]) for n, e in positions if self.term[n] and e <= self.allowed[self.term[n]])
             self.final.append((ends[0][1], ends[0][0]) if ends else None)
         return self.states[positions]
@@ -134,18 +137,22 @@ class Matcher:
         return self._state(frozenset(best.items()))
 
     def run(self, word: str) -> tuple[str, int] | None:
-        """(term or stem, edits) that the word matches best."""
-        at = 0
+        """(term or stem, edits) that the word matches best; a stem without edits first, then a term before a stem of as many edits."""
+        at, near = 0, None
         for ch in word:
             nxt = self.step[at].get(ch)
             if nxt is None:
                 nxt = self.step[at][ch] = self._next(at, ch)
             at = nxt
-            if self.accept[at]:
-                return self.accept[at]
+            begun = self.accept[at]
+            if begun and begun[1] == 0:
+                return begun
+            if begun and (near is None or begun[1] < near[1]):
+                near = begun
             if not self.sets[at]:
-                return None
-        return self.final[at]
+                return near
+        end = self.final[at]
+        return end if end and (near is None or end[1] <= near[1]) else near
 
     def match(self, word: str) -> tuple[str, int] | None:
         try:
@@ -289,9 +296,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fit_sample: in
         for c in candidates:
             if not c.stem and c.f.startswith(s.f):
                 model.forms[c.f] = math.log((c.tox + each) / (c.clean + other)) + math.log(clean / toxic)
-
+    forms = sorted(f for f, w in model.forms.items() if w > 0)
+    model.weights = {(f, 0): model.forms[f] for f in forms} | model.weights
     few = fold.orderBy(F.xxhash64("id"), "id").limit(fit_sample)
     model.exact = frozenset(t for t in model.terms if model.weights[t, 0] < FUZZY_WEIGHT)
+    model.terms += forms
     parts = (model.terms, model.stems, model.exact)
 
     def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -306,7 +315,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fit_sample: in
         for m in set(h.values()):
             if m[1]:
                 near.setdefault(m, [0, 0])[y] += 1
-    for w in model.terms:
+    for w in dict.fromkeys(model.terms + model.stems):
         for e in range(1, Matcher.edits(w) + 1) if w not in model.exact else ():
             c, t = near.get((w, e), (0, 0))
             # a rare misspelling leans on the term's own weight; clean texts that have it take that away
