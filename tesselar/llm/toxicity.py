@@ -45,7 +45,6 @@ from pyspark.sql import functions as F
 from .common import small_side, stored, table
 
 SAMPLE = 200_000
-TERMS = 20_000
 MIN_DOCS = 8
 MIN_RATIO = 10.0
 #: Log ratio from which a term's misspellings count.
@@ -226,8 +225,8 @@ def _with_text(docs: DataFrame, fold: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("id"), "text").join(small_side(fold, 32), "id").where("text is not null")
 
 
-def _candidates(rows: DataFrame) -> list:
-    """Words and beginnings with how many toxic and clean texts have them; the TERMS most frequent in toxic texts."""
+def _counts(rows: DataFrame) -> DataFrame:
+    """Words and beginnings with how many toxic and clean texts have them, from MIN_DOCS / 2 toxic texts on; stored."""
     word = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
     lo, hi = STEM
     r = rows.select("toxic", F.explode(F.filter(word, lambda w: F.length(w) >= 3)).alias("w"))
@@ -235,32 +234,43 @@ def _candidates(rows: DataFrame) -> list:
     parts = F.array(F.struct(F.lit(False).alias("stem"), F.col("w").alias("f")), *(F.struct(F.lit(True).alias("stem"), F.when(F.length("w") > k, F.substring("w", 1, k)).alias("f")) for k in range(lo, hi)))
     n = n.select("tox", "clean", F.explode(parts).alias("p")).where("p.f is not null")
     n = n.groupBy("p.stem", "p.f").agg(F.sum("tox").alias("tox"), F.sum("clean").alias("clean"), F.sum((F.col("tox") > 0).cast("int")).alias("forms"), F.count(F.lit(1)).alias("words"))
-    return n.where(F.col("tox") >= MIN_DOCS / 2).orderBy(F.desc("tox"), "stem", "f").limit(TERMS).collect()
+    return stored(n.where(F.col("tox") >= MIN_DOCS / 2), "counts")
 
 
-def choose(candidates: list, toxic: int, clean: int) -> tuple[list, list]:
-    """Terms and stems by the likelihood ratio of their counts; of nested stems the strongest stays."""
+def _stem_of(word: str, stems: dict) -> str | None:
+    return next((word[:k] for k in range(*STEM) if word[:k] in stems), None)
+
+
+def choose(counts: DataFrame, toxic: int, clean: int) -> tuple[list, list, dict[str, list]]:
+    """Terms and stems by the likelihood ratio of their counts, of nested stems the strongest, and the known words of each stem.
+
+    Only what is strong enough is fetched, then the words below the stems.
+    """
     if not toxic or not clean:
-        return [], []
-    scale = clean / toxic
-
-    def gain(c) -> float:
-        share = (toxic * (c.tox + c.clean)) / (toxic + clean)
-        rest = (c.tox + c.clean) - share
-        g = c.tox * math.log(c.tox / share) + (c.clean * math.log(c.clean / rest) if c.clean else 0.0)
-        return g if c.tox > share else 0.0
-
-    strong = [(gain(c), c) for c in candidates if c.tox >= MIN_DOCS and (c.tox + 0.5) * scale >= MIN_RATIO * (c.clean + 0.5)]
-    stems: list = []
-    for g, c in sorted((x for x in strong if x[1].stem and x[1].forms >= MIN_FORMS), key=lambda x: (-x[0], x[1].f)):
-        if g >= MIN_GAIN and not any(c.f.startswith(s.f) or s.f.startswith(c.f) for s in stems):
-            stems.append(c)
-    words = [c for g, c in strong if not c.stem and g >= MIN_GAIN / 2]
+        return [], [], {}
+    tox, clear = F.col("tox").cast("double"), F.col("clean").cast("double")
+    share = (tox + clear) * (toxic / (toxic + clean))
+    gain = tox * F.log(tox / share) + F.when(clear > 0, clear * F.log(clear / (tox + clear - share))).otherwise(0.0)
+    strong = counts.where((tox >= MIN_DOCS) & ((tox + 0.5) * (clean / toxic) >= MIN_RATIO * (clear + 0.5)) & (tox > share)).withColumn("gain", gain)
+    strong = strong.where(F.when(F.col("stem"), (F.col("forms") >= MIN_FORMS) & (F.col("gain") >= MIN_GAIN)).otherwise(F.col("gain") >= MIN_GAIN / 2)).collect()
+    # of equal gains the first by letters
+    stems: dict = {}
+    inner: set[str] = set()  # beginnings of the stems
+    for c in sorted((c for c in strong if c.stem), key=lambda c: (-c.gain, c.f)):
+        if c.f not in inner and _stem_of(c.f, stems) is None:
+            stems[c.f] = c
+            inner.update(c.f[:k] for k in range(STEM[0], len(c.f)))
+    below: dict[str, list] = {s: [] for s in stems}
+    if stems:
+        names = counts.sparkSession.createDataFrame([(s,) for s in stems], "s string")
+        begins = F.array(*(F.substring("f", 1, k) for k in range(*STEM)))
+        words = counts.where(~F.col("stem")).select("f", "tox", "clean", F.explode(F.array_distinct(begins)).alias("s"))
+        for c in words.join(small_side(names, 32), "s").orderBy("f").collect():
+            below[c.s].append(c)
     # a word of its own is no stem: the stem must be carried by several forms, none of which has most of its count
-    top = {s.f: max((c.tox for c in candidates if not c.stem and c.f.startswith(s.f)), default=0) for s in stems}
-    stems = [s for s in stems if top[s.f] <= 0.7 * s.tox]
-    terms = [c for c in words if not any(c.f.startswith(s.f) for s in stems)]
-    return terms, stems
+    stems = {f: s for f, s in stems.items() if max((c.tox for c in below[f]), default=0) <= 0.7 * s.tox}
+    terms = sorted((c for c in strong if not c.stem and _stem_of(c.f, stems) is None), key=lambda c: c.f)
+    return terms, list(stems.values()), {f: below[f] for f in stems}
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 50) -> np.ndarray:
@@ -284,8 +294,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fit_sample: in
     toxic, clean = size.get(1, 0), size.get(0, 0)
     if not toxic + clean:
         return Model()
-    candidates = _candidates(rows)
-    terms, stems = choose(candidates, toxic, clean)
+    terms, stems, below = choose(_counts(rows), toxic, clean)
     model = Model([c.f for c in terms], [c.f for c in stems])
     ratio = lambda t, c, a=0.5, b=0.5: math.log((t + a) / (toxic + 2 * a)) - math.log((c + b) / (clean + 2 * b))
     for c in terms:
@@ -293,9 +302,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fit_sample: in
     for s in stems:
         each, other = s.tox / s.words, max(s.clean, 0.5) / s.words
         model.weights[s.f, 0] = math.log(each / other) + math.log(clean / toxic) if clean and toxic else 0.0
-        for c in candidates:
-            if not c.stem and c.f.startswith(s.f):
-                model.forms[c.f] = math.log((c.tox + each) / (c.clean + other)) + math.log(clean / toxic)
+        for c in below[s.f]:
+            model.forms[c.f] = math.log((c.tox + each) / (c.clean + other)) + math.log(clean / toxic)
     forms = sorted(f for f, w in model.forms.items() if w > 0)
     model.weights = {(f, 0): model.forms[f] for f in forms} | model.weights
     few = fold.orderBy(F.xxhash64("id"), "id").limit(fit_sample)

@@ -105,6 +105,16 @@ def test_misspelt_stem(spark):
     assert model.score("such grpbianisch here", m) > none and model.score("such gobixyz here", m) > none
 
 
+def test_rare_terms_stay_beside_many_common_words(spark):
+    # more common words than a list of 20,000 holds, each in more toxic texts than the term
+    common = [(False, f"w{i}", 40, 160, 1, 1) for i in range(20_100)]
+    known = [(False, "vermin", 9, 0, 1, 1), (True, "grobi", 24, 0, 3, 3), *((False, f"grobi{x}", 8, 0, 1, 1) for x in ("an", "en", "sch"))]
+    counts = spark.createDataFrame(common + known, "stem boolean, f string, tox long, clean long, forms long, words long")
+    terms, stems, below = toxicity.choose(counts, 500, 2000)
+    assert [c.f for c in terms] == ["vermin"] and [c.f for c in stems] == ["grobi"]
+    assert [c.f for c in below["grobi"]] == ["grobian", "grobien", "grobisch"]
+
+
 def test_stems_and_quotes():
     m = toxicity.Matcher(["idiot"], ["lowe"])
     assert m.match("lowenzahn") == ("lowe", 0) and m.match("idoot") == ("idiot", 1) and m.match("id") is None
