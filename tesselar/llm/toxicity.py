@@ -13,8 +13,9 @@ every term at once.  States are built on demand and kept.  A term of 5 letters
 or more may differ by one edit, of 9 or more by two; the first letter must
 match; a stem matches any word that begins with it, or with a misspelling of it
 by the same rule.  The known toxic forms of a stem are terms too, so that a
-misspelling is judged by the length of the whole word.  Misspellings count for
-terms of a log ratio of FUZZY_WEIGHT or more, and for stems and their forms.
+misspelling is judged by the length of the whole word.  Before the automaton, a
+word is looked up among the terms and stems with as many letters left out as they
+allow edits: near words always share such a rest, so only words without are spared.
 
 Context.  Each hit is read with a window of CONTEXT words on both sides.  A hit
 between quotation marks or after a reporting word counts as quoted; a text whose
@@ -46,9 +47,7 @@ from .common import small_side, stored, table
 
 SAMPLE = 200_000
 MIN_DOCS = 8
-MIN_RATIO = 10.0
-#: Log ratio from which a term's misspellings count.
-FUZZY_WEIGHT = 4.0
+MIN_RATIO = 4.0
 MIN_GAIN = 20.0
 FIT_SAMPLE = 20_000
 MIN_FORMS = 3
@@ -62,14 +61,23 @@ REPORTING = frozenset("said says wrote writes quote quoted quotes called calls w
 _OPEN, _CLOSE = "\"'“„«‘‹", "\"'”“»’›"
 
 
+def deletions(word: str, k: int) -> set[str]:
+    """word with up to k letters after the first left out."""
+    out = last = {word}
+    for _ in range(k):
+        last = {t[:i] + t[i + 1 :] for t in last for i in range(1, len(t))}
+        out = out | last
+    return out
+
+
 class Matcher:
     """Union of the Levenshtein automata of all terms, intersected with their trie; determinised on demand."""
 
     KEEP = 200_000
+    SPAN = 24  # longer words go to the automaton without a look at their deletions
 
-    def __init__(self, terms: list[str], stems: list[str], exact: frozenset[str] = frozenset()):
-        """exact: terms that allow no edits."""
-        self.allowed = {t: 0 if t in exact else self.edits(t) for t in terms}
+    def __init__(self, terms: list[str], stems: list[str]):
+        self.allowed = {t: self.edits(t) for t in terms}
         self.stem_allowed = {s: self.edits(s) for s in stems}
         self.child: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
@@ -88,6 +96,14 @@ class Matcher:
                     at = self.child[at][ch]
                     self.budget[at] = max(self.budget[at], most)
                 kind[at] = w
+        self.stem_sizes = sorted({len(s) for s in stems})
+        self.near: list[tuple[bool, int, int, int, set[str]]] = []  # stems or terms, edits, shortest, longest, what deletions leave
+        for of_stems, allowed in ((False, self.allowed), (True, self.stem_allowed)):
+            for k in sorted({k for k in allowed.values() if k}):
+                words = [w for w, e in allowed.items() if e == k]
+                left = {d for w in words if of_stems or len(w) <= self.SPAN + k for d in deletions(w, k)}
+                self.near.append((of_stems, k, min(map(len, words)), max(map(len, words)), left))
+        self.known: dict[str, tuple[str, int] | None] = {}
         self._reset()
 
     @staticmethod
@@ -100,7 +116,6 @@ class Matcher:
         self.step: list[dict[str, int]] = []
         self.accept: list[tuple[str, int] | None] = []
         self.final: list[tuple[str, int] | None] = []
-        self.known: dict[str, tuple[str, int] | None] = {}
         self._state(frozenset({(0, 0)}))
 
     def _state(self, positions: frozenset) -> int:
@@ -153,13 +168,28 @@ class Matcher:
         end = self.final[at]
         return end if end and (near is None or end[1] <= near[1]) else near
 
+    def possible(self, word: str) -> bool:
+        """False only for words that run() finds no match of."""
+        if word in self.allowed or any(word[:n] in self.stem_allowed for n in self.stem_sizes):
+            return True
+        n = len(word)
+        for of_stems, k, low, high, left in self.near:
+            if of_stems:
+                if any(not left.isdisjoint(deletions(word[:p], k)) for p in range(max(1, low - k), min(n, high + k) + 1)):
+                    return True
+            elif low - k <= n <= high + k and (n > self.SPAN or not left.isdisjoint(deletions(word, k))):
+                return True
+        return False
+
     def match(self, word: str) -> tuple[str, int] | None:
         try:
             return self.known[word]
         except KeyError:
-            if len(self.known) >= self.KEEP or len(self.sets) >= self.KEEP // 10:
+            if len(self.known) >= self.KEEP:
+                self.known.clear()
+            if len(self.sets) >= self.KEEP // 10:
                 self._reset()
-            got = self.known[word] = self.run(word)
+            got = self.known[word] = self.run(word) if self.possible(word) else None
             return got
 
 
@@ -169,13 +199,12 @@ class Model:
 
     terms: list[str] = field(default_factory=list)
     stems: list[str] = field(default_factory=list)
-    exact: frozenset[str] = frozenset()  # weaker terms, of which misspellings do not count
     weights: dict[tuple[str, int], float] = field(default_factory=dict)  # of (term or stem, edits)
     forms: dict[str, float] = field(default_factory=dict)  # of known words that begin with a stem
     layer: list[float] = field(default_factory=lambda: [0.0] * 6)
 
     def matcher(self) -> Matcher:
-        return Matcher(self.terms, self.stems, self.exact)
+        return Matcher(self.terms, self.stems)
 
     def features(self, hits: dict[str, tuple[str, int]], quoted: bool, n_words: int) -> list[float]:
         w = [self.forms.get(word, self.weights.get(m, 0.0)) if m[1] == 0 else self.weights.get(m, 0.0) for word, m in hits.items()]
@@ -307,9 +336,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fit_sample: in
     forms = sorted(f for f, w in model.forms.items() if w > 0)
     model.weights = {(f, 0): model.forms[f] for f in forms} | model.weights
     few = fold.orderBy(F.xxhash64("id"), "id").limit(fit_sample)
-    model.exact = frozenset(t for t in model.terms if model.weights[t, 0] < FUZZY_WEIGHT)
     model.terms += forms
-    parts = (model.terms, model.stems, model.exact)
+    parts = (model.terms, model.stems)
 
     def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = Matcher(*parts)
@@ -324,7 +352,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fit_sample: in
             if m[1]:
                 near.setdefault(m, [0, 0])[y] += 1
     for w in dict.fromkeys(model.terms + model.stems):
-        for e in range(1, Matcher.edits(w) + 1) if w not in model.exact else ():
+        for e in range(1, Matcher.edits(w) + 1):
             c, t = near.get((w, e), (0, 0))
             # a rare misspelling leans on the term's own weight; clean texts that have it take that away
             model.weights[w, e] = (4 * 0.6**e * max(model.weights[w, 0], 0.0) + (t + c) * ratio(t, c)) / (4 + t + c)

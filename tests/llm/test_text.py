@@ -105,6 +105,26 @@ def test_misspelt_stem(spark):
     assert model.score("such grpbianisch here", m) > none and model.score("such gobixyz here", m) > none
 
 
+def test_weak_terms_are_learned_and_take_edits(spark):
+    # 7 times as frequent in toxic texts, and as many toxic texts as clean ones
+    rows = [(i, f"some words {'scumbag' if i % 2 and i % 16 < 14 or i % 14 == 0 else 'other'} here") for i in range(600)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, toxic int"))
+    assert 1 < model.weights["scumbag", 0] < math.log(10)
+    assert model.matcher().match("scunbag") == ("scumbag", 1)
+
+
+@given(st.lists(st.text(alphabet="ab", min_size=3, max_size=30), min_size=1, max_size=4, unique=True), st.lists(st.text(alphabet="ab", min_size=4, max_size=10), max_size=3, unique=True), st.data())
+@settings(max_examples=80, deadline=None)
+def test_possible_misses_nothing(terms, stems, data):
+    m = toxicity.Matcher(terms, stems)
+    for w in data.draw(st.lists(st.sampled_from([*terms, *stems]), max_size=8)):
+        for _ in range(2):
+            i = data.draw(st.integers(1, len(w)))
+            w = w[:i] + data.draw(st.sampled_from(["", "a", "c"])) + w[i + data.draw(st.integers(0, 1)) :]
+        assert m.possible(w) or m.run(w) is None
+        assert m.match(w) == m.run(w)
+
+
 def test_rare_terms_stay_beside_many_common_words(spark):
     # more common words than a list of 20,000 holds, each in more toxic texts than the term
     common = [(False, f"w{i}", 40, 160, 1, 1) for i in range(20_100)]
