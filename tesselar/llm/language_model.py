@@ -9,8 +9,8 @@ above it (its context), the numbers of the words that follow.  They are made one
 rising sequence by adding the context's base, which is itself a rising sequence
 (the monotone pointers); both are Elias-Fano coded.  A search adds the base of the
 context to the word's number and finds the sum.  Bigrams and trigrams are kept
-from MIN_COUNT, if their words occur MIN_WORD times; trigrams only where both
-their bigrams are kept.  Smoothing is interpolated absolute discounting; log10
+from MIN_COUNT by their own counts, however rare their words; trigrams only where
+both their bigrams are kept.  Smoothing is interpolated absolute discounting; log10
 probabilities and back-off weights are quantised to a byte.
 
 The levels are files in the shared folder, split by ranges of the first word's
@@ -34,7 +34,8 @@ from .common import fresh_path, table
 from .elias_fano import EliasFano, read_arrays, write_arrays
 from .jaccard import word_hashes
 
-MIN_WORD = 20
+#: Occurrences that a bigram's words need; 1: any known word.
+MIN_WORD = 1
 MIN_COUNT = 2
 DISCOUNT = 0.75
 ADD = 0.1

@@ -250,6 +250,16 @@ def test_elias_fano(values, queries):
     assert e.find(q).tolist() == [place.get(x, -1) for x in q.tolist()]
 
 
+def test_bigrams_of_rare_words_are_kept(spark):
+    # six words, each nineteen times in the table, always in this order
+    texts = [(i, "the quick zebra jumps over fences" if i < 19 else f"word{i} other{i}") for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    spec = language_model.fit(docs)
+    assert spec.order == 3 and spec.bigrams[-1] >= 7
+    got = {r.doc_id: r for r in language_model.score(docs, spec).collect()}
+    assert all(got[i].score > got[i].base_score + 1 for i in range(19))
+
+
 def test_language_model(spark, monkeypatch):
     monkeypatch.setattr(language_model, "MIN_WORD", 3)
     rng = random.Random(3)
