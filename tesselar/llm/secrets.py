@@ -6,8 +6,10 @@ Base spans (character positions, end exclusive, whole matches): ``assign``,
 The entropy method takes every run of characters that keys are written in, of
 WINDOW characters or more, and slides a window over it.  Counts of the window's
 characters, and the entropy from them, are updated by one character in and one
-out.  A run of one character class (hexadecimal, letters and digits, base64) is
-flagged, from its first to its last window above the class's threshold.  The
+out.  For each character class (hexadecimal, letters and digits, base64) every
+maximal stretch of it in the run is judged by the class's own threshold, so a key
+glued to a name by ``=`` counts as it would alone, and is flagged from its first to
+its last window above the threshold; spans that overlap become one.  The
 allow-list suppresses what is random-looking but public: words without digits in
 one case, plain numbers, UUIDs, host names and paths, and runs that repeat few
 characters.
@@ -37,9 +39,9 @@ WINDOW = 20
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW)
 #: Class, its characters, bits per character from which a window counts.
 CLASSES = (
-    ("hex", re.compile(r"[0-9a-fA-F]+"), 2.9),
-    ("alnum", re.compile(r"[A-Za-z0-9]+"), 3.6),
-    ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 3.7),
+    ("hex", re.compile(r"[0-9a-fA-F]{%d,}" % WINDOW), 2.9),
+    ("alnum", re.compile(r"[A-Za-z0-9]{%d,}" % WINDOW), 3.6),
+    ("base64", _RUN, 3.7),
 )
 _ALLOWED = (
     re.compile(r"[0-9]+"),
@@ -69,15 +71,23 @@ def window_entropy(run: str) -> Iterator[float]:
 
 
 def entropy_spans(text: str) -> list[tuple[int, int]]:
-    out = []
+    out: list[tuple[int, int]] = []
     for m in _RUN.finditer(text):
-        run = m[0]
-        if any(p.fullmatch(run) for p in _ALLOWED):
-            continue
-        least = next(t for _, chars, t in CLASSES if chars.fullmatch(run))
-        over = [i for i, h in enumerate(window_entropy(run)) if h >= least]
-        if over:
-            out.append((m.start() + over[0], m.start() + over[-1] + WINDOW))
+        run, found, seen = m[0], [], set()
+        for _, chars, least in CLASSES:
+            for part in chars.finditer(run):
+                # a stretch of a narrower class is judged by that class only
+                if part.span() in seen or any(p.fullmatch(part[0]) for p in _ALLOWED):
+                    continue
+                seen.add(part.span())
+                over = [i for i, h in enumerate(window_entropy(part[0])) if h >= least]
+                if over:
+                    found.append((m.start() + part.start() + over[0], m.start() + part.start() + over[-1] + WINDOW))
+        for s, e in sorted(found):
+            if out and s < out[-1][1]:
+                out[-1] = (out[-1][0], max(out[-1][1], e))
+            else:
+                out.append((s, e))
     return out
 
 

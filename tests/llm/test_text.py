@@ -54,6 +54,20 @@ def test_entropy_spans_and_allow_list(spark):
     assert [tuple(r) for r in clean.orderBy("doc_id").collect()] == [(1, "x [entropy] y", "s"), (2, None, "s")]
 
 
+@given(st.text(alphabet="0123456789ABCDEF", min_size=secrets.WINDOW, max_size=64), st.sampled_from(["key=", "auth=", "sig_", "x-", "k/", "q+"]))
+@settings(max_examples=80, deadline=None)
+def test_glued_keys_count_as_alone(key, name):
+    assert all(any(s <= len(name) + b and e >= len(name) + f for s, e in secrets.entropy_spans(name + key)) for b, f in secrets.entropy_spans(key))
+
+
+def test_glued_hexadecimal_key():
+    key = "9F3A07C4D1B86E52A0F7"
+    assert secrets.entropy_spans(key) == [(0, 20)]
+    assert secrets.entropy_spans(f"see auth={key} there") == [(4, 29)]
+    # a name, a key of letters and digits, and numbers and words that stay allowed
+    assert secrets.entropy_spans("id_q8Zr2LxP0vTn5KdWb7YhJ3mC") == [(0, 27)] and not secrets.entropy_spans("number=4317133518190532431713351819/internationalization")
+
+
 # ---------------------------------------------------------------- toxicity
 
 
