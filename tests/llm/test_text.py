@@ -264,35 +264,112 @@ def test_elias_fano(values, queries):
     assert e.find(q).tolist() == [place.get(x, -1) for x in q.tolist()]
 
 
-def test_bigrams_of_rare_words_are_kept(spark):
-    # six words, each nineteen times in the table, always in this order
-    texts = [(i, "the quick zebra jumps over fences" if i < 19 else f"word{i} other{i}") for i in range(60)]
-    docs = spark.createDataFrame(texts, "doc_id long, text string")
-    spec = language_model.fit(docs)
-    assert spec.order == 3 and spec.bigrams[-1] >= 7
-    got = {r.doc_id: r for r in language_model.score(docs, spec).collect()}
-    assert all(got[i].score > got[i].base_score + 1 for i in range(19))
-
-
-def test_language_model(spark, monkeypatch):
-    monkeypatch.setattr(language_model, "MIN_WORD", 3)
-    rng = random.Random(3)
-    vocab = [f"V{i}" for i in range(40)]
-    texts = {i: " ".join(rng.choice(vocab[: rng.choice([5, 40])]) for _ in range(rng.choice([0, 1, 5, 60]))) for i in range(150)}
-    texts |= {200: None, 201: "never seen WORDS", 202: "\t\n"}
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    spec = language_model.fit(docs, per_shard=100)
-    got = {r.doc_id: r for r in language_model.score(docs, spec).collect()}
+def dictionary_model(texts):
+    """log10 probability of each text by plain dictionaries, and the number of kept bigrams and trigrams."""
+    token = {i: ["<s>", *split(t), "</s>"] for i, t in texts.items()}
+    train = [i for i in token if zlib.crc32(str(i).encode()) % 10]
+    one, two, three = Counter(), Counter(), Counter()
+    for i in train:
+        t = token[i]
+        one.update(t)
+        two.update(zip(t, t[1:], strict=False))
+        three.update(zip(t, t[1:], t[2:], strict=False))
+    n, v = sum(one.values()) - one["<s>"], len(one) - 1
+    two, three = ({k: c for k, c in x.items() if c >= 2} for x in (two, three))
+    rounded = lambda p: 10 ** (-language_model.STEP * min(255, math.ceil(-math.log10(max(p, 1e-12)) / language_model.STEP - 1e-9)))
+
+    def level(counts, of):
+        held = Counter()
+        for k, c in counts.items():
+            held[k[:-1]] += c - 0.75
+        return {k: rounded((c - 0.75) / of(k[:-1])) for k, c in counts.items()}, {k: rounded(1 - h / of(k)) for k, h in held.items()}
+
+    share2, weight2 = level(two, lambda k: one[k[0]])
+    share3, weight3 = level(three, lambda k: two[k])
+    scores = {}
+    for i, t in token.items():
+        total = 0.0
+        for j in range(1, len(t)):
+            p = (one[t[j]] + 0.1) / (n + 0.1 * (v + 1))
+            p = share2.get((t[j - 1], t[j]), 0.0) + weight2.get((t[j - 1],), 1.0) * p
+            if j > 1:
+                p = share3.get((t[j - 2], t[j - 1], t[j]), 0.0) + weight3.get((t[j - 2], t[j - 1]), 1.0) * p
+            total += math.log10(p)
+        scores[i] = total
+    return scores, len(two), len(three)
+
+
+def random_texts(seed, n=150):
+    rng = random.Random(seed)
+    vocab = [f"V{i}" for i in range(40)] + ["x" * 300, "ab" * 200 + "\xe9", "123456789", "12345678"]
+    texts = {i: " ".join(rng.choice(vocab[: rng.choice([5, 40, 44])]) for _ in range(rng.choice([0, 1, 5, 60]))) for i in range(n)}
+    return texts | {200: None, 201: "never seen WORDS", 202: "\t\n", 203: "V0 " * 3000, 204: "the end", 205: "the end", 2**60 + 1: "V1 V2"}
+
+
+@pytest.mark.parametrize("per_range, files", [(4_000_000, 256), (100, 256), (100, 3)])
+def test_language_model(spark, monkeypatch, per_range, files):
+    monkeypatch.setattr(language_model, "FILES", files)
+    monkeypatch.setattr(language_model, "TOKENS", 700)
+    texts = random_texts(3)
+    docs = spark.createDataFrame([(i, t, "n") for i, t in texts.items()], "doc_id long, text string, ids string")
+    spec, tokens = language_model.fit(docs, per_range=per_range)
+    want, two, three = dictionary_model(texts)
+    assert (spec.bigrams.before[-1], spec.trigrams.before[-1]) == (two, three) and spec.order == 3
+    assert per_range > 100 or (len(spec.bigrams.names) > 2 and spec.bigrams.contexts)  # frequent words lie in several files
     token = {i: [*split(t), "</s>"] for i, t in texts.items()}
     train = [i for i in token if zlib.crc32(str(i).encode()) % 10]
     c = Counter(w for i in train for w in token[i])
     n, v = sum(c.values()), len(c)
     base = lambda w: math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1)))
-    for i, t in token.items():
-        r = got[i]
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(t), sum(c[w] > 0 for w in t), n, i not in train)
-        assert math.isclose(r.base_score, sum(map(base, t)), abs_tol=1e-6) and r.score <= 0.3 * len(t)
-    better = sum(got[i].score - got[i].base_score for i in train)
-    assert better > 0
-    none = language_model.fit(docs.limit(0))
-    assert language_model.score(docs, none).first().score == 0
+    for given in (tokens, None):
+        got = {r.doc_id: r for r in language_model.score(docs, spec, given).collect()}
+        assert set(got) == set(texts)
+        for i, t in token.items():
+            r = got[i]
+            assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(t), sum(c[w] > 0 for w in t), n, i not in train)
+            assert math.isclose(r.base_score, sum(map(base, t)), abs_tol=1e-6 * len(t)) and r.score < 0
+            assert math.isclose(r.score, want[i], abs_tol=1e-6 * len(t)), i
+    assert sum(got[i].score - got[i].base_score for i in train) > 0
+
+
+def test_language_model_edges(spark):
+    kind = "doc_id long, text string"
+    none = language_model.score(spark.createDataFrame([(7, "a b"), (None, None)], kind), *language_model.fit(spark.createDataFrame([], kind)))
+    assert sorted((r.n_tokens, r.score, r.train_tokens) for r in none.collect()) == [(1, 0.0, 0), (3, 0.0, 0)]
+    # a null id counts as training; ids beside it stay what they are; repeated rows are scored as often as they come
+    big = 2**60 + 1
+    docs = spark.createDataFrame([(None, "q r s"), (big, "q r s"), (big, "q r s"), (3, "")], kind)
+    got = language_model.score(docs, *language_model.fit(docs)).collect()
+    assert sorted((r.doc_id for r in got), key=repr) == [big, big, 3, None]
+    assert len({r.score for r in got if r.n_tokens == 4}) == 1
+    assert language_model.fit(docs, order=1)[0].order == 1
+
+
+@given(st.lists(st.tuples(st.integers(0, 2**64 - 1), st.integers(1, 2**40)), max_size=50, unique_by=lambda x: x[0]))
+@settings(max_examples=60, deadline=None)
+def test_blocks_round_trip(pairs):
+    import zstandard
+
+    pairs.sort()
+    keys, counts = (np.array([p[i] for p in pairs], dtype=np.uint64) for i in (0, 1))
+    k, c = language_model.unpack(language_model.pack(keys, counts, zstandard.ZstdCompressor(level=1)))
+    assert (k == keys).all() and (c == counts.astype(np.int64)).all()
+
+
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aBZé \t\x0b\n0", max_size=30), st.text(max_size=20)), max_size=8), st.integers(1, 40))
+@settings(max_examples=80, deadline=None)
+def test_word_hashes(texts, most):
+    import pyarrow as pa
+
+    from tesselar.llm.words import text_chunks, word_hashes
+
+    texts = [t if t is None else t.encode("utf-8", "ignore").decode() for t in texts]
+    known, words = {}, {}
+    for a, z, data, at in text_chunks(pa.array(["x", *texts], pa.string()).slice(1), most):
+        h, first = word_hashes(data, at)
+        for i in range(a, z):
+            want = split(texts[i])
+            got = h[first[i - a] : first[i - a + 1]].tolist()
+            assert len(got) == len(want)
+            for w, x in zip(want, got, strict=True):
+                assert known.setdefault(w, x) == x and words.setdefault(x, w) == w
