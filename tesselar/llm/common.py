@@ -7,9 +7,12 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
+#: Arrow batches between Spark and Python hold at most this many bytes, unless the session sets a size.
+BATCH_BYTES = 4 << 20
 #: A side below this many bytes may be broadcast; its size is always counted first.
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 16 << 20
 
 # Lower-case A-Z, and every ASCII character that is neither a letter nor a digit becomes a space.
 _UPPER = "".join(map(chr, range(0x41, 0x5B)))
@@ -21,12 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is set only where none is configured."""
+    """The folder that driver and executors share; where none is configured a local one is set, on a single machine only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         if got.isDefined():
             return got.get()
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tesselar-shared-")
         spark.sparkContext.setCheckpointDir(base)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -44,12 +49,37 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df with a broadcast hint if its counted rows of row_bytes stay below limit, else df for a shuffled join.
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes as well as by rows: texts differ in length by orders of magnitude."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name).rstrip("bB") == str(64 << 20):
+        spark.conf.set(name, str(BATCH_BYTES))
 
-    df should be stored or cheap: it is counted once here.
+
+def _bytes_of(value: Column, kind: DataType) -> Column:
+    """Bytes that a value takes in a row, about; null takes none beyond its place."""
+    if isinstance(kind, StringType | BinaryType):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, StringType | BinaryType | ArrayType | StructType):
+            return F.coalesce(F.aggregate(value, F.lit(24), lambda a, x: (a + _bytes_of(x, kind.elementType)).cast("int")), F.lit(0))
+        return F.coalesce(F.size(value), F.lit(0)) * 8 + 24
+    if isinstance(kind, StructType):
+        return sum((_bytes_of(value[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    return F.lit(16 if kind.simpleString().startswith("decimal") else 8)
+
+
+def measured(df: DataFrame) -> int:
+    """Bytes of all rows of df as rows of a hash table, about; a job that reads df once."""
+    return df.agg(F.sum(sum((_bytes_of(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(24)).cast("long"))).first()[0] or 0
+
+
+def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its measured bytes stay below limit, else df for a shuffled join.
+
+    df should be stored or cheap: it is read once here.
     """
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+    return F.broadcast(df) if measured(df) <= limit else df
 
 
 def ascii_words(text: Column) -> Column:

@@ -5,7 +5,7 @@ counted in all toxic and all clean training texts; those that mark toxic texts
 by the likelihood ratio of their counts become terms (whole words) and stems
 (beginnings that several toxic words share).  A second pass matches the lexicon
 against FIT_SAMPLE training texts and learns the weight of misspellings, and a
-logistic layer over a text's hits, their density, and whether all are quoted.
+logistic layer over a text's hits, their density, and how far they are quoted.
 
 Matching.  The lexicon is a trie; a state is the set of (trie node, edits) that
 the Levenshtein automata of all terms can be in, so one run over a word matches
@@ -13,13 +13,16 @@ every term at once.  States are built on demand and kept.  A term of 5 letters
 or more may differ by one edit, of 9 or more by two; the first letter must
 match; a stem matches any word that begins with it, or with a misspelling of it
 by the same rule.  The known toxic forms of a stem are terms too, so that a
-misspelling is judged by the length of the whole word.  Before the automaton, a
-word is looked up among the terms and stems with as many letters left out as they
-allow edits: near words always share such a rest, so only words without are spared.
+misspelling is judged by the length of the whole word.  Before the automaton, all
+new words of a chunk are looked up together among the terms and stems with as many
+letters left out as they allow edits: near words always share such a rest, so only
+words without are spared.  The rests are compared by hashes that follow from the sums
+of a word's beginnings; a hash that is equal by chance costs a run, never a match.
 
-Context.  Each hit is read with a window of CONTEXT words on both sides.  A hit
-between quotation marks or after a reporting word counts as quoted; a text whose
-hits are all quoted scores by what such texts were in training.
+Context.  Each place of a hit is read with a window of CONTEXT words on both sides and
+gets a score from 0 (abuse) to 1 (quotation): 1 between quotation marks, less the
+further a reporting word stands before it, else 0.  The share of a text's weight that
+is quoted is an input of the logistic layer, which learns what it means.
 
 At most SAMPLE labelled rows are used for the lexicon and FIT_SAMPLE of them for
 the logistic layer (those with the smallest hash of their id); above these bounds
@@ -28,22 +31,28 @@ never inputs of a score.
 
 Edge cases: null and empty texts have no hits and get the score of a text
 without hits.  Without training rows every score is 0.5.  A null id belongs to the
-training fold but has no label.  Every input row gives one row.
+training fold but has no label.  Every input row gives one row, repeated rows too; an
+empty table gives none.  Ids of any type pass through unchanged.  Long texts are read
+whole.  Equal texts get equal scores.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small_side, stored, table
+from .words import CHUNK, runs
 
 SAMPLE = 200_000
 MIN_DOCS = 8
@@ -61,19 +70,67 @@ REPORTING = frozenset("said says wrote writes quote quoted quotes called calls w
 _OPEN, _CLOSE = "\"'“„«‘‹", "\"'”“»’›"
 
 
-def deletions(word: str, k: int) -> set[str]:
-    """word with up to k letters after the first left out."""
-    out = last = {word}
-    for _ in range(k):
-        last = {t[:i] + t[i + 1 :] for t in last for i in range(1, len(t))}
-        out = out | last
-    return out
+_P = np.uint64(0xD1342543DE82EF95)
+_BACK = np.array([pow(int(_P), -k, 1 << 64) for k in range(3)], dtype=np.uint64)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _sums(words: list[str], n: int) -> np.ndarray:
+    """Hashes of all beginnings of words of n letters; column j is that of j letters."""
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n).astype(np.uint64)
+    power = np.multiply.accumulate(np.append(np.uint64(1), np.full(n - 1, _P)))
+    return np.hstack([np.zeros((len(words), 1), np.uint64), np.cumsum((codes + _SPREAD) * power, axis=1, dtype=np.uint64)])
+
+
+def _rests(sums: np.ndarray, n: int, k: int) -> Iterator[np.ndarray]:
+    """Hashes of the first n letters with up to k (0 to 2) letters after the first left out."""
+    whole = sums[:, n : n + 1]
+    yield whole
+    if k and n > 1:
+        yield sums[:, 1:n] + _BACK[1] * (whole - sums[:, 2 : n + 1])
+    if k > 1:
+        for i in range(1, n - 1):
+            yield sums[:, i : i + 1] + _BACK[1] * (sums[:, i + 1 : n] - sums[:, i + 1 : i + 2]) + _BACK[2] * (whole - sums[:, i + 2 : n + 1])
+
+
+def _by_length(words: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+    """Lengths, and which words have them."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(size, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(size[order])) + 1):
+        if len(part):
+            yield int(size[part[0]]), part
+
+
+class Rests:
+    """Hashes of what words leave with up to k letters left out: a bit set of them, then the sorted hashes."""
+
+    def __init__(self, words: list[str], k: int):
+        self.k, self.low, self.high = k, min(map(len, words)), max(map(len, words))
+        found = [x.ravel() for n, i in _by_length(words) for x in _rests(_sums([words[j] for j in i], n), n, k)]
+        self.hashes = np.unique(np.concatenate(found))
+        self.shift = np.uint64(64 - max(16, len(self.hashes).bit_length() + 8))
+        self.bits = np.zeros(1 << int(61 - self.shift), np.uint8)
+        at = self.hashes * _SPREAD >> self.shift
+        np.bitwise_or.at(self.bits, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, (at & np.uint64(7)).astype(np.uint8), dtype=np.uint8))
+
+    def any(self, sums: np.ndarray, n: int) -> np.ndarray:
+        """Which words have one of the hashes in the rests of their first n letters."""
+        out = np.zeros(len(sums), bool)
+        for rest in _rests(sums, n, self.k):
+            at = rest * _SPREAD >> self.shift
+            row, col = np.nonzero(self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+            h = rest[row, col]
+            i = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            out[row[self.hashes[i] == h]] = True
+        return out
 
 
 class Matcher:
     """Union of the Levenshtein automata of all terms, intersected with their trie; determinised on demand."""
 
-    KEEP = 200_000
+    KEEP = 200_000  # words that were run
+    STATES = 30_000
     SPAN = 24  # longer words go to the automaton without a look at their deletions
 
     def __init__(self, terms: list[str], stems: list[str]):
@@ -96,14 +153,15 @@ class Matcher:
                     at = self.child[at][ch]
                     self.budget[at] = max(self.budget[at], most)
                 kind[at] = w
-        self.stem_sizes = sorted({len(s) for s in stems})
-        self.near: list[tuple[bool, int, int, int, set[str]]] = []  # stems or terms, edits, shortest, longest, what deletions leave
+        self.near: list[tuple[bool, Rests]] = []  # of stems or of terms
         for of_stems, allowed in ((False, self.allowed), (True, self.stem_allowed)):
-            for k in sorted({k for k in allowed.values() if k}):
-                words = [w for w, e in allowed.items() if e == k]
-                left = {d for w in words if of_stems or len(w) <= self.SPAN + k for d in deletions(w, k)}
-                self.near.append((of_stems, k, min(map(len, words)), max(map(len, words)), left))
-        self.known: dict[str, tuple[str, int] | None] = {}
+            for k in sorted(set(allowed.values())):
+                words = [w for w, e in allowed.items() if e == k and (of_stems or len(w) <= self.SPAN + k)]
+                if words:
+                    self.near.append((of_stems, Rests(words, k)))
+        self.longest = max((len(t) + e for t, e in self.allowed.items()), default=0)
+        self.hits: dict[str, tuple[str, int]] = {}
+        self.none: set[str] = set()
         self._reset()
 
     @staticmethod
@@ -168,29 +226,47 @@ class Matcher:
         end = self.final[at]
         return end if end and (near is None or end[1] <= near[1]) else near
 
-    def possible(self, word: str) -> bool:
+    def possible(self, words: list[str]) -> np.ndarray:
         """False only for words that run() finds no match of."""
-        if word in self.allowed or any(word[:n] in self.stem_allowed for n in self.stem_sizes):
-            return True
-        n = len(word)
-        for of_stems, k, low, high, left in self.near:
-            if of_stems:
-                if any(not left.isdisjoint(deletions(word[:p], k)) for p in range(max(1, low - k), min(n, high + k) + 1)):
-                    return True
-            elif low - k <= n <= high + k and (n > self.SPAN or not left.isdisjoint(deletions(word, k))):
-                return True
-        return False
+        out = np.zeros(len(words), bool)
+        for n, i in _by_length(words):
+            if n > self.SPAN:
+                # only what begins like a stem, or like a long term
+                out[i] = n <= self.longest
+                n_sums = max([r.high + r.k for of_stems, r in self.near if of_stems], default=0)
+            else:
+                n_sums = n
+            n_sums = min(n, n_sums)
+            if not n_sums:
+                continue
+            sums = _sums([words[j][:n_sums] for j in i], n_sums)
+            for of_stems, rests in self.near:
+                if of_stems:
+                    for p in range(max(1, rests.low - rests.k), min(n, rests.high + rests.k) + 1):
+                        out[i] |= rests.any(sums, p)
+                elif n <= self.SPAN and rests.low - rests.k <= n <= rests.high + rests.k:
+                    out[i] |= rests.any(sums, n)
+        return out
+
+    def learn(self, words: set[str]) -> None:
+        """Puts those of the words that match into `hits`; what is known of other words may be forgotten."""
+        if len(self.none) + len(self.hits) > self.KEEP:
+            self.none, self.hits = set(), {}
+        new = sorted(words - self.none - self.hits.keys())
+        for w in itertools.compress(new, self.possible(new).tolist()):
+            if len(self.sets) >= self.STATES:
+                self._reset()
+            if got := self.run(w):
+                self.hits[w] = got
+            else:
+                self.none.add(w)
 
     def match(self, word: str) -> tuple[str, int] | None:
-        try:
-            return self.known[word]
-        except KeyError:
-            if len(self.known) >= self.KEEP:
-                self.known.clear()
-            if len(self.sets) >= self.KEEP // 10:
-                self._reset()
-            got = self.known[word] = self.run(word) if self.possible(word) else None
-            return got
+        self.learn({word})
+        return self.hits.get(word)
+
+
+_matchers: dict[str, Matcher] = {}  # of the last model
 
 
 @dataclass
@@ -202,45 +278,65 @@ class Model:
     weights: dict[tuple[str, int], float] = field(default_factory=dict)  # of (term or stem, edits)
     forms: dict[str, float] = field(default_factory=dict)  # of known words that begin with a stem
     layer: list[float] = field(default_factory=lambda: [0.0] * 6)
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def matcher(self) -> Matcher:
-        return Matcher(self.terms, self.stems)
-
-    def features(self, hits: dict[str, tuple[str, int]], quoted: bool, n_words: int) -> list[float]:
-        w = [self.forms.get(word, self.weights.get(m, 0.0)) if m[1] == 0 else self.weights.get(m, 0.0) for word, m in hits.items()]
-        total = sum(x for x in w if x > 0)
-        return [1.0, total, max(w, default=0.0), math.log1p(n_words) / 10 if hits else 0.0, 100 * total / (n_words + 20), float(quoted and bool(hits))]
+        """One per Python worker: what it has learned of words serves the worker's later tasks."""
+        if self.key not in _matchers:
+            _matchers.clear()
+            _matchers[self.key] = Matcher(self.terms, self.stems)
+        return _matchers[self.key]
+
+    def features(self, hits: dict[str, tuple[str, int]], quoted: dict[str, float], n_words: int) -> list[float]:
+        w = {word: max(0.0, self.forms.get(word, self.weights.get(m, 0.0)) if m[1] == 0 else self.weights.get(m, 0.0)) for word, m in hits.items()}
+        total = sum(w.values())
+        share = sum(w[word] * q for word, q in quoted.items()) / total if total else 0.0
+        return [1.0, total, max(w.values(), default=0.0), math.log1p(n_words) / 10 if hits else 0.0, 100 * total / (n_words + 20), share]
+
+    def scores(self, texts: list[str | None], matcher: Matcher) -> list[float]:
+        out = []
+        for hits in find_hits(texts, matcher):
+            logit = sum(a * b for a, b in zip(self.layer, self.features(*hits), strict=True))
+            out.append(1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, logit)))))
+        return out
 
     def score(self, text: str | None, matcher: Matcher) -> float:
-        logit = sum(a * b for a, b in zip(self.layer, self.features(*find_hits(text, matcher)), strict=True))
-        return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, logit))))
+        return self.scores([text], matcher)[0]
 
 
-def _in_quotation(text: str, words: list[re.Match], i: int) -> bool:
-    """Is word i quoted: an opening mark before it and a closing one after it, or a reporting word before it, within the window?"""
+def quotation(text: str, words: list[re.Match], i: int) -> float:
+    """How far word i is quoted, by the window around it: 1 between an opening and a closing mark, less the further a reporting word stands before it."""
     lo, hi = words[max(0, i - CONTEXT)].start(), words[min(len(words) - 1, i + CONTEXT)].end()
     before, after = text[lo : words[i].start()], text[words[i].end() : hi + 1]
-    if any(m[0] in REPORTING for m in words[max(0, i - CONTEXT) : i]):
-        return True
     opened = max((before.rfind(c) for c in _OPEN), default=-1)
-    if opened < 0 or (before[opened] == "'" and opened and before[opened - 1].isalnum()):
-        return False
-    closing = {"“": "”", "„": "“”", "«": "»", "‹": "›", "‘": "’"}.get(before[opened], before[opened])
-    return any(c in after for c in closing) and before.count(before[opened]) % 2 == 1
-
-
-def find_hits(text: str | None, matcher: Matcher) -> tuple[dict[str, tuple[str, int]], bool, int]:
-    """Distinct matching words with (term or stem, edits), whether all their places are quoted, and the number of words."""
-    if not text:
-        return {}, False, 0
-    low = text.lower()
-    every = WORD.findall(low)
-    match = matcher.match
-    found = {w: m for w in set(every) if (m := match(w))}
-    if not found:
-        return {}, False, len(every)
-    words = list(WORD.finditer(low))
-    return found, all(_in_quotation(low, words, i) for i, m in enumerate(words) if m[0] in found), len(every)
+    if opened >= 0 and not (before[opened] == "'" and opened and before[opened - 1].isalnum()):
+        closing = {"“": "”", "„": "“”", "«": "»", "‹": "›", "‘": "’"}.get(before[opened], before[opened])
+        if any(c in after for c in closing) and before.count(before[opened]) % 2 == 1:
+            return 1.0
+    return max((1.0 - (i - j) / (CONTEXT + 1) for j in range(max(0, i - CONTEXT), i) if words[j][0] in REPORTING), default=0.0)
+
+
+def find_hits(texts: list[str | None], matcher: Matcher) -> Iterator[tuple[dict[str, tuple[str, int]], dict[str, float], int]]:
+    """Of each text the distinct matching words with (term or stem, edits), how far each is quoted (the mean of its places; only what is), and the number of words."""
+    low = [t.lower() if t else "" for t in texts]
+    every = [WORD.findall(t) for t in low]
+    distinct = [set(e) for e in every]
+    matcher.learn(set().union(*distinct))
+    for text, have, n in zip(low, distinct, map(len, every), strict=True):
+        found = {w: matcher.hits[w] for w in sorted(w for w in have if w in matcher.hits)}
+        quoted: dict[str, list[float]] = {}
+        if found:
+            words = list(WORD.finditer(text))
+            for i, m in enumerate(words):
+                if m[0] in found:
+                    quoted.setdefault(m[0], []).append(quotation(text, words, i))
+        yield found, {w: sum(q) / len(q) for w, q in quoted.items() if any(q)}, n
+
+
+def _parts(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Texts in runs of about 2 * CHUNK characters."""
+    for a, z in runs(np.fromiter((len(t or "") for t in texts), np.int64, len(texts)), 2 * CHUNK):
+        yield texts[a:z]
 
 
 def training_labels(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -251,7 +347,7 @@ def training_labels(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def _with_text(docs: DataFrame, fold: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").alias("id"), "text").join(small_side(fold, 32), "id").where("text is not null")
+    return docs.select(F.col("doc_id").alias("id"), "text").join(small_side(fold), "id").where("text is not null")
 
 
 def _counts(rows: DataFrame) -> DataFrame:
@@ -294,7 +390,7 @@ def choose(counts: DataFrame, toxic: int, clean: int) -> tuple[list, list, dict[
         names = counts.sparkSession.createDataFrame([(s,) for s in stems], "s string")
         begins = F.array(*(F.substring("f", 1, k) for k in range(*STEM)))
         words = counts.where(~F.col("stem")).select("f", "tox", "clean", F.explode(F.array_distinct(begins)).alias("s"))
-        for c in words.join(small_side(names, 32), "s").orderBy("f").collect():
+        for c in words.join(small_side(names), "s").orderBy("f").collect():
             below[c.s].append(c)
     # a word of its own is no stem: the stem must be carried by several forms, none of which has most of its count
     stems = {f: s for f, s in stems.items() if max((c.tox for c in below[f]), default=0) <= 0.7 * s.tox}
@@ -337,15 +433,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fit_sample: in
     model.weights = {(f, 0): model.forms[f] for f in forms} | model.weights
     few = fold.orderBy(F.xxhash64("id"), "id").limit(fit_sample)
     model.terms += forms
-    parts = (model.terms, model.stems)
+    lexicon = Model(model.terms, model.stems)  # the layer is still to be learned
+    model.key = lexicon.key
 
     def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(*parts)
+        matcher = lexicon.matcher()
         for b in batches:
-            got = [find_hits(t, matcher) for t in b["text"]]
-            yield pd.DataFrame({"toxic": b["toxic"], "quoted": [q for _, q, _ in got], "n": [n for _, _, n in got], "hits": [[[w, t, str(e)] for w, (t, e) in h.items()] for h, _, _ in got]})
+            got = [x for texts in _parts(b["text"].tolist()) for x in find_hits(texts, matcher)]
+            yield pd.DataFrame({"toxic": b["toxic"], "n": [n for _, _, n in got], "hits": [[[w, t, str(e), repr(q.get(w, 0.0))] for w, (t, e) in h.items()] for h, q, _ in got]})
 
-    seen = [(r.toxic, {w: (t, int(e)) for w, t, e in r.hits}, r.quoted, r.n) for r in _with_text(docs, few).select("text", "toxic").mapInPandas(hits, "toxic int, quoted boolean, n int, hits array<array<string>>").collect()]
+    rows = _with_text(docs, few).select("text", "toxic").mapInPandas(hits, "toxic int, n int, hits array<array<string>>").collect()
+    seen = [(r.toxic, {w: (t, int(e)) for w, t, e, _ in r.hits}, {w: float(q) for w, _, _, q in r.hits}, r.n) for r in rows]
     near: dict[tuple[str, int], list[int]] = {}
     for y, h, _, _ in seen:
         for m in set(h.values()):
@@ -357,10 +455,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fit_sample: in
             # a rare misspelling leans on the term's own weight; clean texts that have it take that away
             model.weights[w, e] = (4 * 0.6**e * max(model.weights[w, 0], 0.0) + (t + c) * ratio(t, c)) / (4 + t + c)
     x = np.array([model.features(h, q, n) for _, h, q, n in seen])
-    y = np.array([float(r[0]) for r in seen])
-    # two made-up texts that quote a term, one of them clean, stand for what training may not show
-    pseudo = np.array([[1.0, 6.0, 6.0, 0.5, 6.0, 1.0]] * 4)
-    model.layer = _logistic(np.vstack([x, pseudo]), np.append(y, [0.0, 0.0, 0.0, 1.0])).tolist()
+    model.layer = _logistic(x, np.array([float(r[0]) for r in seen])).tolist()
     return model
 
 
@@ -368,13 +463,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """id, held_out, score and predicted of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = model.matcher()
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "held_out": b["held_out"], "score": [model.score(t if isinstance(t, str) else None, matcher) for t in b["text"]]})
+            got = [x for texts in _parts(b.column("text").to_pylist()) for x in model.scores(texts, matcher)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("held_out"), pa.array(got, pa.float64())], ["id", "held_out", "score"])
 
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    out = slim.mapInPandas(run, f"id {kind}, held_out boolean, score double")
+    out = slim.mapInArrow(run, f"id {kind}, held_out boolean, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -385,7 +481,8 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         matcher = model.matcher()
         for texts in batches:
-            yield texts.map(lambda t: model.score(t if isinstance(t, str) else None, matcher)).astype("float64")
+            every = [t if isinstance(t, str) else None for t in texts]
+            yield pd.Series([x for part in _parts(every) for x in model.scores(part, matcher)], dtype="float64")
 
     return docs.where(scored(F.col(text_col)) < THRESHOLD)
 
