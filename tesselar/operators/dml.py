@@ -1,8 +1,8 @@
-"""INSERT, UPDATE, DELETE and upsert on sharded tables, copy-on-write.
+"""INSERT, UPDATE, DELETE and upsert on sharded tables.
 
-Changes return the table's new content; a caller writes it to a new folder, or over
-the pruned partitions only, and then moves the pointer.  The rows touched are those
-of the shards that the predicate leaves.
+The operators are those of `plans.store.Store`: copy-on-write of the shards that a
+statement touches, published by a manifest.  The functions here change DataFrames that
+hold a table's rows, for callers that keep tables in another way.
 """
 
 from __future__ import annotations
@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from ..plans.catalog import Catalog, RoutingError, ShardedTable, with_shard
 from ..plans.planner import prune
-from ..session import read
+from ..plans.store import Store
+from ..session import fresh_folder, read
 from .registry import query
-from .scans import ORDERS, sharded
+from .scans import CATALOG, ORDERS
 
 
 def split_insert(spark, rows: list[tuple], schema: str, t: ShardedTable) -> DataFrame:
@@ -22,18 +23,14 @@ def split_insert(spark, rows: list[tuple], schema: str, t: ShardedTable) -> Data
     return with_shard(spark.createDataFrame(rows, schema), t)
 
 
-def insert(table: DataFrame, rows: DataFrame) -> DataFrame:
-    return table.unionByName(rows, allowMissingColumns=True)
-
-
-def auto_id(rows: DataFrame, column: str, mode: str = "rewrite") -> DataFrame:
-    """Missing ids are made (rewrite), refused (error) or left (ignore)."""
+def auto_id(rows: DataFrame, column: str, mode: str = "rewrite", job: int | None = None, omni: bool = False) -> DataFrame:
+    """Missing ids are made (rewrite; of replicated tables only in rewrite_omni), refused (error) or left (ignore)."""
     from ..functions.ids import unique_id
 
-    if mode == "ignore":
+    if mode == "ignore" or (mode == "rewrite" and omni):
         return rows
     have = F.col(column) if column in rows.columns else F.lit(None).cast("long")
-    new = F.raise_error(F.lit(f"{column} is missing")).cast("long") if mode == "error" else unique_id()
+    new = F.raise_error(F.lit(f"{column} is missing")).cast("long") if mode == "error" else unique_id(job=job)
     return rows.withColumn(column, F.coalesce(have, new))
 
 
@@ -47,10 +44,6 @@ def update(table: DataFrame, t: ShardedTable, predicate: str, assign: dict) -> D
     return table.select(*(F.when(hit, assign[c]).otherwise(F.col(c)).alias(c) if c in assign else F.col(c) for c in table.columns))
 
 
-def delete(table: DataFrame, t: ShardedTable, predicate: str) -> DataFrame:
-    return table.where(~F.coalesce(F.expr(predicate), F.lit(False)))
-
-
 def move_row(table: DataFrame, t: ShardedTable, predicate: str | None, new_key, destructive_fk: bool = False) -> DataFrame:
     """Assign the sharding key: the row leaves its shard and enters that of the new key.
 
@@ -65,70 +58,145 @@ def move_row(table: DataFrame, t: ShardedTable, predicate: str | None, new_key,
     if row.limit(2).count() > 1:
         raise RoutingError("an update of the sharding key may touch one row only")
     moved = with_shard(row.drop("shard").withColumn(t.column, F.lit(new_key).cast(table.schema[t.column].dataType)), t)
-    return delete(table, t, predicate).unionByName(moved.select(table.columns))
-
-
-def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """Rows replace those of equal key, others are added; of rows with equal key the last by all columns holds."""
-    last = rows.groupBy(key).agg(F.max(F.struct(*rows.columns)).alias("r")).select("r.*")
-    return table.join(last.select(key), key, "left_anti").select(table.columns).unionByName(last.select(table.columns))
+    rest = table.where(~F.coalesce(F.expr(predicate), F.lit(False)))
+    return rest.unionByName(moved.select(table.columns))
 
 
 _NEW = [(900001, 5, 100.0), (900002, 6, 200.0), (900003, 5, 300.0)]
 _NEW_SQL = "(VALUES (900001, 5, 100.0), (900002, 6, 200.0), (900003, 5, 300.0)) t(o_orderkey, o_custkey, o_totalprice)"
 _SLIM = "o_orderkey long, o_custkey long, o_totalprice double"
+_ORDERS_SQL = "SELECT o_orderkey, o_custkey, o_totalprice FROM orders"
+
+
+def _store(spark, sf_dir, table: str = "orders", catalog: Catalog = CATALOG) -> Store:
+    """A new store that holds the orders table."""
+    store = Store(spark, fresh_folder(spark, "store"), catalog)
+    store.create(table, read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"))
+    return store
 
 
-def _orders(spark, sf_dir) -> DataFrame:
-    return sharded(spark, sf_dir, ORDERS).select("o_orderkey", "o_custkey", "o_totalprice", "shard")
+def _content(store: Store, table: str = "orders") -> DataFrame:
+    return store.read(table).drop("shard")
 
 
-@query("dml_insert_route", f"SELECT o_custkey, count(*) AS n FROM (SELECT o_custkey FROM orders UNION ALL SELECT o_custkey FROM {_NEW_SQL}) GROUP BY o_custkey")
+@query("dml_insert_route", f"{_ORDERS_SQL} UNION ALL SELECT * FROM {_NEW_SQL}")
 def dml_insert_route(spark, sf_dir):
-    return insert(_orders(spark, sf_dir), split_insert(spark, _NEW, _SLIM, ORDERS)).groupBy("o_custkey").agg(F.count("*").alias("n"))
+    store = _store(spark, sf_dir)
+    store.insert("orders", spark.createDataFrame(_NEW, _SLIM))
+    return _content(store)
 
 
-@query("dml_insert_split")
+@query("dml_insert_split", "SELECT 900001 + i AS o_orderkey, s AS shard FROM (VALUES (0, {}), (1, {}), (2, {})) t(i, s)".format(*(ORDERS.shards_of(k).__iter__().__next__() for k, _, _ in _NEW)))
 def dml_insert_split(spark, sf_dir):
-    return split_insert(spark, _NEW, _SLIM, ORDERS).groupBy("shard").agg(F.count("*").alias("n"))
+    """Each row of a multi-row INSERT goes to its own shard."""
+    return split_insert(spark, _NEW, _SLIM, ORDERS).select("o_orderkey", "shard")
+
+
+@query("dml_insert_round_robin", f"SELECT count(*) AS n, 4 AS shards, TRUE AS even FROM {_NEW_SQL}, range(400)")
+def dml_insert_round_robin(spark, sf_dir):
+    """Rows without a key column are dealt over the shards in turn."""
+    store = _store(spark, sf_dir)
+    rows = spark.createDataFrame(_NEW, _SLIM).drop("o_orderkey").crossJoin(spark.range(400)).drop("id").coalesce(1)
+    got = store.insert("orders", rows).returning.groupBy("shard").agg(F.count("*").alias("c"))
+    return got.agg(F.sum("c").alias("n"), F.count("*").cast("int").alias("shards"), (F.max("c") - F.min("c") <= 1).alias("even"))
 
 
-@query("dml_auto_id", "SELECT count(*) AS n, count(*) AS ids, 2 AS kept FROM customer WHERE c_custkey < 30")
+@query("dml_insert_omni", "SELECT n_nationkey, n_name FROM nation UNION ALL SELECT 100, 'NEW'")
+def dml_insert_omni(spark, sf_dir):
+    """A replicated table keeps one copy; an insert reaches every reader."""
+    store = Store(spark, fresh_folder(spark, "store"), CATALOG)
+    store.create("nation", read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name"))
+    store.insert("nation", spark.createDataFrame([(100, "NEW")], "n_nationkey long, n_name string"))
+    return _content(store, "nation")
+
+
+@query("dml_insert_schema", "SELECT o_orderkey, 2 AS shard FROM orders")
+def dml_insert_schema(spark, sf_dir):
+    """A table in a placed schema lies on that schema's shard, whatever its key."""
+    placed = Catalog(4, [ORDERS], schemas={"east": 2})
+    store = Store(spark, fresh_folder(spark, "store"), placed)
+    store.create("east.orders", read(spark, sf_dir, "orders").select("o_orderkey"))
+    return store.read("east.orders")
+
+
+@query("dml_auto_id", "SELECT count(*) AS n, count(*) AS ids, count(*) FILTER (c_custkey % 2 = 0) AS kept FROM customer")
 def dml_auto_id(spark, sf_dir):
-    c = read(spark, sf_dir, "customer").where("c_custkey < 30").select("c_name", F.when(F.col("c_custkey").isin(1, 2), F.col("c_custkey")).alias("id"))
-    return auto_id(c, "id").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.sum(F.col("id").isin(1, 2).cast("int")).alias("kept"))
+    """Every second customer brings an id, the others get one that no row has."""
+    c = read(spark, sf_dir, "customer").select("c_name", F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey")).alias("given")).withColumn("id", F.col("given"))
+    return auto_id(c, "id").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count_if(F.col("id") == F.col("given")).alias("kept"))
 
 
 @query("dml_update", "SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey IN (3, 4, 5) THEN round(o_totalprice * 2, 2) ELSE o_totalprice END AS o_totalprice FROM orders")
 def dml_update(spark, sf_dir):
-    return update(_orders(spark, sf_dir), ORDERS, "o_orderkey IN (3, 4, 5)", {"o_totalprice": F.round(F.col("o_totalprice") * 2, 2)}).drop("shard")
+    """Only the shards of the three keys are rewritten."""
+    store = _store(spark, sf_dir)
+    store.update("orders", "o_orderkey IN (3, 4, 5)", {"o_totalprice": F.round(F.col("o_totalprice") * 2, 2)})
+    return _content(store)
+
+
+@query("dml_returning", "SELECT o_orderkey, o_custkey, 0.0 AS o_totalprice FROM orders WHERE o_custkey < 20")
+def dml_returning(spark, sf_dir):
+    """UPDATE ... RETURNING gives the new rows."""
+    return _store(spark, sf_dir).update("orders", "o_custkey < 20", {"o_totalprice": F.lit(0.0)}).returning.drop("shard")
+
+
+@query("dml_affected_rows", "SELECT * FROM (SELECT 'update' AS op, count(*) AS n FROM orders WHERE o_custkey < 20 UNION ALL SELECT 'delete', count(*) FROM orders WHERE o_totalprice > 200000 UNION ALL SELECT 'insert', 3 UNION ALL SELECT 'nothing', 0) t")
+def dml_affected_rows(spark, sf_dir):
+    """Affected rows over all shards, each row once."""
+    store = _store(spark, sf_dir)
+    n = [("update", store.update("orders", "o_custkey < 20", {"o_custkey": F.col("o_custkey")}).affected), ("delete", store.delete("orders", "o_totalprice > 200000").affected), ("insert", store.insert("orders", spark.createDataFrame(_NEW, _SLIM)).affected), ("nothing", store.delete("orders", "o_orderkey = -1").affected)]
+    return spark.createDataFrame(n, "op string, n long")
 
 
 @query("dml_shard_key_update", "SELECT CASE WHEN o_orderkey = 7 THEN 990007 ELSE o_orderkey END AS o_orderkey, o_custkey, o_totalprice FROM orders")
 def dml_shard_key_update(spark, sf_dir):
-    return move_row(_orders(spark, sf_dir), ORDERS, "o_orderkey = 7", 990007).drop("shard")
+    store = _store(spark, sf_dir)
+    store.move_row("orders", "o_orderkey = 7", 990007)
+    return _content(store)
 
 
-@query("dml_delete", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE NOT (o_custkey < 20 AND o_totalprice > 1000)")
+@query("dml_delete", f"{_ORDERS_SQL} WHERE NOT (o_custkey < 20 AND o_totalprice > 1000)")
 def dml_delete(spark, sf_dir):
-    return delete(_orders(spark, sf_dir), ORDERS, "o_custkey < 20 AND o_totalprice > 1000").drop("shard")
+    store = _store(spark, sf_dir)
+    store.delete("orders", "o_custkey < 20 AND o_totalprice > 1000")
+    return _content(store)
 
 
-@query("dml_upsert", "SELECT o_orderkey, 1 AS o_custkey, 0.5 AS o_totalprice FROM orders WHERE o_orderkey < 10 UNION ALL SELECT 900010, 1, 0.5 UNION ALL SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey >= 10")
+@query("dml_upsert", "SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 0 THEN 1 ELSE o_custkey END AS o_custkey, CASE WHEN o_orderkey % 50 = 0 THEN 0.5 ELSE o_totalprice END AS o_totalprice FROM orders UNION ALL SELECT 900010, 1, 0.5")
 def dml_upsert(spark, sf_dir):
-    o = _orders(spark, sf_dir).drop("shard")
-    rows = o.where("o_orderkey < 10").select("o_orderkey", F.lit(1).cast("long").alias("o_custkey"), F.lit(0.5).alias("o_totalprice"))
-    rows = rows.unionByName(spark.createDataFrame([(900010, 1, 0.5)], _SLIM))
-    return upsert(o, rows, "o_orderkey")
-
-
-@query("omni_write_guard")
+    """Every fiftieth order is replaced and one is added; of two versions of a row that with the later number holds."""
+    store = _store(spark, sf_dir)
+    rows = read(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select("o_orderkey", F.explode(F.array(F.lit(1), F.lit(2))).alias("version"))
+    rows = rows.select("o_orderkey", F.lit(1).cast("long").alias("o_custkey"), F.when(F.col("version") == 2, 0.5).otherwise(9.0).alias("o_totalprice"), "version")
+    store.upsert("orders", rows.unionByName(spark.createDataFrame([(900010, 1, 0.5, 1)], f"{_SLIM}, version int")), "o_orderkey", "version")
+    return _content(store)
+
+
+@query("dml_two_phase", f"SELECT 'orders' AS source, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM ({_ORDERS_SQL} WHERE o_custkey >= 20) UNION ALL SELECT 'archive', count(*), round(sum(o_totalprice), 2) FROM orders WHERE o_custkey < 20")
+def dml_two_phase(spark, sf_dir):
+    """Rows move from one table to another in a transaction: after it both have changed; a transaction that fails changes neither."""
+    store = _store(spark, sf_dir, catalog=Catalog(4, [ORDERS, ShardedTable("archive", "o_orderkey", 4)]))
+    gone = store.read("orders", "o_custkey < 20").drop("shard")
+    with store:
+        store.create("archive", gone)
+        store.delete("orders", "o_custkey < 20")
+    try:
+        with store:
+            store.delete("archive", "o_custkey < 20")
+            raise LookupError
+    except LookupError:
+        pass
+    sums = [F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")]
+    return store.read("orders").agg(*sums).withColumn("source", F.lit("orders")).unionByName(store.read("archive").agg(*sums).withColumn("source", F.lit("archive")))
+
+
+@query("omni_write_guard", "SELECT * FROM (VALUES ('UPDATE nation SET n_name = ''x''', 'Summary: shard=All shards role=primary'), ('/* tesselar_shard: 1 */ UPDATE nation SET n_name = ''x''', 'refused: nation: on every shard; a write to some of them is refused')) t(\"sql\", outcome)")
 def omni_write_guard(spark, sf_dir):
     """A write to a replicated table that a hint sends to one shard is refused."""
     from ..plans.planner import route
 
     said = []
-    for sql in ("UPDATE nation SET n_name = 'x'", "/* app_shard: 1 */ UPDATE nation SET n_name = 'x'"):
+    for sql in ("UPDATE nation SET n_name = 'x'", "/* tesselar_shard: 1 */ UPDATE nation SET n_name = 'x'"):
         try:
             said.append((sql, route(spark, Catalog(4, omni={"nation"}), "nation", sql=sql).lines()[0]))
         except RoutingError as e:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..functions.partition import centroid_shards, shard_of
-from ..plans.catalog import Catalog, RoutingError, ShardedTable, with_shard
-from ..plans.planner import check_same_shape, explain, prune, pruned, route
-from ..session import read
+from ..plans.catalog import Catalog, RoutingError, ShardedTable, one_copy, write_sharded
+from ..plans.planner import check_same_shape, explain, prune, prune_relation, pruned, relations, route, route_statement
+from ..plans.admin import system_columns, system_tables
+from ..plans.store import Store
+from ..session import fresh_folder, made_once, read, views
 from .params import bound
 from .registry import query, sql_query
 
@@ -19,8 +23,9 @@ CATALOG = Catalog(4, [ORDERS, LINEITEM, CUSTOMER, EVENTS], {"nation", "region",
 
 
 def sharded(spark, sf_dir, t: ShardedTable):
-    """The table with its shard column; over data written by write_sharded this is the storage partition instead."""
-    return with_shard(read(spark, sf_dir, t.name), t)
+    """The table as write_sharded stores it (written once per session); shard is its storage partition."""
+    path = made_once(spark, sf_dir, f"sharded-{t.name}", lambda p: write_sharded(read(spark, sf_dir, t.name), t, p))
+    return spark.read.parquet(path)
 
 
 @query("scan_direct_shard", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = 7")
@@ -40,8 +45,8 @@ def scan_all_shards(spark, sf_dir):
 
 @query("scan_gather_unordered", "SELECT o_orderkey, o_orderpriority FROM orders")
 def scan_gather_unordered(spark, sf_dir):
-    o = sharded(spark, sf_dir, ORDERS)
-    return check_same_shape(*(o.where(F.col("shard") == k).select("o_orderkey", "o_orderpriority") for k in range(ORDERS.shards)))
+    """All shards in whatever order they come: one scan over their folders."""
+    return one_copy(sharded(spark, sf_dir, ORDERS), ORDERS).select("o_orderkey", "o_orderpriority")
 
 
 @query("scan_omni", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
@@ -131,7 +136,7 @@ def validate_shard_schema(spark, sf_dir):
     raise AssertionError("shards of different shape were united")
 
 
-@query("catalog_columns")
+@query("catalog_columns", "SELECT table_name, ordinal_position::INTEGER AS position, column_name, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'DATE' THEN 'date' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(data_type) END AS data_type, TRUE AS nullable, column_name IN ('o_orderkey', 'l_orderkey', 'c_custkey') AND table_name = CASE left(column_name, 1) WHEN 'o' THEN 'orders' WHEN 'l' THEN 'lineitem' ELSE 'customer' END AS is_sharding_key FROM information_schema.columns WHERE table_name IN ('orders', 'lineitem', 'customer', 'nation', 'region')")
 def catalog_columns(spark, sf_dir):
     """Columns of the registered tables with their position, type and sharding."""
     rows = []
@@ -141,9 +146,17 @@ def catalog_columns(spark, sf_dir):
     return spark.createDataFrame(rows, "table_name string, position int, column_name string, data_type string, nullable boolean, is_sharding_key boolean")
 
 
-@query("explain_route")
+def _trace() -> str:
+    from ..plans.planner import name_of
+
+    got = name_of(ORDERS.shards_of(1) | ORDERS.shards_of(2))
+    lines = [f"Summary: shard={got} role=replica", f"{got}: orders.o_orderkey matched", f"{got}: sharded tables together"]
+    return "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(lines)) + ") t(line, plan)"
+
+
+@query("explain_route", _trace())
 def explain_route(spark, sf_dir):
-    r = route(spark, CATALOG, "orders", "o_orderkey IN (1, 2)", sql="/* app_role: replica */ SELECT * FROM orders WHERE o_orderkey IN (1, 2)")
+    r = route(spark, CATALOG, "orders", "o_orderkey IN (1, 2)", sql="/* tesselar_role: replica */ SELECT * FROM orders WHERE o_orderkey IN (1, 2)")
     return explain(spark, r)
 
 
@@ -151,12 +164,32 @@ def _vectors(spark, sf_dir):
     return read(spark, sf_dir, "embeddings")
 
 
+def read_centroids(spark, path: str, most_bytes: int = 64 << 20) -> list[list[float]]:
+    """Centroids from a file that holds a JSON array of vectors of one length."""
+    text, size = spark.read.text(path, wholetext=True).select("value", F.octet_length("value")).first()
+    if size > most_bytes:
+        raise RoutingError(f"{path} has {size} bytes; centroids are kept by every task")
+    vectors = [list(map(float, v)) for v in json.loads(text)]
+    if not vectors or len({len(v) for v in vectors}) != 1 or not vectors[0]:
+        raise RoutingError(f"{path}: centroids must be vectors of one length")
+    return vectors
+
+
 def centroids_of(spark, sf_dir, n: int = 8) -> list[list[float]]:
-    """The first n vectors by id stand for trained centroids; a file of centroids is read the same way."""
+    """The first n vectors by id stand for trained centroids."""
     return [list(r.embedding) for r in _vectors(spark, sf_dir).orderBy("vec_id").limit(n).collect()]
 
 
-@query("ann_probe_topk")
+_ANN_SQL = """
+WITH c AS (SELECT (row_number() OVER (ORDER BY vec_id) - 1) AS i, embedding AS e FROM embeddings ORDER BY vec_id LIMIT 8),
+d AS (SELECT v.vec_id, c.i, row_number() OVER (PARTITION BY v.vec_id ORDER BY list_distance(v.embedding::DOUBLE[], c.e::DOUBLE[]), c.i) AS r FROM embeddings v, c),
+w AS (SELECT e FROM c WHERE i = 3),
+q AS (SELECT DISTINCT i % 4 AS s FROM (SELECT a.i, row_number() OVER (ORDER BY list_distance(a.e::DOUBLE[], w.e::DOUBLE[]), a.i) AS r FROM c a, w) WHERE r <= 3)
+SELECT v.vec_id, round(list_distance(v.embedding::DOUBLE[], w.e::DOUBLE[]), 4) AS distance FROM embeddings v JOIN d ON d.vec_id = v.vec_id AND d.r = 1, w WHERE d.i % 4 IN (SELECT s FROM q) ORDER BY 2, 1 LIMIT 10
+"""
+
+
+@query("ann_probe_topk", _ANN_SQL)
 def ann_probe_topk(spark, sf_dir):
     """The ten nearest vectors among the shards that the query's nearest centroids lie on: approximate by design."""
     from ..functions.vector import l2
@@ -168,3 +201,48 @@ def ann_probe_topk(spark, sf_dir):
     v = _vectors(spark, sf_dir).withColumn("shard", F.element_at(centroid_shards(F.col("embedding"), c, 4, 1), 1)).where(F.col("shard").isin(near))
     goal = F.array(*(F.lit(float(x)) for x in want))
     return v.select("vec_id", F.round(l2(F.col("embedding"), goal), 4).alias("distance")).orderBy("distance", "vec_id").limit(10)
+
+
+@query("alias_pruned_join", "SELECT o.o_orderkey, l.l_linenumber FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey WHERE l.l_orderkey = 7 AND o.o_totalprice > 0")
+def alias_pruned_join(spark, sf_dir):
+    """Each relation of a statement is pruned by the conditions on its own alias."""
+    sql = "SELECT o.o_orderkey, l.l_linenumber FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey WHERE l.l_orderkey = 7 AND o.o_totalprice > 0"
+    got = {r.alias: prune_relation(CATALOG.sharded(r.name), r) for r in relations(spark, sql)}
+    if got != {"o": None, "l": LINEITEM.shards_of(7)}:
+        raise AssertionError(got)
+    o = one_copy(sharded(spark, sf_dir, ORDERS), ORDERS).alias("o")
+    l = sharded(spark, sf_dir, LINEITEM).where(F.col("shard").isin(*got["l"])).alias("l")
+    return o.join(l, F.expr("o.o_orderkey = l.l_orderkey")).where("l.l_orderkey = 7 AND o.o_totalprice > 0").select("o.o_orderkey", "l.l_linenumber")
+
+
+@query("join_schema_qualified", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")
+def join_schema_qualified(spark, sf_dir):
+    """Tables of one placed schema lie together: the join sees one shard."""
+    placed = Catalog(4, schemas={"east": 1, "west": 2})
+    if route_statement(spark, placed, "SELECT * FROM east.nation n JOIN east.region r ON n.n_regionkey = r.r_regionkey").shards != frozenset({1}):
+        raise AssertionError("one schema is one shard")
+    if route_statement(spark, placed, "SELECT * FROM west.nation n JOIN east.region r ON n.n_regionkey = r.r_regionkey").shards != frozenset({2}):
+        raise AssertionError("the first schema decides")
+    east = Store(spark, fresh_folder(spark, "store"), placed)
+    for name in ("nation", "region"):
+        east.create(f"east.{name}", read(spark, sf_dir, name))
+    n, r = (east.read(f"east.{x}") for x in ("nation", "region"))
+    return n.join(r, (F.col("n_regionkey") == F.col("r_regionkey")) & (n.shard == r.shard)).where("r_name = 'ASIA'").select("n_name", "r_name")
+
+
+@query("system_tables", "SELECT table_name AS name, count(*) AS columns FROM information_schema.columns WHERE table_name IN ('nation', 'region') GROUP BY 1")
+def system_tables_query(spark, sf_dir):
+    views(spark, sf_dir, "nation", "region")
+    c = system_columns(spark).where(F.col("table_name").isin("nation", "region"))
+    return c.join(system_tables(spark).select(F.col("name").alias("table_name")), "table_name").groupBy(F.col("table_name").alias("name")).agg(F.count("*").alias("columns"))
+
+
+@query("centroid_file", "SELECT vec_id, 1 AS near FROM embeddings ORDER BY vec_id LIMIT 8")
+def centroid_file(spark, sf_dir):
+    """Centroids kept as a JSON file and read back: each of the vectors they were made of is its own nearest."""
+    c = centroids_of(spark, sf_dir)
+    path = fresh_folder(spark, "centroids")
+    spark.createDataFrame([(json.dumps(c),)], "value string").coalesce(1).write.text(path)
+    t = ShardedTable("embeddings", "embedding", 8, kind="vector", centroids=tuple(map(tuple, read_centroids(spark, path))), probes=1)
+    rows = _vectors(spark, sf_dir).orderBy("vec_id").limit(8).collect()
+    return spark.createDataFrame([(r.vec_id, len(t.shards_of(list(r.embedding)))) for r in rows], "vec_id long, near int")

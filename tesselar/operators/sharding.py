@@ -26,19 +26,52 @@ def _hash_sql(source: str, key: str, shards: int) -> str:
     return sql + f"hashed AS (SELECT k, ((((b::HUGEINT << 32) + c + {P.COMBINE}::HUGEINT) % 18446744073709551616::HUGEINT) % {shards})::INTEGER AS shard FROM s8)\n"
 
 
+def _hash_bytes_sql(source: str, keep: str, hexed: str, length: int, shards: int) -> str:
+    """DuckDB SQL: the seeded hash of `length` bytes, given in hexadecimal; the last CTE is `hashed` with columns `keep` and shard."""
+    m, state = P._M, P._seeded(length)
+
+    def word(at: int, size: int) -> str:
+        """Little-endian number of `size` bytes."""
+        digits = " || ".join(f"substr(x, {2 * (at + j) + 1}, 2)" for j in reversed(range(size)))
+        return f"('0x' || {digits})::BIGINT" if size > 0 else "0"
+
+    ctes = [f"s0 AS (SELECT {keep}, {hexed} AS x, {state['a']}::BIGINT AS a, {state['b']}::BIGINT AS b, {state['c']}::BIGINT AS c FROM {source})"]
+
+    def step(**new: str) -> None:
+        ctes.append(f"s{len(ctes)} AS (SELECT {keep}, x, {', '.join(f'{new.get(n, n)} AS {n}' for n in 'abc')} FROM s{len(ctes) - 1})")
+
+    turned = lambda v, k: f"((({v} << {k}) | ({v} >> {32 - k})) & {m})"
+    at = 0
+    while length - at >= 12:
+        step(**{n: f"({n} + {word(at + 4 * j, 4)}) & {m}" for j, n in enumerate("abc")})
+        for t, minus, k, plus in P.MIX:
+            step(**{t: f"xor(({t} - {minus}) & {m}, {turned(minus, k)})", minus: f"({minus} + {plus}) & {m}"})
+        at += 12
+    left = length - at
+    step(a=f"(a + {word(at, min(left, 4))}) & {m}", b=f"(b + {word(at + 4, min(max(left - 4, 0), 4))}) & {m}", c=f"(c + (({word(at + 8, max(left - 8, 0))}) << 8)) & {m}")
+    for t, other, k in P.FINAL:
+        step(**{t: f"(xor({t}, {other}) - {turned(other, k)}) & {m}"})
+    ctes.append(f"hashed AS (SELECT {keep}, ((((b::HUGEINT << 32) + c + {P.COMBINE}::HUGEINT) % 18446744073709551616::HUGEINT) % {shards})::INTEGER AS shard FROM s{len(ctes) - 1})")
+    return "WITH " + ",\n".join(ctes) + "\n"
+
+
+_UUID_SQL = "(SELECT c_custkey, u, substr(u, 1, 8) || '-' || substr(u, 9, 4) || '-' || substr(u, 13, 4) || '-' || substr(u, 17, 4) || '-' || substr(u, 21, 12) AS id_uuid FROM (SELECT c_custkey, md5(c_custkey::VARCHAR) AS u FROM customer))"
+
+
 @query("shard_hash_bigint", _hash_sql("orders", "o_orderkey", 12) + "SELECT k AS o_orderkey, shard FROM hashed")
 def shard_hash_bigint(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", P.hash_bigint(F.col("o_orderkey"), 12).alias("shard"))
 
 
-@query("shard_hash_uuid")
+@query("shard_hash_uuid", _hash_bytes_sql(_UUID_SQL, "c_custkey, id_uuid", "u", 16, 12) + "SELECT * FROM hashed")
 def shard_hash_uuid(spark, sf_dir):
     u = F.md5(F.col("c_custkey").cast("string"))
     dashed = F.concat_ws("-", u.substr(1, 8), u.substr(9, 4), u.substr(13, 4), u.substr(17, 4), u.substr(21, 12))
     return read(spark, sf_dir, "customer").select("c_custkey", dashed.alias("id_uuid")).withColumn("shard", P.hash_uuid(F.col("id_uuid"), 12))
 
 
-@query("shard_hash_varchar")
+# names have 18 bytes, 'Customer#' and nine digits; any that had not would differ
+@query("shard_hash_varchar", _hash_bytes_sql("customer", "c_custkey, c_name", "hex(encode(c_name))", 18, 12) + "SELECT * FROM hashed")
 def shard_hash_varchar(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey", "c_name", P.hash_varchar(F.col("c_name"), 12).alias("shard"))
 
@@ -110,10 +143,10 @@ def shard_lookup_shard(spark, sf_dir):
     return j.select("c_custkey", F.when(F.col("s").between(0, 4), F.col("s")).otherwise(F.raise_error(F.lit("lookup gives no shard"))).cast("int").alias("shard"))
 
 
-@query("shard_null_key", "SELECT s AS shard, count(*) AS n FROM customer, (SELECT unnest(range(4))::INTEGER AS s) WHERE c_custkey % 10 = 0 GROUP BY s")
+@query("shard_null_key", "SELECT s AS shard, count(*) AS n FROM customer, (SELECT unnest(range(4))::INTEGER AS s) GROUP BY s")
 def shard_null_key(spark, sf_dir):
     """Rows without a key are on every shard."""
-    c = read(spark, sf_dir, "customer").where("c_custkey % 10 = 0").withColumn("c_custkey", F.lit(None).cast("long"))
+    c = read(spark, sf_dir, "customer").withColumn("c_custkey", F.lit(None).cast("long"))
     return with_shard(c, CUSTOMER).groupBy("shard").agg(F.count("*").alias("n"))
 
 
@@ -129,7 +162,12 @@ def next_id_for_shard(spark, sf_dir):
     return spark.range(1, 1001).where(P.hash_bigint(F.col("id"), 4) == 2)
 
 
-@query("route_priority")
+def _winners() -> str:
+    """The rule in other words: the larger source wins; of equal ones the larger shard, as 2 is beside 1."""
+    return ", ".join(f"('{a.name}', '{b.name}', '{max(a, b).name}', {2 if b >= a else 1})" for a in Source for b in Source)
+
+
+@query("route_priority", f"SELECT * FROM (VALUES {_winners()}) t(first, second, winner, shard)")
 def route_priority(spark, sf_dir):
     """The winning source of each pair of sources, a comment against a session setting among them."""
     rows = []
@@ -142,17 +180,20 @@ def route_priority(spark, sf_dir):
     return spark.createDataFrame(rows, "first string, second string, winner string, shard int")
 
 
-@query("hint_comment")
+_HINTS = ("/* tesselar_shard: 3 */ SELECT 1", "SELECT 1 -- tesselar_sharding_key: 7", '/* tesselar_sharding_key: "12" tesselar_role: primary */ SELECT 1', "/* max_shard: 2 */ SELECT 1", "SELECT 1")
+
+
+@query("hint_comment", _hash_sql("(SELECT unnest([7, 12]::BIGINT[]) AS n)", "n", 4) + f", v(\"sql\", key, given, read) AS (VALUES ('{_HINTS[0]}', NULL, 3, true), ('{_HINTS[1]}', 7, NULL, true), ('{_HINTS[2]}', 12, NULL, false), ('{_HINTS[3]}', NULL, NULL, true), ('{_HINTS[4]}', NULL, NULL, true)) SELECT \"sql\", coalesce(given, shard)::INTEGER AS shard, read FROM v LEFT JOIN hashed ON v.key = hashed.k")
 def hint_comment(spark, sf_dir):
     rows = []
-    for sql in ("/* app_shard: 3 */ SELECT 1", "SELECT 1 -- app_sharding_key: 7", '/* app_sharding_key: "12" app_role: primary */ SELECT 1', "SELECT 1"):
+    for sql in _HINTS:
         r = Route()
         comment_hints(CATALOG, sql, r)
         rows.append((sql, None if r.shards is None else min(r.shards), r.read))
     return spark.createDataFrame(rows, "sql string, shard int, read boolean")
 
 
-@query("hint_set")
+@query("hint_set", _hash_sql("(SELECT 5::BIGINT AS n)", "n", 4) + "SELECT * FROM (VALUES ('{''shard'': ''1''}', 1, true), ('{''role'': ''primary''}', NULL, false), ('{}', NULL, true)) t(settings, shard, read) UNION ALL SELECT '{''sharding_key'': ''5''}', shard, true FROM hashed")
 def hint_set(spark, sf_dir):
     rows = []
     for settings in ({"shard": "1"}, {"sharding_key": "5"}, {"role": "primary"}, {}):
@@ -173,8 +214,8 @@ def reshard_counts(spark, sf_dir):
 
 @query("reshard_omni", "SELECT n_nationkey, n_name FROM nation")
 def reshard_omni(spark, sf_dir):
-    """A replicated table is taken from one source copy, so each destination gets every row once."""
+    """Each destination gets every row once, from the source that owns it."""
     from ..streaming.reshard import reshard_omni
 
     copies = read(spark, sf_dir, "nation").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    return reshard_omni(copies, 6).where("shard = 5").select("n_nationkey", "n_name")
+    return reshard_omni(copies, 4, 6).where("shard = 5").select("n_nationkey", "n_name")

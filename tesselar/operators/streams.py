@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..session import read
+from ..sources import pgoutput
 from ..streaming import cdc
 from .bulk import _folder
 from .registry import query
 from .scans import EVENTS
+from .sharding import _hash_sql
 
 _TYPE = "key long, op string"
 
@@ -46,7 +49,14 @@ def _folded(spark, sf_dir, ops):
     return cdc.fold(_base(spark, sf_dir), _changes(spark, sf_dir, ops), "id", ["status", "amount"]).select("id", "status", F.round("amount", 6).alias("amount"))
 
 
-for _name, _ops in (("cdc_insert", "I"), ("cdc_update", "U"), ("cdc_partial_update", "UP"), ("cdc_delete", "D"), ("cdc_apply", "IUPD")):
+@query("cdc_delete", "SELECT DISTINCT user_id AS id, 'start' AS status, 0.0 AS amount FROM events WHERE user_id % 2 = 0 AND user_id NOT IN (SELECT user_id FROM events WHERE event_id % 10 = 8 AND event_type = 'purchase')")
+def cdc_delete(spark, sf_dir):
+    """Deletes of the users that a purchase event of a certain number names; the others stay."""
+    bought = _changes(spark, sf_dir, "D").where("new.status = 'purchase'")
+    return cdc.fold(_base(spark, sf_dir), bought, "id", ["status", "amount"]).select("id", "status", F.round("amount", 6).alias("amount"))
+
+
+for _name, _ops in (("cdc_insert", "I"), ("cdc_update", "U"), ("cdc_partial_update", "UP"), ("cdc_apply", "IUPD")):
     query(_name, _fold_sql(_ops))(lambda spark, sf_dir, ops=_ops: _folded(spark, sf_dir, ops))
 
 
@@ -63,10 +73,10 @@ def cdc_lsn_gate(spark, sf_dir):
     return cdc.gate(_changes(spark, sf_dir), applied).agg(F.count("*").alias("n"), F.min("lsn").alias("first"))
 
 
-@query("cdc_route", "SELECT user_id AS key, count(*) AS n, 1::BIGINT AS shards FROM events GROUP BY user_id")
+@query("cdc_route", _hash_sql("events", "user_id", 4) + "SELECT k AS key, shard, count(*) AS n FROM hashed GROUP BY k, shard")
 def cdc_route(spark, sf_dir):
-    """All events of a key are on one shard."""
-    return cdc.routed(_changes(spark, sf_dir), EVENTS).groupBy("key").agg(F.count("*").alias("n"), F.count_distinct("shard").alias("shards"))
+    """Events go to the shard that holds their key's row."""
+    return cdc.routed(_changes(spark, sf_dir), EVENTS).groupBy("key", "shard").agg(F.count("*").alias("n"))
 
 
 @query("cdc_lag", "SELECT 'accounts' AS \"table\", max(event_id) - 100 AS lag FROM events")
@@ -88,10 +98,10 @@ def cdc_delete_full_identity(spark, sf_dir):
     return cdc.delete_by_full_identity(b, b.distinct()).groupBy("event_type", "k").agg(F.count("*").alias("n"))
 
 
-@query("cdc_full_identity_move", "SELECT user_id + CASE WHEN event_id < 50 THEN 7 ELSE 0 END AS user_id, event_id FROM events")
+@query("cdc_full_identity_move", "SELECT user_id + CASE WHEN event_type = 'click' THEN 7 ELSE 0 END AS user_id, event_id, event_type FROM events")
 def cdc_full_identity_move(spark, sf_dir):
-    b = read(spark, sf_dir, "events").select("user_id", "event_id")
-    old = b.where("event_id < 50")
+    b = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    old = b.where("event_type = 'click'")
     return cdc.move_by_full_identity(b, old, old.withColumn("user_id", F.col("user_id") + 7), EVENTS).drop("shard")
 
 
@@ -134,3 +144,124 @@ def stream_sliding(spark, sf_dir):
 def stream_session(spark, sf_dir):
     w = _stream(spark, sf_dir).withWatermark("ts", "1 hour").groupBy(F.session_window("ts", "30 minutes"), "user_id").agg(F.count("*").alias("n"))
     return _collected(spark, w.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n"), "complete")
+
+
+def _log(spark, sf_dir, folder: str, files: int = 3) -> None:
+    """The events table as message files of a replication log: a transaction per event, whole files in the order of their positions."""
+    relation = pgoutput.relation(pgoutput.Relation(7, "public", "accounts", "d", ((True, "id", 20), (False, "status", 25), (False, "amount", 701))))
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for e in part.sort_values("event_id").itertuples(index=False):
+            lsn, m, key = int(e.event_id) + 1, int(e.event_id) % 10, str(e.user_id)
+            row = [key, e.event_type, None if pd.isna(e.value) else repr(float(e.value))]
+            if m == 9:
+                said = pgoutput.insert(7, row)
+            elif m == 8:
+                said = pgoutput.delete(7, [key, None, None])
+            else:
+                said = pgoutput.update(7, [*row[:2], ...] if m >= 6 else row)
+            out += [(lsn, pgoutput.begin(lsn)), (lsn, relation), (lsn, said), (lsn, pgoutput.commit(lsn))]
+        return pd.DataFrame({"lsn": [out[-1][0]], "content": [pgoutput.to_file(out)]})
+
+    e = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    most = e.agg(F.max("event_id")).first()[0]
+    dealt = e.withColumn("g", F.floor(F.col("event_id") * files / (most + 1)))
+    rows = dealt.groupBy("g").applyInPandas(one, "lsn long, content binary")
+
+    def put(batches):
+        from pyarrow import fs
+
+        for b in batches:
+            for lsn, content in zip(b["lsn"], b["content"], strict=True):
+                where, path = fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+                where.create_dir(path, recursive=True)
+                with where.open_output_stream(f"{path}/.{lsn}.part", compression=None) as f:
+                    f.write(content)
+                where.move(f"{path}/.{lsn}.part", f"{path}/{lsn}.log")
+            yield b[["lsn"]]
+
+    rows.mapInPandas(put, "lsn long").agg(F.count("*")).collect()
+
+
+def _decoded(files, spark):
+    """Change events of message files, in the form that cdc.fold takes."""
+    e = pgoutput.events(files, pgoutput.relations_of(files)).where("op <> 'T'")
+    new = F.struct(F.col("new")["status"].alias("status"), F.col("new")["amount"].cast("double").alias("amount"))
+    return e.select("table", "lsn", "seq", "op", F.col("key").cast("long").alias("key"), F.col("old_key").cast("long").alias("old_key"), new.alias("new"), "unchanged")
+
+
+@query("cdc_decode", "SELECT op, count(*) AS n, sum(event_id + 1)::BIGINT AS lsns, count(*) FILTER (event_id % 10 IN (6, 7)) AS partial FROM (SELECT *, CASE WHEN event_id % 10 = 9 THEN 'I' WHEN event_id % 10 = 8 THEN 'D' ELSE 'U' END AS op FROM events) t GROUP BY op")
+def cdc_decode(spark, sf_dir):
+    """Messages of a replication log, decoded file by file."""
+    folder = _folder(spark)
+    _log(spark, sf_dir, folder)
+    files = spark.read.format("binaryFile").load(folder)
+    return _decoded(files, spark).groupBy("op").agg(F.count("*").alias("n"), F.sum("lsn").alias("lsns"), F.count_if(F.size("unchanged") > 0).alias("partial"))
+
+
+@query("cdc_stream_apply", _fold_sql("IUPD"))
+def cdc_stream_apply(spark, sf_dir):
+    """A replication log is followed as a stream: each batch is decoded, gated by the applied position and folded, and state and position are published together."""
+    from ..sources.replication import ReplicationSource
+
+    folder, checkpoint = _folder(spark), _folder(spark)
+    _log(spark, sf_dir, folder)
+    spark.dataSource.register(ReplicationSource)
+    state = cdc.VersionedState(spark, _folder(spark))
+    state.start(_base(spark, sf_dir), "accounts")
+    files = spark.readStream.format("replication").load(folder)
+    for _ in range(2):  # the second run begins at the checkpoint and finds nothing new
+        cdc.apply_stream(files, state, lambda batch: _decoded(batch, spark).withColumn("table", F.lit("accounts")), "accounts", "id", ["status", "amount"], checkpoint).awaitTermination()
+    return state.read().select("id", "status", F.round("amount", 6).alias("amount"))
+
+
+@query("reshard_orchestrated", _hash_sql("(SELECT id AS k, status, amount FROM (" + _fold_sql("IUPD") + "))", "k", 6) + "SELECT shard, count(*) AS n FROM hashed GROUP BY shard")
+def reshard_orchestrated(spark, sf_dir):
+    """A table moves from 4 to 6 shards while its changes go on: copy, replay, cutover; rows per shard after it."""
+    from ..plans.catalog import Catalog, ShardedTable
+    from ..plans.store import Store
+    from ..streaming.orchestrator import Followed, Reshard
+
+    old, new = (Store(spark, _folder(spark), Catalog(n, [ShardedTable("accounts", "id", n)])) for n in (4, 6))
+    old.create("accounts", _base(spark, sf_dir))
+    changes = _changes(spark, sf_dir)
+    last = changes.agg(F.max("lsn")).first()[0]
+    # the copy stands for position -1: all changes come after it
+    position = iter([-1, last // 2])
+    move = Reshard(spark, old, new, [Followed("accounts", "id", ["status", "amount"])], lambda after: changes.where(F.col("lsn") > after), lambda: next(position, last))
+    if move.run() != "lag":
+        raise AssertionError("no cutover")
+    return new.read("accounts").groupBy("shard").agg(F.count("*").alias("n"))
+
+
+_LATE_SQL = """
+WITH k AS (SELECT event_type, ts, date_trunc('hour', ts)::TIMESTAMP AS start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS until, event_id % 2 = 0 AS early FROM events),
+m AS (SELECT max(ts) FILTER (early) - INTERVAL 1 HOUR AS first, max(ts) - INTERVAL 1 HOUR AS second FROM k)
+SELECT event_type, start, count(*) AS n FROM k, m WHERE (until <= first AND early) OR (until > first AND until <= second) GROUP BY 1, 2
+"""
+
+
+@query("stream_late_data", _LATE_SQL)
+def stream_late_data(spark, sf_dir):
+    """Append mode: a window is given once, when the watermark has passed it; rows that come after that are late and are left out."""
+    folder = _folder(spark)
+    e = read(spark, sf_dir, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    base = _folder(spark)
+    # the first batch holds every second event; the others come later, and are late where the first batch's watermark has closed their window
+    out = None
+    for k in (0, 1):
+        e.where(F.col("event_id") % 2 == k).coalesce(1).write.mode("append").parquet(folder)
+        s = spark.readStream.schema(e.schema).parquet(folder).withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"))
+        out = s.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("start"), "n")
+        out.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{base}/out")
+
+
+@query("stream_join", "SELECT a.user_id, a.event_id AS click, b.event_id AS purchase FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'purchase' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 2 HOURS")
+def stream_join(spark, sf_dir):
+    """Two streams joined on a key within two hours; watermarks bound what is kept."""
+    a = _stream(spark, sf_dir).where("event_type = 'click'").select("user_id", F.col("event_id").alias("click"), F.col("ts").alias("at")).withWatermark("at", "1 hour")
+    b = _stream(spark, sf_dir).where("event_type = 'purchase'").select(F.col("user_id").alias("buyer"), F.col("event_id").alias("purchase"), F.col("ts").alias("bought")).withWatermark("bought", "1 hour")
+    j = a.join(b, F.expr("user_id = buyer AND bought >= at AND bought <= at + INTERVAL 2 HOURS"))
+    return _collected(spark, j.select("user_id", "click", "purchase"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import partition as P
@@ -64,6 +64,15 @@ class ShardedTable:
         return frozenset({P.shard_of(value, self.kind, self.shards, self.function)})
 
 
+@dataclass(frozen=True)
+class ForeignKey:
+    table: str
+    column: str
+    refers_to: str
+    key: str
+    on_delete: str = "no action"
+
+
 @dataclass
 class Catalog:
     shards: int
@@ -72,13 +81,20 @@ class Catalog:
     schemas: dict[str, int | None] = field(default_factory=dict)
     tenant_column: str | None = None
     cross_shard: bool = True
+    read_only: bool = False
+    comment_prefix: str = "tesselar"
     columns: dict[str, Sequence[str]] = field(default_factory=dict)
+    foreign_keys: list[ForeignKey] = field(default_factory=list)
 
     def sharded(self, name: str) -> ShardedTable | None:
         """The table's own entry, else one for a column that it has."""
         named = next((t for t in self.tables if t.name == name), None)
         return named or next((t for t in self.tables if t.name is None and t.column in self.columns.get(name, ())), None)
 
+    def destructive(self, name: str) -> bool:
+        """Would deleting a row of the table change or delete rows that refer to it?"""
+        return any(k.refers_to == name and k.on_delete.lower() in ("cascade", "set null", "set default") for k in self.foreign_keys)
+
     def common(self) -> ShardedTable:
         """The rule for bare keys: only where all tables agree."""
         rules = {(t.kind, t.function, t.lists, t.ranges, t.default, t.centroids): t for t in self.tables}
@@ -88,14 +104,32 @@ class Catalog:
 
 
 def with_shard(df: DataFrame, t: ShardedTable, strict: bool = False) -> DataFrame:
-    """df with its shard column; rows that belong to all shards get one copy for each, or raise if strict."""
+    """df with its shard column; rows that belong to all shards get one copy for each (see one_copy), or raise if strict."""
     shard = t.shard_column()
     if strict:
-        return df.withColumn("shard", F.when(shard.isNull(), F.raise_error(F.lit("row without a shard"))).otherwise(shard))
+        return df.withColumn("shard", F.coalesce(shard, F.raise_error(F.lit("row without a shard")).cast("int")))
+    # the shard is worked out once: a row's own place, or all of them
     every = F.sequence(F.lit(0), F.lit(t.shards - 1))
-    return df.withColumn("shard", F.explode(F.when(shard.isNull(), every).otherwise(F.array(shard))))
+    placed = df.withColumn("__shard", shard.cast("int"))
+    return placed.withColumn("shard", F.explode(F.when(F.col("__shard").isNull(), every).otherwise(F.array("__shard")))).drop("__shard")
+
+
+def one_copy(df: DataFrame, t: ShardedTable) -> DataFrame:
+    """Rows of a stored table, each once: those that lie on all shards are taken from shard 0."""
+    own = F.col(t.column).isNotNull() if not t.mapped and not t.centroids else t.shard_column().isNotNull()
+    return df.where(own | (F.col("shard") == 0))
+
+
+def round_robin(df: DataFrame, shards: int) -> DataFrame:
+    """df with a shard for each row in turn, for rows whose key is not known."""
+    return df.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int"))
 
 
 def write_sharded(df: DataFrame, t: ShardedTable, path: str, mode: str = "overwrite") -> None:
     """One folder per shard; a shard's rows are brought together by one shuffle, and large shards split into several files by AQE."""
     with_shard(df, t).hint("rebalance", "shard").write.mode(mode).partitionBy("shard").parquet(path)
+
+
+def read_sharded(spark: SparkSession, t: ShardedTable, path: str) -> DataFrame:
+    """A table that write_sharded wrote, each row once; shard is a storage partition."""
+    return one_copy(spark.read.parquet(path), t)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.catalog import RoutingError, ShardedTable
@@ -22,9 +22,9 @@ def order_of() -> Column:
 def gate(events: DataFrame, applied: DataFrame) -> DataFrame:
     """Events beyond their table's applied position; rows of one transaction share its lsn and pass together.
 
-    applied has one row per table, so it is broadcast.
+    applied has one row per table; Spark chooses how to join it.
     """
-    a = F.broadcast(applied.select("table", F.col("lsn").alias("applied_lsn")))
+    a = applied.select("table", F.col("lsn").alias("applied_lsn"))
     return events.join(a, "table", "left").where(F.col("applied_lsn").isNull() | (F.col("lsn") > F.col("applied_lsn"))).drop("applied_lsn")
 
 
@@ -92,7 +92,7 @@ def routed(events: DataFrame, t: ShardedTable) -> DataFrame:
 def lag(sent: DataFrame, applied: DataFrame) -> DataFrame:
     """Distance of the applied position from the newest event, per table."""
     newest = sent.groupBy("table").agg(F.max("lsn").alias("newest"))
-    return newest.join(F.broadcast(applied), "table", "left").select("table", (F.col("newest") - F.coalesce("lsn", F.lit(0))).alias("lag"))
+    return newest.join(applied, "table", "left").select("table", (F.col("newest") - F.coalesce("lsn", F.lit(0))).alias("lag"))
 
 
 def check_identity(identity: str, key: list[str], columns: list[str]) -> None:
@@ -101,14 +101,51 @@ def check_identity(identity: str, key: list[str], columns: list[str]) -> None:
         raise RoutingError("the table has no replica identity")
 
 
-def apply_stream(events: DataFrame, read_state: Callable[[], DataFrame], write_state: Callable[[DataFrame, int], None], key: str, columns: list[str], checkpoint: str):
-    """Start a query that folds each micro-batch into the state.
+class VersionedState:
+    """A table's content and the position that it stands for, published together as numbered versions in a folder.
 
-    write_state publishes a new version under the batch's number; a batch that runs
-    again publishes the same content, so the state moves exactly once.
+    A version is a folder with content and position; readers take the newest that is
+    complete.  A batch that runs again finds its version or writes the same one.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        self._path = lambda p: path(p)
+        self._fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[int]:
+        """Complete versions."""
+        root = self._path(self.folder)
+        names = [s.getPath().getName() for s in self._fs.listStatus(root)] if self._fs.exists(root) else []
+        return sorted(int(n) for n in names if n.isdigit() and self._fs.exists(self._path(f"{self.folder}/{n}/applied/_SUCCESS")))
+
+    def start(self, base: DataFrame, table: str, lsn: int = -1) -> None:
+        self.publish(base, self.spark.createDataFrame([(table, lsn)], "table string, lsn long"), 0)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{self.versions()[-1]}/rows")
+
+    def applied(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{self.versions()[-1]}/applied")
+
+    def publish(self, rows: DataFrame, applied: DataFrame, version: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.folder}/{version}/rows")
+        applied.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/{version}/applied")  # the last step: it makes the version complete
+
+
+def apply_stream(source: DataFrame, state: VersionedState, decode: Callable[[DataFrame], DataFrame], table: str, key: str, columns: list[str], checkpoint: str):
+    """Start a query that decodes each micro-batch, drops what is applied already, and folds the rest into the state.
+
+    A batch that runs again, or that a restart replays from an older position, publishes
+    the same content: the gate drops events at or below the applied position.
     """
 
     def one(batch: DataFrame, number: int) -> None:
-        write_state(fold(read_state(), batch, key, columns), number)
+        events = gate(decode(batch), state.applied())
+        newest = events.agg(F.max("lsn")).first()[0]
+        if newest is not None:
+            rows = fold(state.read(), events, key, columns)
+            state.publish(rows, state.spark.createDataFrame([(table, newest)], "table string, lsn long"), state.versions()[-1] + 1)
 
-    return events.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return source.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -7,17 +7,18 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.catalog import ShardedTable, with_shard, write_sharded
+from ..plans.catalog import ShardedTable, one_copy, with_shard, write_sharded
 
 
-def reshard(source: DataFrame, target: ShardedTable) -> DataFrame:
-    """Rows with the shard that the target's function gives them."""
-    return with_shard(source.drop("shard"), target)
+def reshard(source: DataFrame, target: ShardedTable, origin: ShardedTable | None = None) -> DataFrame:
+    """Rows with the shard that the target's function gives them; copies of rows that lay on all shards by the origin's rule (the target's if none is given) are taken once."""
+    return with_shard(one_copy(source, origin or target).drop("shard"), target)
 
 
-def reshard_omni(copies: DataFrame, shards: int) -> DataFrame:
-    """Every target shard gets the rows of one source copy: source i owns targets d with d % sources = i, and the copies agree."""
-    return copies.where("shard = 0").drop("shard").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+def reshard_omni(copies: DataFrame, sources: int, shards: int) -> DataFrame:
+    """Every target shard gets the rows of one source copy: source i owns the targets d with d % sources = i."""
+    targets = F.array_compact(F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda d: F.when(d % sources == F.col("shard"), d)))
+    return copies.withColumn("shard", F.explode(targets))
 
 
 def copy_tables(spark: SparkSession, tables: dict[str, tuple[DataFrame, ShardedTable]], path: str) -> DataFrame:

@@ -1,15 +1,17 @@
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tesselar.operators import dml
 from tesselar.operators.bulk import read_binary
-from tesselar.plans.catalog import RoutingError, ShardedTable, with_shard, write_sharded
+from tesselar.plans.catalog import RoutingError, ShardedTable, one_copy, read_sharded, with_shard, write_sharded
 from tesselar.plans.planner import pruned
 from tesselar.sources.copy import encode_binary, read_csv, read_text, to_text, write_csv
 from tesselar.streaming import cdc
-from tesselar.streaming.reshard import CutoverPolicy, copy_tables
+from tesselar.streaming.reshard import CutoverPolicy, copy_tables, reshard
 
 T = ShardedTable("t", "id", 3)
 
@@ -88,6 +90,38 @@ def test_key_change_needs_the_whole_row(spark):
         cdc.check_identity("nothing", [], ["a"])
 
 
+def test_rows_without_a_shard_are_read_once(spark, tmp_path):
+    df = spark.createDataFrame([(1, 1), (None, 2), (7, 3), (None, 4)], "id long, v long")
+    write_sharded(df, T, str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 2 + 2 * 3
+    once = read_sharded(spark, T, str(tmp_path / "t"))
+    assert rows(once.select("id", "v")) == rows(df)
+    more = reshard(spark.read.parquet(str(tmp_path / "t")), ShardedTable("t", "id", 5), T)
+    assert more.count() == 2 + 2 * 5 and rows(one_copy(more, ShardedTable("t", "id", 5)).select("id", "v")) == rows(df)
+    mapped = ShardedTable("t", "id", 2, ranges=((0, 5, 0),))
+    assert rows(one_copy(with_shard(df, mapped), mapped).select("id", "v")) == rows(df)
+    with pytest.raises(Exception, match="without a shard"):
+        with_shard(df, T, strict=True).collect()
+
+
+@given(st.lists(st.lists(st.one_of(st.none(), st.text(alphabet="a\\\t\n\r.N\b\ufdd0", max_size=6)), min_size=2, max_size=2), min_size=1, max_size=6))
+@settings(max_examples=15, deadline=None)
+def test_copy_text_round_trip(spark, data):
+    import tempfile
+
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(data)], "id long, a string, b string")
+    with tempfile.TemporaryDirectory() as d:
+        to_text(df).coalesce(1).write.text(d + "/t")
+        assert rows(read_text(spark, d + "/t", "id long, a string, b string")) == rows(df)
+
+
+def test_copy_text_by_hand(spark, tmp_path):
+    (tmp_path / "a").write_bytes(b"1\ta\\\\\tb\n2\ta\\\tb\tc\n3\t\\N\t\\\\N\n4\t\\x\t\\t\n\\.\n5\tno\tno\n")
+    (tmp_path / "b").write_bytes(b"6\t\t\n")
+    got = {r.id: (r.a, r.b) for r in read_text(spark, str(tmp_path), "id long, a string, b string").collect()}
+    assert got == {1: ("a\\", "b"), 2: ("a\tb", "c"), 3: (None, "\\N"), 4: ("x", "\t"), 6: ("", "")}
+
+
 def test_reshard_and_cutover(spark, tmp_path):
     n = copy_tables(spark, {"t": (table(spark), ShardedTable("t", "id", 5))}, str(tmp_path))
     assert n.agg(F.sum("rows")).first()[0] == 8
