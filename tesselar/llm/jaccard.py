@@ -4,28 +4,33 @@ A document's set holds the 64-bit hashes of its distinct 5-word shingles (of the
 whole word sequence if it has fewer words).  Two sets link when 100 * shared >=
 75 * union.  No link between different sets is lost:
 
-* Equal sets form a class; its smallest doc_id stands for it.
+* Equal sets form a class; one row stands for it, and everything below is between
+  classes, known by a row number.
+* Groups of near copies become connected first, at a cost in proportion to their
+  size: members of a bucket (equal least hash under one of MINS orders) meet a pivot
+  only, for ROUNDS rounds; pivots go by a hash, so buckets agree on them.
 * Prefix.  In one global order of shingles, linked sets share a shingle within
   their first n - ceil(0.75 n) + 1.  The order is by hash, with shingles that many
   texts have at its end, so shared passages rarely get into a prefix.  Any order
-  gives the same links; this one keeps candidate lists short.
+  gives the same links; this one keeps candidate lists short.  Only shingles that
+  classes of different components have in their prefixes are followed.
 * Tiles.  A tile holds the prefix places of one shingle and one size band (sizes
   within a factor 4/3, so linked sets lie in the same or neighbouring bands).
-* First the members of a tile meet a pivot only, in two offset bandings; then, for
-  ROUNDS rounds in all, those not yet connected with them meet PIVOTS other ones.
-  Pivots go by a hash of the id, so tiles agree on them, and groups of near copies
-  become connected at a cost in proportion to their size.  Last, members of a tile
-  that are still not connected meet each other: those of short lists by a join,
-  those of long lists as matrices of bitmaps, of which only pairs within the bound
-  become rows.
-* Bound.  Parity bitmaps of about two bits per shingle: the bits that differ bound
+  Its members first meet PIVOTS pivots; then those of short lists that are still
+  not connected meet each other by a join, those of long lists as matrices of
+  bitmaps, of which only pairs within the bound become rows.
+* Bound.  Parity bitmaps of one to two bits per shingle: the bits that differ bound
   the shared shingles from above, pairs that cannot reach the threshold go.
 * The rest is decided by intersecting the sorted arrays.
 
+Lists are counted by aggregations that combine before they shuffle, and met by
+joins, which can split a hot key; no shingle's whole list has to fit one task.
+
 Edge cases: null and empty texts, and texts of white space, have an empty set and
-link with nothing.  A null id gets a null component.  Rows of equal id and text
-get equal results; rows of equal id and different texts are told apart by their
-sets unless one id stands for both classes.  Other columns are ignored.
+link with nothing.  A null id gets a null component and links with nothing.  Rows of
+equal id and text get equal results; rows of equal id and different texts are told
+apart.  Long texts are read whole; an empty table gives no rows.  Ids of any type
+pass through unchanged.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,95 +40,54 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_side, stored, table
-from .graph import components
+from .common import small_batches, small_side, stored, table
+from .graph import merged
+from .words import mix, text_chunks, word_hashes
 
 K = 5
 PERCENT = 75
 #: Shingles that at least so many texts have (as counted in batches) go to the end of the order, at most HEAVY_MOST of them.
 HEAVY = 64
 HEAVY_MOST = 300_000
-ROUNDS, PIVOTS = 2, 4
+MINS, ROUNDS, PIVOTS = 6, 2, 2
 #: Members from which a shingle's list is compared as matrices of bitmaps, in blocks of BLOCK.
 LARGE, BLOCK = 32, 2048
-GROUP_BYTES = 32 << 20
-_CHUNK = 1 << 20
+GROUP_BYTES = 16 << 20
+#: Leaves that meet a hub's set in one group.
+GROUP = 200
+FLUSH = 1_000_000
 
 _rng = np.random.default_rng(20240501)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _rng.integers(1, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHORT = _rng.integers(1, 2**63, K + 1, dtype=np.uint64)
-_P = 0x9E3779B97F4A7C15
-_P_INVERSE = pow(_P, -1, 1 << 64)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of _P and of its inverse modulo 2^64, at least n of each."""
-    if 0 not in _powers or len(_powers[0][0]) < n:
-        size = max(n, _CHUNK * 2)
-        got = []
-        for p in (_P, _P_INVERSE):
-            a = np.full(size, p, dtype=np.uint64)
-            a[0] = 1
-            got.append(np.multiply.accumulate(a))
-        _powers[0] = tuple(got)
-    return _powers[0]
-
-
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words, and where each text's words begin (one entry more than texts)."""
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    data = _LOWER[np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)]
-    ends_at = np.cumsum([len(r) + 1 for r in raw])
-    space = _SPACE[data]
-    before = np.append(True, space[:-1])
-    starts = np.flatnonzero(~space & before)
-    ends = np.flatnonzero(space & ~before)
-    power, inverse = _power(len(data) + 1)
-    total = np.append(np.uint64(0), np.cumsum(_BYTE[data] * power[: len(data)]))
-    words = _mix((total[ends] - total[starts]) * inverse[starts])
-    return words, np.append(0, np.searchsorted(starts, ends_at))
-
-
-def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
-    """Sorted distinct shingle hashes of each text, worked out in chunks of about a megabyte."""
-    texts = [t if isinstance(t, str) else "" for t in texts]
-    at = 0
-    while at < len(texts):
-        to, size = at, 0
-        while to < len(texts) and (to == at or size + len(texts[to]) < _CHUNK):
-            size += len(texts[to])
-            to += 1
-        words, first = word_hashes(texts[at:to])
-        n = max(0, len(words) - K + 1)
-        runs = np.zeros(n, np.uint64)
-        for j in range(K):
-            runs += words[j : j + n] * _PLACE[j]
-        runs = _mix(runs)
-        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            if b - a >= K:
-                yield np.unique(runs[a : b - K + 1])
-            elif b > a:
-                yield _mix((words[a:b] * _PLACE[: b - a]).sum(keepdims=True, dtype=np.uint64) + _SHORT[b - a])
-            else:
-                yield np.zeros(0, np.uint64)
-        at = to
+_SEEDS = [0, *_rng.integers(1, 2**62, ROUNDS + PIVOTS - 1).tolist()]
+_ORDER = _rng.integers(1, 2**63, MINS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_sets(data: bytes, at: np.ndarray) -> Iterator[np.ndarray]:
+    """Sorted distinct shingle hashes of each text of a chunk (see text_chunks)."""
+    words, first = word_hashes(data, at)
+    n = max(0, len(words) - K + 1)
+    runs = np.zeros(n, np.uint64)
+    for j in range(K):
+        runs += words[j : j + n] * _PLACE[j]
+    runs = mix(runs)
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if b - a >= K:
+            s = np.sort(runs[a : b - K + 1])
+            yield s[np.append(True, s[1:] != s[:-1])]
+        elif b > a:
+            yield mix((words[a:b] * _PLACE[: b - a]).sum(keepdims=True, dtype=np.uint64) + _SHORT[b - a])
+        else:
+            yield np.zeros(0, np.uint64)
+
+
+def _digest(raw: bytes) -> bytes:
+    return hashlib.blake2b(raw, digest_size=16).digest()
 
 
 def least_shared(n: int) -> int:
@@ -132,114 +96,150 @@ def least_shared(n: int) -> int:
 
 
 def bitmap(values: np.ndarray) -> bytes:
-    """Parity of the values on each of about two bits per value (a power of two, 64 at least)."""
-    bits = 64
-    while bits < 2 * len(values):
-        bits *= 2
+    """Parity of the values on each of one to two bits per value (a power of two, 64 at least)."""
+    bits = max(64, 1 << (len(values) - 1).bit_length()) if len(values) else 64
     return np.packbits(np.bincount((values & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
 def most_shared(a: bytes, n_a: int, b: bytes, n_b: int) -> int:
     """Upper bound of the shared shingles: sets that differ in d places differ in at most d bits of equal parity bitmaps."""
-    x, y = np.unpackbits(np.frombuffer(a, np.uint8)), np.unpackbits(np.frombuffer(b, np.uint8))
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     while len(x) > len(y):
         x = x.reshape(2, -1)[0] ^ x.reshape(2, -1)[1]
     while len(y) > len(x):
         y = y.reshape(2, -1)[0] ^ y.reshape(2, -1)[1]
-    return min(n_a, n_b, (n_a + n_b - int((x ^ y).sum())) // 2)
+    return min(n_a, n_b, (n_a + n_b - int(np.bitwise_count(x ^ y).sum())) // 2)
 
 
 def _heavy(slim: DataFrame) -> np.ndarray:
     """Shingles that many texts have, sorted.  Every text is counted; within a batch only those seen twice are passed on."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
-        def out() -> pd.DataFrame:
+        def out() -> pa.RecordBatch:
             value, n = np.unique(np.concatenate(held), return_counts=True)
-            return pd.DataFrame({"s": value[n > 1].view(np.int64), "n": n[n > 1]})
+            return pa.RecordBatch.from_arrays([pa.array(value[n > 1].view(np.int64)), pa.array(n[n > 1])], ["s", "n"])
 
         for b in batches:
-            for s in shingle_sets(b["text"].tolist()):
-                held.append(s)
-                size += len(s)
-                if size > 2_000_000:
+            for _, _, data, at in text_chunks(b.column("text")):
+                for s in shingle_sets(data, at):
+                    held.append(s)
+                    size += len(s)
+                if size > FLUSH:
                     yield out()
                     held, size = [], 0
         if held:
             yield out()
 
-    many = slim.select("text").mapInPandas(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY)
+    many = slim.select("text").mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY)
     got = many.orderBy(F.desc("n"), "s").limit(HEAVY_MOST).toPandas()["s"].to_numpy(np.int64)
     return np.sort(got.view(np.uint64))
 
 
-def _signed(slim: DataFrame, heavy: np.ndarray, kind: str) -> DataFrame:
-    """id, n, fp (128-bit digest of the set), bits and prefix of every row with an id."""
+def _signed(slim: DataFrame, heavy: np.ndarray) -> DataFrame:
+    """id, key, n, fp (128-bit digest of the set), bits, mins and prefix of every row."""
     held = slim.sparkSession.sparkContext.broadcast(heavy)
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy = held.value
         for b in batches:
-            n, fp, bits, prefix = [], [], [], []
-            for s in shingle_sets(b["text"].tolist()):
-                n.append(len(s))
-                fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                bits.append(bitmap(s))
-                take = len(s) - least_shared(len(s)) + 1 if len(s) else 0
-                if len(heavy) and take:
-                    last = heavy[np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)] == s
-                    s = np.concatenate([s[~last], s[last]])
-                prefix.append(s[:take].view(np.int64))
-            yield pd.DataFrame({"id": b["id"], "n": n, "fp": fp, "bits": bits, "prefix": prefix})
-
-    return slim.mapInPandas(sign, f"id {kind}, n int, fp binary, bits binary, prefix array<long>")
-
-
-def _verified(pairs: DataFrame, signed: DataFrame, slim: DataFrame, kind: str) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
-    bits = lambda x: signed.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+            for a, z, data, at in text_chunks(b.column("text")):
+                n, fp, bits, mins, prefix = [], [], [], [], []
+                for s in shingle_sets(data, at):
+                    n.append(len(s))
+                    fp.append(_digest(s.tobytes()))
+                    bits.append(bitmap(s))
+                    mins.append((s[:, None] * _ORDER).min(axis=0).view(np.int64) if len(s) else np.zeros(MINS, np.int64))
+                    take = len(s) - least_shared(len(s)) + 1 if len(s) else 0
+                    if len(heavy) and take:
+                        last = heavy[np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)] == s
+                        s = np.concatenate([s[~last][:take], s[last][:take]])
+                    prefix.append(s[:take].view(np.int64).copy())
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(p) for p in prefix])), pa.int32()), pa.array(np.concatenate(prefix)))
+                mins = pa.ListArray.from_arrays(pa.array(np.arange(0, MINS * (z - a) + 1, MINS), pa.int32()), pa.array(np.concatenate(mins)))
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(a, z - a), b.column("key").slice(a, z - a), pa.array(n, pa.int32()), pa.array(fp, pa.binary()), pa.array(bits, pa.binary()), mins, lists], ["id", "key", "n", "fp", "bits", "mins", "prefix"])
+
+    kind, key = (slim.schema[c].dataType.simpleString() for c in ("id", "key"))
+    return slim.mapInArrow(sign, f"id {kind}, key {key}, n int, fp binary, bits binary, mins array<long>, prefix array<long>")
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, slim: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose sets link, as (u, v)."""
+    pairs = stored(pairs, "pairs")
+    nodes = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
+    info = stored(reps.select("node", "n", "bits", "id", "fp").join(small_side(nodes), "node"), "info")
+    known, sizes = small_side(info.select("node", "bits")), small_side(info.select("node", "n"))
+    with_size = lambda x: sizes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"))
+    with_bits = lambda x: known.select(F.col("node").alias(x), F.col("bits").alias(f"bits_{x}"))
 
     @F.pandas_udf("boolean")
     def may_link(n_a: pd.Series, x: pd.Series, n_b: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([100 * (m := most_shared(p, i, q, j)) >= PERCENT * (i + j - m) for i, p, j, q in zip(n_a, x, n_b, y, strict=True)], dtype=bool)
 
-    left = pairs.join(bits("a"), "a").join(bits("b"), "b").where(may_link("n_a", "bits_a", "n_b", "bits_b")).select("a", "b")
-    left = stored(left.distinct(), "bounded")
-    ids = small_side(stored(left.select(F.col("a").alias("id")).union(left.select("b")).distinct(), "ids"), 16)
-
-    def arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    size = lambda x: F.col(f"n_{x}") * 100 >= F.col(f"n_{'b' if x == 'a' else 'a'}") * PERCENT
+    left = pairs.join(with_size("a"), "a").join(with_size("b"), "b").where(size("a") & size("b"))
+    left = left.join(with_bits("a"), "a").join(with_bits("b"), "b").where(may_link("n_a", "bits_a", "n_b", "bits_b")).select("a", "b")
+    left = stored(left, "bounded")
+
+    # of a pair the set of the leaf, the class of fewer pairs, travels to that of the hub; a hub of many pairs is dealt over groups of about GROUP leaves
+    degree = small_side(stored(left.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("deg")), "degree"))
+    of = lambda x: degree.select(F.col("node").alias(x), F.col("deg").alias(f"deg_{x}"))
+    turned = F.col("deg_a") < F.col("deg_b")
+    one = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x))
+    star = left.join(of("a"), "a").join(of("b"), "b").select(one("a", "b").alias("hub"), one("b", "a").alias("leaf"), F.ceil(F.greatest("deg_a", "deg_b") / GROUP).alias("salts"), F.ceil(F.least("deg_a", "deg_b") / GROUP).alias("parts"))
+    star = stored(star.withColumn("salt", F.pmod(F.xxhash64("leaf"), F.col("salts")).cast("int")), "star")
+    leaves = star.groupBy(F.col("leaf").alias("node"), F.pmod(F.xxhash64("hub"), F.col("parts"))).agg(F.collect_list(F.struct("hub", "salt", "leaf")).alias("to")).select("node", "to")
+    hubs = star.select(F.col("hub").alias("node"), "salts").distinct().select("node", F.transform(F.sequence(F.lit(0), (F.col("salts") - 1).cast("int")), lambda k: F.struct(F.col("node").alias("hub"), k.alias("salt"), F.lit(None).cast("long").alias("leaf"))).alias("to"))
+    # texts are known by id, sets by their digest: a text that shares its id with a wanted one has another digest
+    need = small_side(stored(info.select("node", "id", "fp").join(leaves.unionByName(hubs), "node").select("id", "fp", "to"), "need"))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "s": [s.tobytes() for s in shingle_sets(b["text"].tolist())]})
-
-    sets = stored(slim.join(ids, "id", "left_semi").mapInPandas(arrays, f"id {kind}, s binary").distinct(), "sets")
-
-    @F.pandas_udf("boolean")
-    def links(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(x, y, strict=True):
-            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            m = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(len(p) > 0 and len(q) > 0 and 100 * m >= PERCENT * (len(p) + len(q) - m))
-        return pd.Series(out, dtype=bool)
-
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("s").alias(f"s_{x}"))
-    return stored(left.join(side("a"), "a").join(side("b"), "b").where(links("s_a", "s_b")).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "links")
-
-
-def _pivot_pairs(p: DataFrame, seeds: range) -> DataFrame:
-    """Each member of a tile with the tile's pivots, where they are not yet connected; a pivot is the member with the smallest hash under a seed."""
-    out = None
-    for band in ("band", "half"):
-        tile = Window.partitionBy("t", band)
-        pivots = F.array(*(F.min(F.struct(F.xxhash64("id", F.lit(s)).alias("h"), F.col("id").alias("a"), F.col("root").alias("r"))).over(tile) for s in seeds))
-        pairs = p.select("id", "root", pivots.alias("ps")).select("id", "root", F.explode(F.array_distinct("ps")).alias("p")).where("p.r <> root").select(F.least("p.a", "id").alias("a"), F.greatest("p.a", "id").alias("b"))
-        out = pairs if out is None else out.union(pairs)
-    return out.distinct()
-
-
-def _matrix_pairs(ids: np.ndarray, n: np.ndarray, roots: np.ndarray, block: np.ndarray, bits: list[bytes], across: bool) -> list[np.ndarray]:
-    """Pairs of a tile that are not connected and whose bitmaps let them link; across: of different blocks only."""
+            for a, z, data, at in text_chunks(b.column("text")):
+                out = []
+                wanted = zip(b.column("fp").slice(a, z - a).to_pylist(), b.column("to").slice(a, z - a).to_pylist(), strict=True)
+                for s, (fp, to) in zip(shingle_sets(data, at), wanted, strict=True):
+                    raw = s.tobytes()
+                    if _digest(raw) == fp:
+                        out += [(x["hub"], x["salt"], x["leaf"], raw) for x in to]
+                columns = zip(*out, strict=True) if out else [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["hub", "salt", "leaf", "s"])
+
+    def meet(t: pa.Table) -> pa.Table:
+        hub, leaf, raw = t.column("hub")[0].as_py(), t.column("leaf").to_pylist(), t.column("s")
+        own = np.frombuffer(raw[leaf.index(None)].as_py(), np.uint64)
+        found = []
+        for i, x in enumerate(leaf):
+            if x is not None and len(own):
+                s = np.frombuffer(raw[i].as_py(), np.uint64)
+                m = int((own[np.minimum(np.searchsorted(own, s), len(own) - 1)] == s).sum())
+                if len(s) and 100 * m >= PERCENT * (len(own) + len(s) - m):
+                    found.append(x)
+        return pa.table({"u": pa.array([hub] * len(found), pa.int64()), "v": pa.array(found, pa.int64())})
+
+    sets = slim.select("id", "text").join(need, "id").select("text", "fp", "to").mapInArrow(send, "hub long, salt int, leaf long, s binary")
+    return stored(sets.groupBy("hub", "salt").applyInArrow(meet, "u long, v long").distinct(), "links")
+
+
+def _pivot_pairs(p: DataFrame, tile: list[str], seeds: list[int], roots: DataFrame | None) -> DataFrame:
+    """Each member of a tile with the tile's pivots, where they are not yet connected; a pivot is the member that is smallest when the seed's bits are turned over."""
+    pivots = F.array(*(F.min(F.col("node").bitwiseXOR(F.lit(s))).bitwiseXOR(F.lit(s)) for s in seeds))
+    tiles = p.groupBy(*tile).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), pivots.alias("ps")).where("lo <> hi").drop("lo", "hi")
+    tiles = small_side(stored(tiles, "pivots"))
+    met = p.join(tiles, tile).select("node", "root", F.explode(F.array_distinct("ps")).alias("pivot")).where("pivot <> node").distinct()
+    if roots is not None:
+        met = met.join(roots.select(F.col("node").alias("pivot"), F.col("root").alias("r")), "pivot", "left").where(F.coalesce("r", "pivot") != F.col("root"))
+    return met.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
+
+
+def _rooted(p: DataFrame, roots: DataFrame) -> DataFrame:
+    """p with `root`, the smallest class of the component that a class lies in so far."""
+    return p.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _matrix_pairs(n: np.ndarray, roots: np.ndarray, block: np.ndarray, bits: list[bytes], across: bool) -> list[np.ndarray]:
+    """Pairs of places of a tile that are not connected and whose bitmaps let them link; across: of different blocks only."""
     size = np.array([len(b) for b in bits])
     out = []
     for width in np.unique(size).tolist():
@@ -252,7 +252,7 @@ def _matrix_pairs(ids: np.ndarray, n: np.ndarray, roots: np.ndarray, block: np.n
             y = np.frombuffer(b"".join(bits[i] for i in cols), np.uint64).reshape(len(cols), -1)
             if other != width:
                 y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
-            step = max(1, (1 << 22) // max(1, y.size))
+            step = max(1, (1 << 20) // max(1, y.size))
             for at in range(0, len(rows), step):
                 i = rows[at : at + step]
                 differ = np.bitwise_count(x[at : at + step, None, :] ^ y[None]).sum(axis=2, dtype=np.int64)
@@ -264,80 +264,108 @@ def _matrix_pairs(ids: np.ndarray, n: np.ndarray, roots: np.ndarray, block: np.n
                 if other == width:
                     ok &= i[:, None] < cols[None]
                 p, q = np.nonzero(ok)
-                out.append(np.stack([ids[i[p]], ids[cols[q]]], axis=1))
+                out.append(np.stack([i[p], cols[q]], axis=1))
     return out
 
 
-def _tile_pairs(p: DataFrame, signed: DataFrame, kind: str) -> DataFrame:
+def _tile_pairs(rows: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs (a, b) of long lists: a tile holds one list, or two blocks of it, and is compared as matrices; only pairs within the bound become rows."""
     # lists of one smallest member go to one group, which gives a pair once; GROUP_BYTES and more of them are dealt to several by shingle
-    rows = p.select("t", "id", "root", "c", F.min("id").over(Window.partitionBy("t")).alias("least")).join(signed.select("id", "n", "bits"), "id")
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    rows = rows.withColumn("k", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.withColumn("lo", F.least("k", "j")).withColumn("hi", F.greatest("k", "j"))
-    parts = max(24, -(-p.count() // 20_000))
-    weight = rows.groupBy("least").agg(F.ceil(F.sum(F.octet_length("bits") + 64) / GROUP_BYTES).alias("salts"))
-    rows = rows.join(weight, "least")
+    rows = rows.withColumn("k", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = stored(rows.withColumn("lo", F.least("k", "j")).withColumn("hi", F.greatest("k", "j")), "blocks")
+    size = F.greatest(F.lit(64.0), F.pow(F.lit(2.0), F.ceil(F.log2("n")))) / 8 + 64  # of a row with its bitmap
+    weight = stored(rows.groupBy("least").agg(F.sum(size).alias("size")), "weights")
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), int((weight.agg(F.sum("size")).first()[0] or 0) // GROUP_BYTES) + 1)
+    rows = rows.join(small_side(weight.select("least", F.ceil(F.col("size") / GROUP_BYTES).alias("salts"))), "least")
     rows = rows.withColumn("g", F.pmod(F.xxhash64("least", "lo", "hi", F.pmod(F.xxhash64("t"), F.col("salts"))), F.lit(parts))).drop("least", "salts")
+    wanted = small_side(stored(rows.select("node").distinct(), "wanted"))
+    rows = rows.join(stored(reps.select("node", "bits").join(wanted, "node"), "bits"), "node")
 
     def compare(b: pd.DataFrame) -> pd.DataFrame:
-        out = [np.zeros((0, 2), b["id"].to_numpy().dtype)]
+        out = [np.zeros((0, 2), np.int64)]
         for (_, lo, hi), tile in b.groupby(["t", "lo", "hi"], sort=False):
-            out += _matrix_pairs(tile["id"].to_numpy(), tile["n"].to_numpy(np.int64), tile["root"].to_numpy(), tile["k"].to_numpy(), tile["bits"].tolist(), lo != hi)
-        got = np.unique(np.concatenate(out), axis=0)
-        return pd.DataFrame({"a": np.minimum(got[:, 0], got[:, 1]), "b": np.maximum(got[:, 0], got[:, 1])})
+            nodes = tile["node"].to_numpy()
+            out += [nodes[x] for x in _matrix_pairs(tile["n"].to_numpy(np.int64), tile["root"].to_numpy(), tile["k"].to_numpy(), tile["bits"].tolist(), lo != hi)]
+        got = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+        return pd.DataFrame({"a": got[:, 0], "b": got[:, 1]})
 
-    return rows.groupBy("g").applyInPandas(compare, f"a {kind}, b {kind}")
+    return rows.groupBy("g").applyInPandas(compare, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, class_id (smallest id with an equal set) and component_id (smallest id reachable by links) of every row."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = stored(_signed(slim, _heavy(slim), kind), "signed")
-    known = signed.where("id is not null and n > 0")
-    classes = known.groupBy("fp").agg(F.min("id").alias("rep"))
-    of_row = stored(known.select("id", "fp").join(classes, "fp").select("id", "fp", "rep").distinct(), "classes")
-    copies = small_side(of_row.where("id <> rep").select("id", "fp"), 48)
-    reps = known.join(copies, ["id", "fp"], "left_anti")
-
-    size = F.log("n") / F.log(F.lit(100 / PERCENT))
-    places = reps.select("id", "n", F.explode("prefix").alias("t"))
-    tile = Window.partitionBy("t")
-    places = places.withColumn("c", F.count("id").over(tile)).where("c > 1").select("t", "id", "n", F.floor(size).cast("int").alias("band"), F.floor(size + 0.5).cast("int").alias("half"))
-    places = stored(places, "places")
-    links, p = None, places.withColumn("root", F.col("id"))
+def _components(reps: DataFrame, slim: DataFrame) -> DataFrame:
+    """node and root of the classes whose component has a smaller class."""
+    p = reps.select("node", F.posexplode("mins").alias("j", "t")).withColumn("root", F.col("node"))
+    roots = None
     for r in range(ROUNDS):
-        found = _verified(_pivot_pairs(p, range(r * PIVOTS, r * PIVOTS + (PIVOTS if r else 1))), reps, slim, kind)
-        links = found if links is None else stored(links.union(found).distinct(), "links")
-        near = stored(components(links), "components")
-        p = places.join(near, places["id"] == near["node"], "left").select("t", "id", "n", "band", "half", F.coalesce("root", "id").alias("root"))
-        p = p.withColumn("lo", F.min("root").over(tile)).withColumn("hi", F.max("root").over(tile)).withColumn("c", F.count("id").over(tile)).where("lo <> hi").drop("lo", "hi")
-        p = stored(p, "open")
-    large_pairs = _tile_pairs(p.where(F.col("c") > LARGE), reps, kind)
+        roots = merged(roots, _verified(_pivot_pairs(p, ["j", "t"], _SEEDS[r : r + 1], roots), reps, slim))
+        p = _rooted(p, roots)
+
+    # shingles that different components have in their prefixes; a list of two is its smallest and largest member
+    places = _rooted(reps.select("node", "prefix"), roots).select("node", "root", F.explode("prefix").alias("t"))
+    lists = places.groupBy("t").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c"))
+    lists = stored(lists.where("lo <> hi").select("t", "a", "b", "c"), "lists")
+    pairs = lists.where("c = 2").select("a", "b").distinct()
+    band = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT))).cast("int").alias("band")
+    places = reps.select("node", F.explode("prefix").alias("t")).join(small_side(lists.where("c > 2").select("t")), "t")
+    places = stored(_rooted(places.join(reps.select("node", "n"), "node"), roots).select("t", "node", "n", "root", band), "places")
+    pairs = pairs.union(_pivot_pairs(places, ["t", "band"], _SEEDS[ROUNDS:], roots))
+    roots = merged(roots, _verified(pairs.distinct(), reps, slim))
+
+    p = _rooted(places, roots)
+    lists = p.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("node").alias("c"), F.min("node").alias("least")).where("lo <> hi").select("t", "c", "least")
+    p = stored(p.join(small_side(stored(lists, "lists")), "t").select("t", "node", "n", "root", "band", "c", "least"), "open")
+    large_pairs = _tile_pairs(p.where(F.col("c") > LARGE), reps)
     p = p.where(F.col("c") <= LARGE)
-    small = p.select("t", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    large = p.select("t", "band", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
+    small = p.select("t", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
+    large = p.select("t", "band", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
     open_pairs = large.join(small, ["t", "band"]).where((F.col("root_a") != F.col("root_b")) & (F.struct("n_a", "a") > F.struct("n_b", "b")) & (100 * F.col("n_b") >= PERCENT * F.col("n_a")))
-    more = _verified(open_pairs.select("a", "b").union(large_pairs).distinct(), reps, slim, kind)
-    roots = components(links.union(more))
+    return merged(roots, _verified(open_pairs.select("a", "b").union(large_pairs).distinct(), reps, slim))
+
 
-    named = of_row.join(roots, of_row["rep"] == roots["node"], "left").select("id", "fp", "rep", F.coalesce("root", "rep").alias("root"))
-    out = signed.select("id", "n", "fp").join(named, ["id", "fp"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("rep", "id").alias("class_id"), F.coalesce("root", "id").alias("component_id"))
+def _rows(docs: DataFrame, id_col: str, text_col: str, key) -> DataFrame:
+    """row (a number of its own), id, key, n, node (the class; null for rows without id or words), low (smallest id of the component) and first (the first row that has it)."""
+    small_batches(docs.sparkSession)
+    slim = docs.select(F.col(id_col).alias("id"), key.alias("key"), F.col(text_col).alias("text"))
+    signed = stored(_signed(slim, _heavy(slim)).withColumn("row", F.monotonically_increasing_id()), "signed")
+    known = signed.where("id is not null and n > 0")
+    classes = stored(known.groupBy("fp").agg(F.min("row").alias("node")), "classes")
+    of_row = stored(known.select("row", "id", "fp").join(classes, "fp").select("row", "id", "node"), "rows")
+    reps = known.join(small_side(of_row.where("row <> node").select("row")), "row", "left_anti").withColumnRenamed("row", "node")
+
+    of_row = stored(of_row.join(_components(reps, slim), "node", "left").withColumn("root", F.coalesce("root", "node")), "rows")
+    lows = of_row.groupBy("root").agg(F.min("id").alias("low"))
+    firsts = of_row.join(lows, "root").where("id = low").groupBy("root").agg(F.min("row").alias("first"))
+    of_row = of_row.join(lows, "root").join(firsts, "root").select("row", "node", "low", "first")
+    return signed.select("row", "id", "key", "n").join(of_row, "row", "left")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id (smallest id reachable by links) and class_id (a number that rows of equal sets share; null without words or id) of every row."""
+    rows = _rows(docs, id_col, text_col, F.lit(None).cast("string"))
+    return rows.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("low", "id").alias("component_id"), F.col("node").alias("class_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component, that with the smallest id; columns stay.  Rows without words or id all stay, repeated rows become one."""
-    found = stored(jaccard_components(docs, id_col, text_col).select(F.col(id_col).alias("__id"), "component_id"), "found")
-    drop = small_side(stored(found.where("component_id <> __id").select("__id").distinct(), "dropped"), 16)
-    kept = docs.join(drop, docs[id_col] == drop["__id"], "left_anti")
-    again = found.where("__id is not null").groupBy("__id").count().where("count > 1")
+    """docs with one row of each component, the first that has its smallest id; columns stay.
+
+    Rows without words or id all stay.  Rows are known by id and text: of rows that
+    repeat the kept one in both, one stays; a row of its id and another text is
+    judged by its own text.
+    """
+    text = F.md5(F.col(text_col).cast("binary"))
+    rows = stored(_rows(docs, id_col, text_col, text).where("node is not null").select("row", "first", F.col("id").alias("__id"), F.col("key").alias("__text")), "found")
+    chosen = rows.where("row = first").select("__id", "__text")
+    drop = rows.where("row <> first").select("__id", "__text").distinct().join(chosen, ["__id", "__text"], "left_anti")
+    again = rows.join(chosen, ["__id", "__text"]).groupBy("__id", "__text").count().where("count > 1").drop("count")
+    sides = [small_side(stored(x, "keys")) for x in (drop, again)]
+    on = [docs[id_col] == F.col("__id"), text == F.col("__text")]
+    kept = docs.join(sides[0], on, "left_anti")
     if not again.limit(1).count():
         return kept
-    named = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return named.unionByName(kept.where(F.col(id_col).isNull()))
+    return kept.join(sides[1], on, "left_anti").unionByName(kept.join(sides[1], on, "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    found = jaccard_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "class_id")
