@@ -14,19 +14,28 @@ allow-list suppresses what is random-looking but public: words without digits in
 one case, plain numbers, UUIDs, host names and paths, and runs that repeat few
 characters.
 
-Edge cases: null and empty texts have no spans.  Every input row gives one row;
-nothing but the id and text columns is read.
+Edge cases: null and empty texts have no spans.  Every input row gives one row,
+repeated rows too; an empty table gives none.  Long texts and runs are read whole, at a
+cost in proportion to their length.  Equal spans of several kinds stand in the order of
+the kinds.  Ids of any type pass through unchanged; nothing but the id and text columns
+is read, whatever the others' names.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import small_batches, table
 
 # The base patterns, kinds in their order.
 KINDS = ("assign", "access", "hex", "entropy")
@@ -46,7 +55,7 @@ CLASSES = (
 _ALLOWED = (
     re.compile(r"[0-9]+"),
     re.compile(r"[A-Z]?[a-z]+|[A-Z]+"),
-    re.compile(r"[A-Za-z]?[a-z]*(?:[-_/=+][A-Za-z]?[a-z]*)*"),
+    re.compile(r"[A-Z]?[a-z]*(?:[-_/=+][A-Z]?[a-z]*)*"),
     re.compile(r"[0-9]+(?:[-/][0-9]+)*"),
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
 )
@@ -104,8 +113,12 @@ def find_spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple
     if not text:
         return [], []
     base = base_spans(text)
-    own = [(s, 3, e) for s, e in entropy_spans(text) if not any(b <= s and e <= f for b, _, f in base)]
-    return base, sorted(base + own)
+    own = entropy_spans(text)
+    if base and own:
+        starts, ends = [b for b, _, _ in base], list(itertools.accumulate((e for _, _, e in base), max))
+        # the base spans that begin by s reach ends[i] at most
+        own = [(s, e) for s, e in own if not (i := bisect.bisect_right(starts, s)) or ends[i - 1] < e]
+    return base, sorted(base + [(s, 3, e) for s, e in own])
 
 
 def _named(spans: list[tuple[int, int, int]]) -> str:
@@ -113,22 +126,25 @@ def _named(spans: list[tuple[int, int, int]]) -> str:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_assign, n_access, n_hex, n_entropy, base_sha256, spans."""
+    """One row per document: id, n_assign, n_access, n_hex, base_sha256, spans, n_entropy."""
     kind = docs.schema[id_col].dataType.simpleString()
+    small_batches(docs.sparkSession)
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [find_spans(t if isinstance(t, str) else None) for t in b["text"]]
-            n = [[sum(k == want for _, k, _ in every) for _, every in rows] for want in range(4)]
-            yield pd.DataFrame({"id": b["id"], "n_assign": n[0], "n_access": n[1], "n_hex": n[2], "n_entropy": n[3], "base_sha256": [hashlib.sha256(_named(x).encode()).hexdigest() for x, _ in rows], "spans": [_named(x) for _, x in rows]})
+            rows = [find_spans(t) for t in b.column("text").to_pylist()]
+            n = [pa.array([sum(k == want for _, k, _ in every) for _, every in rows], pa.int64()) for want in range(4)]
+            digests = pa.array([hashlib.sha256(_named(x).encode()).hexdigest() for x, _ in rows], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("id"), *n[:3], digests, pa.array([_named(x) for _, x in rows], pa.string()), n[3]], ["id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_entropy"])
 
-    slim = docs.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text")
-    return slim.mapInPandas(run, f"id {kind}, n_assign long, n_access long, n_hex long, n_entropy long, base_sha256 string, spans string").withColumnRenamed("id", id_col)
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return slim.mapInArrow(run, f"id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_entropy long").withColumnRenamed("id", id_col)
 
 
 def redact(docs: DataFrame, text_col: str = "text", mask: str = "[{kind}]") -> DataFrame:
     """docs with every span of the text replaced by its masked kind; overlapping spans become one. All columns and rows stay."""
     names = docs.columns
+    small_batches(docs.sparkSession)
 
     def clean(text):
         if not isinstance(text, str) or not (spans := find_spans(text)[1]):
@@ -140,16 +156,12 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[{kind}]") -> D
             at = max(at, e)
         return "".join([*out, text[at:]])
 
-    from pyspark.sql.functions import col, pandas_udf
-
-    @pandas_udf("string")
+    @F.pandas_udf("string")
     def masked(texts: pd.Series) -> pd.Series:
         return texts.map(clean)
 
-    return docs.select(*(masked(col(c)).alias(c) if c == text_col else col(c) for c in names))
+    return docs.select(*(masked(F.col(c)).alias(c) if c == text_col else F.col(c) for c in names))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import table
-
     return scan(table(spark, sf_dir, "documents"))
