@@ -3,20 +3,24 @@
 Texts are tokenised, an end id is added, and documents of more than `width`
 ids are cut into pieces of `width`; the first piece may be shorter.  Pieces of
 full width are sequences of their own.  The others are dealt to partitions by a
-hash of their ids, and each partition runs best-fit decreasing.  A dual-feasible
-function gives a lower bound on the sequences that any packing of a partition
-needs; a partition that meets its bound is certified.  From partitions with a
-gap the pieces of the worst-filled sequences go to a pool, are dealt anew (so
-partitions exchange documents) and packed again with best-fit decreasing, for
-ROUNDS rounds.  Filled sequences never move again, so the pool shrinks and the
-last round packs it as it is.
+hash of a number that each piece gets for itself, and each partition runs best-fit
+decreasing.  A dual-feasible function gives a lower bound on the sequences that any
+packing of a partition needs; a partition that meets its bound is certified.  From
+partitions with a gap the pieces of the worst-filled sequences go to a pool, are dealt
+anew (so partitions exchange documents) and packed again with best-fit decreasing, for
+ROUNDS rounds.  Filled sequences never move again, so the pool shrinks and the last
+round packs it as it is.  Each piece carries the certificate of the partition that
+packed it: the sequences it kept and the bound for the pieces in them; where both are
+equal, no packing of these pieces needs fewer.
 
 Each round is a stored table: a lost executor repeats a task, not the job.
 Sequence ids are numbers unique over the table; they have no further meaning.
 
-Edge cases: null and empty texts give one piece, the end id.  Rows of equal
-doc_id are packed as rows of their own, each with its pieces.  Only the id and
-text columns are read.
+Edge cases: null and empty texts give one piece, the end id.  Rows of equal doc_id,
+repeated rows and rows without id are packed as rows of their own, each with its pieces;
+pieces of equal length are packed in the order in which they come.  An empty table
+gives no rows.  Long texts are cut into as many pieces as they need.  Ids of any type
+pass through unchanged; only the id and text columns are read, whatever the others' names.
 """
 
 from __future__ import annotations
@@ -28,11 +32,11 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import small_batches, stored, table
 
 WIDTH = 2048
 END_ID = 0
@@ -41,23 +45,25 @@ ROUNDS = 2
 #: Pieces dealt to one packing task.
 PER_TASK = 60_000
 
-_UNCOMMON = re.compile(r"[^\n\x20-\x7e\xa1-\u024f]")
+_UNCOMMON = r"[^\n\x20-\x7e\xa1-\u024f]"
 
 
 class Encoder:
     """Ids of whole texts as little-endian uint32 bytes.
 
-    The ids are those of `tokenizers`.  Texts of common characters (line end,
-    ASCII, Latin letters), on which pre-tokenizers cannot differ, are encoded by
-    `tiktoken` where the folder has the same vocabulary as ranks: it gives the same
-    ids in a fifth of the time.  All other texts are encoded by `tokenizers`.
+    The ids are those of `tokenizers`.  Texts of common characters (line end, ASCII,
+    Latin letters), on which pre-tokenizers cannot differ, are encoded by `tiktoken`
+    where the folder has the same vocabulary as ranks: it gives the same ids in a fifth
+    of the time.  All other texts, and those that hold an added token such as the end
+    mark, are encoded by `tokenizers`.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.uncommon = re.compile("|".join([_UNCOMMON, *map(re.escape, added)]))
         self.fast = None
         ranks = path.removesuffix(".json") + ".tiktoken"
         if os.path.exists(ranks):
@@ -72,7 +78,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        rest = [i for i, t in enumerate(texts) if self.fast is None or _UNCOMMON.search(t)]
+        rest = [i for i, t in enumerate(texts) if self.fast is None or self.uncommon.search(t)]
         for i, e in zip(rest, self.tok.encode_batch([texts[i] for i in rest], add_special_tokens=False), strict=True):
             out[i] = array("I", e.ids).tobytes()
         skip = set(rest)
@@ -82,6 +88,8 @@ class Encoder:
         return out
 
 
+_NAMES, _TYPES = ["piece", "start", "length", "ids_crc32"], [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+_COLUMNS = "piece int, start long, length long, ids_crc32 long"
 _encoders: dict[str, Encoder] = {}
 
 
@@ -108,19 +116,20 @@ def cut(n: int, width: int = WIDTH) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """id, piece, start, length, ids_crc32 of every piece."""
     kind = docs.schema[id_col].dataType.simpleString()
+    small_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = _encoder(path), np.array([END_ID], dtype="<u4").tobytes()
         for b in batches:
             rows = []
-            texts = [t if isinstance(t, str) else "" for t in b["text"]]
-            for doc, ids in zip(b["id"], enc.encode(texts), strict=True):
+            for i, ids in enumerate(enc.encode([t or "" for t in b.column("text").to_pylist()])):
                 ids += end
-                rows += [(doc, k, s, n, zlib.crc32(memoryview(ids)[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut(len(ids) // 4, width))]
-            yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"])
+                rows += [(i, k, s, n, zlib.crc32(memoryview(ids)[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut(len(ids) // 4, width))]
+            row, *columns = zip(*rows, strict=True) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row, pa.int64())), *map(pa.array, columns, _TYPES)], ["id", *_NAMES])
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return slim.mapInPandas(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
+    return slim.mapInArrow(run, f"id {kind}, {_COLUMNS}")
 
 
 def lower_bound(lengths: np.ndarray, width: int = WIDTH) -> int:
@@ -165,45 +174,46 @@ def best_fit_decreasing(lengths: np.ndarray, width: int = WIDTH) -> tuple[np.nda
     return seq, off, np.array(fill, dtype=np.int64)
 
 
-_COLUMNS = "piece int, start long, length long, ids_crc32 long"
-
-
 def pack(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, rounds: int = ROUNDS, per_task: int = PER_TASK) -> DataFrame:
-    """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset, and the certificate group_id, group_sequences, group_bound."""
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, {_COLUMNS}, seq long, offset long, full boolean"
+    schema = f"id {kind}, {_COLUMNS}, row long, seq long, offset long, full boolean, group_id long, sequences long, bound long"
 
     def task(last: bool, base: int):
-        def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-            lengths = b["length"].to_numpy(np.int64)
+        def run(key: tuple, b: pa.Table) -> pa.Table:
+            lengths = b.column("length").to_numpy().astype(np.int64)
             seq, off, fill = best_fit_decreasing(lengths, width)
             gap = len(fill) - lower_bound(lengths, width)
             # certified, or the last round: all stays; else the worst-filled sequences, more of them the larger the gap, go to the pool
             keep = np.ones(len(fill), bool)
             if gap and not last:
                 keep[np.argsort(fill, kind="stable")[: max(4 * gap, len(fill) // 8)]] = False
-            return b.drop(columns="g").assign(seq=(np.int64(key[0]) << 32) + base + seq, offset=off, full=keep[seq])
+            full = keep[seq]
+            group = (np.int64(key[0].as_py()) << 32) + base
+            for name, value in (("seq", group + seq), ("offset", off), ("full", full), ("group_id", np.full(len(seq), group)), ("sequences", np.full(len(seq), keep.sum())), ("bound", np.full(len(seq), lower_bound(lengths[full], width)))):
+                b = b.append_column(name, pa.array(value))
+            return b.drop_columns(["g"])
 
         return run
 
-    all_pieces = stored(pieces(docs, width, id_col, text_col, path), "pieces")
+    all_pieces = stored(pieces(docs, width, id_col, text_col, path).withColumn("row", F.monotonically_increasing_id()), "pieces")
     whole = F.col("length") == width
-    number = F.xxhash64("id", "piece", "start", "length")
-    done = [all_pieces.where(whole).select("*", (-1 - F.monotonically_increasing_id()).alias("seq"), F.lit(0).cast("long").alias("offset"))]
+    one, own = F.lit(1).cast("long"), -1 - F.col("row")
+    done = [all_pieces.where(whole).select("*", own.alias("seq"), F.lit(0).cast("long").alias("offset"), own.alias("group_id"), one.alias("sequences"), one.alias("bound"))]
     pool = all_pieces.where(~whole)
     for r in range(rounds + 1):
         n = pool.count()
         if not n:
             break
         parts = -(-n // per_task)
-        dealt = pool.withColumn("g", F.pmod(F.xxhash64(number, F.lit(r)), F.lit(parts)).cast("int"))
-        got = stored(dealt.groupBy("g").applyInPandas(task(r == rounds, r << 28), schema), "packed")
+        dealt = pool.withColumn("g", F.pmod(F.xxhash64("row", F.lit(r)), F.lit(parts)).cast("int"))
+        got = stored(dealt.groupBy("g").applyInArrow(task(r == rounds, r << 28), schema), "packed")
         done.append(got.where("full").drop("full"))
-        pool = got.where("not full").drop("full", "seq", "offset")
+        pool = got.where("not full").select(all_pieces.columns)
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", F.col("seq").alias("sequence_id"), "offset")
+    return out.select(F.col("id").alias(id_col), *_NAMES, F.col("seq").alias("sequence_id"), "offset", "group_id", F.col("sequences").alias("group_sequences"), F.col("bound").alias("group_bound"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
