@@ -2,14 +2,18 @@
 
 Calls and results are hash-joined by identifier.  Calls are put into topological
 order: a call's level is one more than the largest level of the calls it depends
-on.  Chains are resolved by pointer doubling, what branches by Kahn's rounds.  Arguments are validated against schemas, and calls are
+on.  Chains are resolved by pointer doubling, what branches by Kahn's rounds, until
+a round places nothing.  Arguments are validated against schemas, and calls are
 serialised as canonical JSON: keys sorted, no white space.
 
 Edge cases: arguments that are not a JSON object are invalid and serialised as a
 JSON string.  A dependency on an unknown call is ignored.  Calls on or behind a
-cycle get no level.  Repeated identifiers: each call is linked with each result
-of its identifier; a call's level is that of its identifier.  A null identifier
-links with nothing and has level 0.
+cycle get no level.  Repeated identifiers: each call gives one row, with the number
+of its identifier's results and the smallest of their contents (by its bytes; null if
+all are), and results without a call give one row to an identifier, so that rows never
+multiply; a call's level is that of its identifier.  A null identifier links with
+nothing: its calls are open and of level 0, its results are orphans, one row in all.
+Empty tables give no rows.  Long texts are kept whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -54,7 +58,7 @@ def violations(arguments: Column, schema: dict) -> Column:
     return F.array_sort(F.array_compact(F.array(*bad)))
 
 
-def levels(depends: DataFrame, most: int = 1000) -> DataFrame:
+def levels(depends: DataFrame) -> DataFrame:
     """depends (call_id, on_id) -> call_id, level of every call that depends on something; null level on and behind a cycle.
 
     Calls with one dependency form chains: pointers are doubled until each chain's
@@ -85,7 +89,7 @@ def levels(depends: DataFrame, most: int = 1000) -> DataFrame:
     level = several.withColumn("level", F.lit(None).cast("long"))
     placed = stored(level.where("level is not null"), "placed")
     count = 0
-    for _ in range(most):
+    while True:
         open_calls = several.join(placed, "call_id", "left_anti")
         at = left.join(open_calls, "call_id", "left_semi").join(placed.select(F.col("call_id").alias("head"), F.col("level").alias("l")), "head", "left")
         at = at.join(several.select(F.col("call_id").alias("head"), F.lit(True).alias("inner")), "head", "left")
@@ -102,26 +106,26 @@ def levels(depends: DataFrame, most: int = 1000) -> DataFrame:
     return single.unionByName(several.join(placed, "call_id", "left").select("call_id", F.col("level").cast("int").alias("level")))
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], most: int = 1000) -> DataFrame:
+def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """calls (call_id, name, arguments, on_ids array) full-joined with results (call_id, content).
 
     Returns call_id, name, status (linked, open: no result, orphan: no call),
-    level, errors (array; of a name without schema: unknown tool) and json.
+    level, errors (array; of a name without schema: unknown tool), n_results and json.
     """
-    lv = levels(calls.select("call_id", F.explode("on_ids").alias("on_id")).join(calls.select(F.col("call_id").alias("on_id")).distinct(), "on_id", "left_semi"), most)
+    lv = levels(calls.select("call_id", F.explode("on_ids").alias("on_id")).join(calls.select(F.col("call_id").alias("on_id")).distinct(), "on_id", "left_semi"))
     checks = F.array("-")
     for i, (name, schema) in enumerate(sorted(schemas.items())):
         checks = F.when(F.col("name") == name, violations(F.col("arguments"), schema)) if i == 0 else checks.when(F.col("name") == name, violations(F.col("arguments"), schema))
     errors = checks.otherwise(F.array(F.lit("unknown tool"))) if schemas else F.array(F.lit("unknown tool"))
     c = calls.select("call_id", "name", F.coalesce("arguments", F.lit("")).alias("arguments")).withColumn("errors", errors).withColumn("arguments", F.coalesce(canonical(F.col("arguments")), F.to_json(F.array("arguments")).substr(F.lit(2), F.length(F.to_json(F.array("arguments"))) - 2)))
     c = c.withColumn("has_call", F.lit(True))
-    r = results.select("call_id", "content").withColumn("has_result", F.lit(True))
+    r = results.groupBy("call_id").agg(F.min("content").alias("content"), F.count(F.lit(1)).alias("n_results")).withColumn("has_result", F.lit(True))
     both = c.join(r, "call_id", "full").join(lv.withColumn("known", F.lit(True)), "call_id", "left")
     status = F.when(F.col("has_call").isNull(), "orphan").when(F.col("has_result").isNull(), "open").otherwise("linked")
     text = lambda x: F.when(x.isNull(), "null").otherwise(F.to_json(F.array(x)).substr(F.lit(2), F.length(F.to_json(F.array(x))) - 2))
     json = F.concat(F.lit('{"arguments":'), F.coalesce("arguments", F.lit("null")), F.lit(',"call_id":'), text(F.col("call_id")), F.lit(',"name":'), text(F.col("name")), F.lit(',"result":'), text(F.col("content")), F.lit("}"))
     level = F.when(F.col("has_call"), F.when(F.col("known"), F.col("level")).otherwise(F.lit(0)))
-    return both.select("call_id", "name", status.alias("status"), level.alias("level"), F.coalesce("errors", F.array().cast("array<string>")).alias("errors"), json.alias("json"))
+    return both.select("call_id", "name", status.alias("status"), level.alias("level"), F.coalesce("errors", F.array().cast("array<string>")).alias("errors"), F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"), json.alias("json"))
 
 
 #: What an assistant turn is called with when a conversation is read as tool calls.
@@ -146,11 +150,11 @@ def op6_chat_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = """
 WITH RECURSIVE t AS (SELECT conv_id, turn, role, "text" FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 c AS (SELECT conv_id, turn, conv_id || ':' || turn AS call_id, "text" FROM t WHERE role = 'assistant'),
-r AS (SELECT conv_id || ':' || (turn - 1) AS call_id, "text" AS content FROM t WHERE role = 'user'),
+r AS (SELECT conv_id || ':' || (turn - 1) AS call_id, min("text") AS content, count(*) AS n_results FROM t WHERE role = 'user' GROUP BY 1),
 lv(conv_id, turn, level) AS (
     SELECT DISTINCT a.conv_id, a.turn, 0 FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.conv_id = a.conv_id AND b.turn = a.turn - 2)
     UNION SELECT DISTINCT a.conv_id, a.turn, lv.level + 1 FROM c a JOIN lv ON a.conv_id = lv.conv_id AND a.turn = lv.turn + 2)
-SELECT coalesce(c.call_id, r.call_id) AS call_id, CASE WHEN c.call_id IS NOT NULL THEN 'reply' END AS name,
+SELECT coalesce(c.call_id, r.call_id) AS call_id, CASE WHEN c.call_id IS NOT NULL THEN 'reply' END AS name, coalesce(r.n_results, 0)::BIGINT AS n_results,
     CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'open' ELSE 'linked' END AS status,
     CASE WHEN c.call_id IS NOT NULL THEN lv.level END::INTEGER AS level,
     CASE WHEN c.call_id IS NULL THEN '' WHEN c."text" IS NULL THEN 'text: missing' WHEN length(c."text") > 1500 THEN 'text: maxLength' ELSE '' END AS errors,
