@@ -2,14 +2,20 @@
 
 Each benchmark item yields its windows of 13 consecutive words; an item of
 fewer words, but not none, yields one window of all its words.  The distinct
-windows form the build side of a hash join.  It is broadcast when its counted
+windows form the build side of a hash join.  It is broadcast when its measured
 size is proven small and joined by shuffle otherwise.  The window's own words
 are the join key, so a hash hit is verified by comparing the words.
 
+A set of bits, one for the hash of each window's first two, middle and last words,
+goes into the scan: a training window is only put together where its bit is set.  So a
+text's array holds the windows that may hit and not all.  The set has a fixed bound;
+beyond it more windows are put together, with the same result.
+
 Edge cases: null and empty texts have no words and no hits; items without words
 yield no window; an item whose id is null counts as the item ''.  Rows of equal
-doc_id and text give equal results and all of them are returned; other columns
-of the inputs are ignored.
+doc_id and text give equal results and all of them are returned.  Long texts are
+scanned whole; empty tables give no rows or no hits.  Ids of any type pass through
+unchanged; other columns of the inputs are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,34 +23,66 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, ascii_words, small_side, stored
+from .common import BROADCAST_BYTES, ascii_words, small_side, stored, table
 
 WIDTH = 13
+MOST_BITS = 1 << 22
 
 
-def _windows(words: Column, k: Column | int) -> Column:
-    """Every run of k consecutive words as struct(p, w), p from 0; an empty array if there are fewer words."""
-    k = F.lit(k) if isinstance(k, int) else k
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.struct((i - 1).alias("p"), F.array_join(F.slice(words, i, k), " ").alias("w")))
-    return F.when(F.size(words) >= k, runs).otherwise(F.array().cast("array<struct<p:int,w:string>>"))
+def _window(words: Column, at: Column, k: Column) -> Column:
+    """The k words from place `at` (from 0)."""
+    return F.array_join(F.slice(words, at + 1, k), " ")
 
 
 def benchmark_windows(items: DataFrame, width: int = WIDTH, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Distinct windows: w string, k int (its words), items array<string> (sorted ids that have it)."""
+    """Distinct windows: w string, k int (its words), items array<string> (sorted ids that have it), h (the hash of some of its words)."""
     words = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), ascii_words(F.col(text_col)).alias("words")).where("size(words) > 0")
     k = F.least(F.size("words"), F.lit(width))
-    runs = words.select("item", k.alias("k"), F.explode(_windows(F.col("words"), k)).alias("r"))
-    return runs.groupBy(F.col("r.w").alias("w"), "k").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    runs = words.select("item", "words", k.alias("k"), F.explode(F.sequence(F.lit(0), F.size("words") - k)).alias("p"))
+    runs = runs.select("item", "k", _window(F.col("words"), F.col("p"), F.col("k")).alias("w"), _some(F.col("words"), F.col("p"), F.col("k")).alias("h"))
+    return runs.groupBy("w", "k", "h").agg(F.sort_array(F.collect_set("item")).alias("items"))
+
+
+def _some(words: Column, at: Column, k: Column) -> Column:
+    return F.xxhash64(*(F.get(words, at + i) for i in (F.lit(0), F.least(F.lit(1), k - 1), F.floor(k / 2).cast("int"), k - 1)))
+
+
+def _bits(windows: DataFrame, n: int) -> tuple[Column, int]:
+    """The bits of the windows' hashes as an array of 64 to a number, and how many there are: 32 to a window, MOST_BITS in all at most."""
+    bits = min(MOST_BITS, max(1 << 16, 1 << (32 * n - 1).bit_length()))
+    at = F.col("h").bitwiseAND(F.lit(bits - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    got = {r.i: r.b for r in windows.select(F.shiftright(at, 6).alias("i"), one.alias("one")).groupBy("i").agg(F.bit_or("one").alias("b")).collect()}  # at most bits / 64 rows
+    return F.split(F.lit(",".join(str(got.get(i, 0)) for i in range(bits // 64))), ",").cast("array<bigint>"), bits
+
+
+def _may_hit(words: Column, k: Column, bits: Column, n: int):
+    """Of a place: is the bit of its window's hash set?"""
+
+    def test(p: Column) -> Column:
+        at = _some(words, p, k).bitwiseAND(F.lit(n - 1))
+        return F.call_function("shiftright", F.get(bits, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    return test
+
+
+def _placed(words: Column, k: Column):
+    return lambda p: F.struct(p.alias("p"), _window(words, p, k).alias("w"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", limit: int = BROADCAST_BYTES) -> DataFrame:
     """Per document row: id, n_words, n_hit, n_items, items_sha256, contaminated and hits (merged [start, end) word spans)."""
     windows = stored(benchmark_windows(items, width), "windows")
-    widths = sorted(r.k for r in windows.select("k").distinct().collect()) or [width]  # at most `width` values
-    side = small_side(windows, 40 * width, limit)
+    widths = {r.k: r["count"] for r in windows.groupBy("k").count().collect()}  # at most `width` rows
+    side = small_side(windows.drop("h"), limit)
     words = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("fp"), ascii_words(F.col(text_col)).alias("words"))
+    runs = []
+    for k, count in sorted(widths.items()):
+        places = F.filter(F.sequence(F.lit(0), F.size("words") - k), _may_hit(F.col("words"), F.lit(k), *_bits(windows.where(F.col("k") == k), count)))
+        places = F.when(F.size("words") >= k, places).otherwise(F.array().cast("array<int>"))
+        runs.append(F.transform(places, _placed(F.col("words"), F.lit(k))))
     mark = F.array(F.struct(F.lit(-1).alias("p"), F.lit("").alias("w")))
-    runs = words.select("id", "fp", F.size("words").alias("n_words"), F.explode(F.concat(mark, *(_windows(F.col("words"), k) for k in widths))).alias("r"))
+    runs = words.select("id", "fp", F.size("words").alias("n_words"), F.explode(F.concat(mark, *runs)).alias("r"))
     runs = runs.select("id", "fp", "n_words", F.col("r.p").alias("p"), F.col("r.w").alias("w"))
     found = runs.join(side, "w", "left").where("p = -1 or k is not null")
     span = F.when(F.col("k").isNotNull(), F.struct(F.col("p").alias("s"), (F.col("p") + F.col("k")).alias("e")))
@@ -69,8 +107,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, mode: str = "drop", width:
     normalised words.  Columns and their order stay; all other rows stay as they are.
     """
     bad = contamination(docs, items, width, id_col, text_col).where("contaminated").select(F.col(id_col).alias("__id"), F.col("fp").alias("__fp"), F.col("hits").alias("__hits"))
-    bad = stored(bad.dropDuplicates(["__id", "__fp"]), "contaminated")
-    side = small_side(bad, 200)
+    bad = bad.dropDuplicates(["__id", "__fp"])
+    bad = stored(bad.select("__id", "__fp") if mode == "drop" else bad, "contaminated")
+    side = small_side(bad)
     on = docs[id_col].eqNullSafe(side["__id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == side["__fp"])
     if mode == "drop":
         return docs.join(side, on, "left_anti")
@@ -83,8 +122,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, mode: str = "drop", width:
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("fp", "hits")
 
 
