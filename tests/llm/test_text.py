@@ -135,7 +135,7 @@ def test_possible_misses_nothing(terms, stems, data):
         for _ in range(2):
             i = data.draw(st.integers(1, len(w)))
             w = w[:i] + data.draw(st.sampled_from(["", "a", "c"])) + w[i + data.draw(st.integers(0, 1)) :]
-        assert m.possible(w) or m.run(w) is None
+        assert m.possible([w])[0] or m.run(w) is None
         assert m.match(w) == m.run(w)
 
 
@@ -152,8 +152,9 @@ def test_rare_terms_stay_beside_many_common_words(spark):
 def test_stems_and_quotes():
     m = toxicity.Matcher(["idiot"], ["lowe"])
     assert m.match("lowenzahn") == ("lowe", 0) and m.match("idoot") == ("idiot", 1) and m.match("id") is None
-    assert toxicity.find_hits('he said "idiot" there', m)[1] and not toxicity.find_hits("you idiot there", m)[1]
-    assert toxicity.find_hits(None, m) == ({}, False, 0)
+    quoted = [q for _, q, _ in toxicity.find_hits(['a man "idiot" there', "he said idiot there", "he said you are an idiot", "you idiot there", 'the "idiot" is an idiot', None], m)]
+    assert quoted[0] == {"idiot": 1.0} and quoted[1]["idiot"] > quoted[2]["idiot"] > 0 and quoted[3] == {} and quoted[4] == {"idiot": 0.5}
+    assert list(toxicity.find_hits([None, ""], m)) == [({}, {}, 0)] * 2
 
 
 def test_toxicity_learns(spark):
@@ -237,6 +238,25 @@ def test_repeated_and_missing_ids(spark):
     assert jaccard.jaccard_components(docs.limit(0)).count() == 0
 
 
+def test_one_id_of_several_texts(spark):
+    big = 2**60 + 1
+    rows = [(1, "one two three four five six", "x"), (1, "alpha beta gamma delta epsilon", "y"), (7, "Alpha beta gamma delta epsilon", "z"), (7, "a text of its own", "u"), (big, "a text", "v"), (None, "one two three four five six", "w"), (None, "a text", "w"), (4, "", "e"), (4, "", "e"), (4, None, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect()), key=repr)
+    want = [(1, 2, 1), (1, 1, 1), (7, 1, 1), (7, 1, 7), (big, 1, big), (None, 2, None), (None, 1, None), (4, 0, 4), (4, 0, 4), (4, 0, 4)]
+    assert got == sorted(want, key=repr)
+    kept = [tuple(r) for r in jaccard.keep_one(docs).collect()]
+    assert sorted(kept, key=repr) == sorted((r for r in rows if r[2] != "z"), key=repr)
+
+
+def test_text_ids(spark):
+    texts = [("b", "one two three four five"), ("a", "One two three four five"), ("c", "six"), (None, "six")]
+    docs = spark.createDataFrame(texts, "doc_id string, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs).collect()}
+    assert got == {"a": "a", "b": "a", "c": "c", None: None}
+    assert sorted((r.doc_id for r in jaccard.keep_one(docs).collect()), key=repr) == ["a", "c", None]
+
+
 @given(st.sets(st.integers(0, 2**64 - 1), max_size=60), st.sets(st.integers(0, 2**64 - 1), max_size=60))
 @settings(max_examples=60, deadline=None)
 def test_bitmap_is_an_upper_bound(a, b):
@@ -373,3 +393,18 @@ def test_word_hashes(texts, most):
             assert len(got) == len(want)
             for w, x in zip(want, got, strict=True):
                 assert known.setdefault(w, x) == x and words.setdefault(x, w) == w
+
+
+def test_merged_components(spark):
+    from tesselar.llm.graph import merged
+
+    rng = random.Random(8)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)]
+    frame = lambda e: spark.createDataFrame(e, "u long, v long")
+    roots = merged(merged(merged(None, frame(edges[:20])), frame(edges[20:30])), frame(edges[30:]))
+    root = {i: i for i in range(60)}
+    for _ in range(60):
+        for u, v in edges:
+            root[u] = root[v] = min(root[u], root[v])
+    assert {r.node: r.root for r in roots.collect()} == {i: r for i, r in root.items() if i != r}
+    assert merged(None, frame(edges).limit(0)).count() == 0
