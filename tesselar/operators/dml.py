@@ -63,7 +63,7 @@ def move_row(table: DataFrame, t: ShardedTable, predicate: str | None, new_key,
 
 
 _NEW = [(900001, 5, 100.0), (900002, 6, 200.0), (900003, 5, 300.0)]
-_NEW_SQL = "(VALUES (900001, 5, 100.0), (900002, 6, 200.0), (900003, 5, 300.0)) t(o_orderkey, o_custkey, o_totalprice)"
+_NEW_SQL = "(SELECT k::BIGINT AS o_orderkey, c::BIGINT AS o_custkey, p::DOUBLE AS o_totalprice FROM (VALUES (900001, 5, 100), (900002, 6, 200), (900003, 5, 300)) t(k, c, p))"
 _SLIM = "o_orderkey long, o_custkey long, o_totalprice double"
 _ORDERS_SQL = "SELECT o_orderkey, o_custkey, o_totalprice FROM orders"
 
@@ -134,7 +134,7 @@ def dml_update(spark, sf_dir):
     return _content(store)
 
 
-@query("dml_returning", "SELECT o_orderkey, o_custkey, 0.0 AS o_totalprice FROM orders WHERE o_custkey < 20")
+@query("dml_returning", "SELECT o_orderkey, o_custkey, 0.0::DOUBLE AS o_totalprice FROM orders WHERE o_custkey < 20")
 def dml_returning(spark, sf_dir):
     """UPDATE ... RETURNING gives the new rows."""
     return _store(spark, sf_dir).update("orders", "o_custkey < 20", {"o_totalprice": F.lit(0.0)}).returning.drop("shard")
@@ -162,7 +162,7 @@ def dml_delete(spark, sf_dir):
     return _content(store)
 
 
-@query("dml_upsert", "SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 0 THEN 1 ELSE o_custkey END AS o_custkey, CASE WHEN o_orderkey % 50 = 0 THEN 0.5 ELSE o_totalprice END AS o_totalprice FROM orders UNION ALL SELECT 900010, 1, 0.5")
+@query("dml_upsert", "SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 0 THEN 1 ELSE o_custkey END AS o_custkey, CASE WHEN o_orderkey % 50 = 0 THEN 0.5::DOUBLE ELSE o_totalprice END AS o_totalprice FROM orders UNION ALL SELECT 900010, 1, 0.5::DOUBLE")
 def dml_upsert(spark, sf_dir):
     """Every fiftieth order is replaced and one is added; of two versions of a row that with the later number holds."""
     store = _store(spark, sf_dir)

@@ -120,7 +120,8 @@ sql_query("agg_min", "lineitem", "SELECT min(l_shipdate) AS d, min(l_returnflag)
 sql_query("agg_max", "lineitem", "SELECT max(l_shipdate) AS d, max(l_returnflag) AS f, max(l_extendedprice) AS p FROM lineitem")
 sql_query("agg_min_distinct", "orders", "SELECT min(DISTINCT o_custkey) AS lo, max(DISTINCT o_custkey) AS hi FROM orders")
 sql_query("agg_avg", "lineitem", "SELECT l_returnflag, round(avg(l_extendedprice), 4) AS a FROM lineitem GROUP BY l_returnflag")
-sql_query("agg_avg_interval", "orders", "SELECT avg(TIMESTAMP_NTZ'2030-01-01' - CAST(o_orderdate AS TIMESTAMP_NTZ)) > INTERVAL '0' SECOND AS later, round((unix_micros(CAST(TIMESTAMP'2000-01-01 00:00:00' + avg(TIMESTAMP_NTZ'2030-01-01' - CAST(o_orderdate AS TIMESTAMP_NTZ)) AS TIMESTAMP)) - 946684800000000) / 86400000000, 3) AS days FROM orders", "SELECT avg(epoch(TIMESTAMP '2030-01-01' - o_orderdate::TIMESTAMP)) > 0 AS later, round(avg(epoch(TIMESTAMP '2030-01-01' - o_orderdate::TIMESTAMP)) / 86400, 3) AS days FROM orders")
+# AVG of intervals adds microseconds in 64 bits and overflows on large tables; as decimals they do not
+sql_query("agg_avg_interval", "orders", "SELECT CAST(extract(DAY FROM a) AS INT) AS days, CAST(extract(HOUR FROM a) AS INT) AS hours, a > INTERVAL '0' SECOND AS later FROM (SELECT make_dt_interval(0, 0, 0, CAST(avg(CAST(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2000-01-01 00:00:00', TIMESTAMP_NTZ'2000-01-01 00:00:00' + i) AS DECIMAL(28, 0))) / 1000000 AS DECIMAL(18, 6))) AS a FROM (SELECT TIMESTAMP_NTZ'2030-01-01 00:00:00' - CAST(o_orderdate AS TIMESTAMP_NTZ) AS i FROM orders) t) u", "SELECT floor(a / 86400)::INTEGER AS days, (floor(a / 3600) % 24)::INTEGER AS hours, a > 0 AS later FROM (SELECT avg(epoch(TIMESTAMP '2030-01-01' - o_orderdate::TIMESTAMP)) AS a FROM orders) t")
 for _name, _f in (("var_pop", "var_pop"), ("var_samp", "var_samp"), ("stddev_pop", "stddev_pop"), ("stddev_samp", "stddev_samp")):
     sql_query(f"agg_{_name}", "lineitem", f"SELECT l_linestatus, round({_f}(l_quantity), 6) AS v FROM lineitem GROUP BY l_linestatus")
 sql_query("agg_count_distinct", "lineitem", "SELECT count(DISTINCT l_partkey) AS n FROM lineitem")

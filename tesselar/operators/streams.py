@@ -49,7 +49,7 @@ def _folded(spark, sf_dir, ops):
     return cdc.fold(_base(spark, sf_dir), _changes(spark, sf_dir, ops), "id", ["status", "amount"]).select("id", "status", F.round("amount", 6).alias("amount"))
 
 
-@query("cdc_delete", "SELECT DISTINCT user_id AS id, 'start' AS status, 0.0 AS amount FROM events WHERE user_id % 2 = 0 AND user_id NOT IN (SELECT user_id FROM events WHERE event_id % 10 = 8 AND event_type = 'purchase')")
+@query("cdc_delete", "SELECT DISTINCT user_id AS id, 'start' AS status, 0.0::DOUBLE AS amount FROM events WHERE user_id % 2 = 0 AND user_id NOT IN (SELECT user_id FROM events WHERE event_id % 10 = 8 AND event_type = 'purchase')")
 def cdc_delete(spark, sf_dir):
     """Deletes of the users that a purchase event of a certain number names; the others stay."""
     bought = _changes(spark, sf_dir, "D").where("new.status = 'purchase'")
