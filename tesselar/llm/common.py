@@ -86,3 +86,21 @@ def ascii_words(text: Column) -> Column:
     """Lower-cased words of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``; null or empty text has none."""
     flat = F.translate(F.coalesce(text, F.lit("")), _UPPER + _BREAKS, _UPPER.lower() + " " * len(_BREAKS))
     return F.array_remove(F.split(flat, " "), "")
+
+
+def bit_set(hashes: DataFrame, n: int, most: int = 1 << 22) -> tuple[Column, int]:
+    """A set of bits for the about n numbers of hashes' column h: an array of 64 bits to a number, and how many bits there are.
+
+    32 bits to a number, but `most` (a power of two) at most: the array is part of the plan.
+    Beyond that more numbers than those have a bit that is set.
+    """
+    bits = min(most, max(1 << 16, 1 << (32 * n - 1).bit_length()))
+    at = F.col("h").bitwiseAND(F.lit(bits - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    got = {r.i: r.b for r in hashes.select(F.shiftright(at, 6).alias("i"), one.alias("one")).groupBy("i").agg(F.bit_or("one").alias("b")).collect()}  # at most bits / 64 rows
+    return F.split(F.lit(",".join(str(got.get(i, 0)) for i in range(bits // 64))), ",").cast("array<bigint>"), bits
+
+
+def has_bit(bits: Column, n: int, h: Column) -> Column:
+    at = h.bitwiseAND(F.lit(n - 1))
+    return F.call_function("shiftright", F.get(bits, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1

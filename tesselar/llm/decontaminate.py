@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, ascii_words, small_side, stored, table
+from .common import BROADCAST_BYTES, ascii_words, bit_set, has_bit, small_side, stored, table
 
 WIDTH = 13
 MOST_BITS = 1 << 22
@@ -47,23 +47,9 @@ def _some(words: Column, at: Column, k: Column) -> Column:
     return F.xxhash64(*(F.get(words, at + i) for i in (F.lit(0), F.least(F.lit(1), k - 1), F.floor(k / 2).cast("int"), k - 1)))
 
 
-def _bits(windows: DataFrame, n: int) -> tuple[Column, int]:
-    """The bits of the windows' hashes as an array of 64 to a number, and how many there are: 32 to a window, MOST_BITS in all at most."""
-    bits = min(MOST_BITS, max(1 << 16, 1 << (32 * n - 1).bit_length()))
-    at = F.col("h").bitwiseAND(F.lit(bits - 1))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
-    got = {r.i: r.b for r in windows.select(F.shiftright(at, 6).alias("i"), one.alias("one")).groupBy("i").agg(F.bit_or("one").alias("b")).collect()}  # at most bits / 64 rows
-    return F.split(F.lit(",".join(str(got.get(i, 0)) for i in range(bits // 64))), ",").cast("array<bigint>"), bits
-
-
 def _may_hit(words: Column, k: Column, bits: Column, n: int):
     """Of a place: is the bit of its window's hash set?"""
-
-    def test(p: Column) -> Column:
-        at = _some(words, p, k).bitwiseAND(F.lit(n - 1))
-        return F.call_function("shiftright", F.get(bits, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
-
-    return test
+    return lambda p: has_bit(bits, n, _some(words, p, k))
 
 
 def _placed(words: Column, k: Column):
@@ -78,7 +64,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, id_col:
     words = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("fp"), ascii_words(F.col(text_col)).alias("words"))
     runs = []
     for k, count in sorted(widths.items()):
-        places = F.filter(F.sequence(F.lit(0), F.size("words") - k), _may_hit(F.col("words"), F.lit(k), *_bits(windows.where(F.col("k") == k), count)))
+        places = F.filter(F.sequence(F.lit(0), F.size("words") - k), _may_hit(F.col("words"), F.lit(k), *bit_set(windows.where(F.col("k") == k), count, MOST_BITS)))
         places = F.when(F.size("words") >= k, places).otherwise(F.array().cast("array<int>"))
         runs.append(F.transform(places, _placed(F.col("words"), F.lit(k))))
     mark = F.array(F.struct(F.lit(-1).alias("p"), F.lit("").alias("w")))

@@ -1,29 +1,34 @@
 """License scan with a positional rare-token index (DataFrame functions only).
 
 A template is a run of words that identifies a license, with a mandatory key
-phrase inside it.  Document frequencies of the templates' words are counted
-over the whole corpus; the rarest words (highest IDF) of a key phrase are its
-anchors.  The index maps an anchor to its postings (template, position).  In
-each text the anchor words are looked up, every posting votes for the place at
-which its template would start, places that all anchors of a template agree on
-are kept, and the key phrase is verified word by word there.  All anchors of a
-phrase lie in every occurrence of it, so no occurrence is lost.
+phrase inside it; templates are a table, of any number.  Document frequencies of their
+words are counted over the whole corpus; the rarest words (highest IDF) of a key
+phrase are its anchors.  The index maps the rarest anchor to its postings: template,
+relative position, and the other anchors with theirs.  In each text the anchors are
+looked up: a set of bits finds the places that may hold one, which travel with the
+words around them and are joined with the postings by the word.  A place stays where
+all anchors of a template stand at their relative positions; there the key phrase is
+verified word by word.  All anchors of a phrase lie in every occurrence of it, so no
+occurrence is lost.
 
 A place scores the share of template words that stand where the template has
 them; a template's label is given from MIN_SCORE on.  Base phrases are templates
 that consist of their key phrase alone.
 
 Edge cases: null and empty texts have no words, no labels and score 0.  Every
-input row gives one row; repeated rows give equal rows.  Other columns of the
-input are ignored.
+input row gives one row; repeated rows give equal rows, and rows of equal id are told
+apart by their texts.  Long texts are scanned whole; empty tables give no rows, empty
+templates no labels.  Places that two templates of one label share count once in each
+list.  Ids of any type pass through unchanged; other columns of the input are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_words
+from .common import ascii_words, bit_set, has_bit, small_side, stored, table
 
 # Phrases that count as base places, with their labels.
 BASE = [
@@ -65,41 +70,67 @@ def _entries() -> list[dict]:
     return out
 
 
-def word_frequencies(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
-    """In how many texts of the whole corpus each template word stands; one entry for each of the templates' own words at most."""
-    vocab = sorted({w for e in _entries() for w in e["words"]})
-    found = docs.select(F.explode(F.array_intersect(ascii_words(F.col(text_col)), F.array(*map(F.lit, vocab)))).alias("w")).groupBy("w").count()
-    return dict.fromkeys(vocab, 0) | {r.w: r["count"] for r in found.collect()}
+def built_in(spark: SparkSession) -> DataFrame:
+    """The templates of this module as a table: words, key (place of the key phrase), n_key (its words), label, base."""
+    words = lambda w: "array(" + ", ".join(f"'{x}'" for x in w) + ")"
+    rows = ", ".join(f"({words(e['words'])}, {e['key']}, {e['n_key']}, '{e['label']}', {str(e['base']).lower()})" for e in _entries())
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(words, key, n_key, label, base)")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequencies: dict[str, int] | None = None) -> DataFrame:
+def _some_words(words: DataFrame) -> tuple[Column, int]:
+    """A set of bits of the words of a small table (column w)."""
+    return bit_set(words.select(F.xxhash64("w").alias("h")), words.count())
+
+
+def word_frequencies(docs: DataFrame, vocabulary: DataFrame, text_col: str = "text") -> DataFrame:
+    """w, n: in how many texts of the whole corpus each word of the vocabulary (column w) stands."""
+    bits = _some_words(vocabulary)
+    have = F.array_distinct(F.filter(ascii_words(F.col(text_col)), lambda w: has_bit(*bits, F.xxhash64(w))))
+    found = docs.select(F.explode(have).alias("w")).join(small_side(vocabulary), "w").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    return vocabulary.join(found, "w", "left").select("w", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def postings_of(templates: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """One row per template: w (its rarest anchor), r (the anchor's place in the template), anchors (array of place and word), and the template."""
+    t = templates.withColumn("t", F.monotonically_increasing_id())
+    phrase = F.slice("words", F.col("key") + 1, F.col("n_key"))
+    # the first place of each distinct word of the phrase; of equal counts the first by letters
+    first = F.transform(F.array_distinct(phrase), lambda w: F.struct(w.alias("w"), (F.col("key") + F.array_position(phrase, w) - 1).cast("int").alias("r")))
+    each = t.select("t", F.explode(first).alias("a")).select("t", "a.w", "a.r").join(frequencies, "w")
+    rare = each.groupBy("t").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "w", "r"))), 1, ANCHORS).alias("rare"))
+    rare = rare.select("t", F.element_at("rare", 1)["w"].alias("w"), F.element_at("rare", 1)["r"].alias("r"), F.transform("rare", lambda a: F.struct(a["r"].alias("r"), a["w"].alias("w"))).alias("anchors"))
+    return t.withColumn("phrase", phrase).join(rare, "t").drop("t")
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: DataFrame | None = None, frequencies: DataFrame | None = None) -> DataFrame:
     """id, n_words, n_base, first_word, last_word, base_labels, labels, score and places (array of label, start, score, base)."""
-    df = frequencies or word_frequencies(docs, text_col)
-    entries = _entries()
-    for e in entries:
-        key = e["words"][e["key"] : e["key"] + e["n_key"]]
-        rare = sorted(set(key), key=lambda w: (df[w], w))[:ANCHORS]
-        e["anchors"] = [(w, e["key"] + key.index(w)) for w in rare]
-    anchors = sorted({w for e in entries for w, _ in e["anchors"]})
-    postings = F.create_map(*(x for a in anchors for x in (F.lit(a), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(r).alias("r")) for t, e in enumerate(entries) for w, r in e["anchors"] if w == a)))))
-    spec = F.array(*(F.struct(F.array(*map(F.lit, e["words"])).alias("words"), F.lit(e["key"] + 1).alias("key"), F.lit(e["n_key"]).alias("n_key"), F.array(*map(F.lit, e["words"][e["key"] : e["key"] + e["n_key"]])).alias("phrase"), F.lit(e["label"]).alias("label"), F.lit(e["base"]).alias("base"), F.lit(len(e["anchors"])).alias("votes")) for e in entries))
-
-    a = docs.select(F.col(id_col).alias("id"), ascii_words(F.col(text_col)).alias("words"))
-    at = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: x["w"].isin(anchors))
-    a = a.select("id", "words", F.size("words").alias("n_words"), at.alias("at"))
-    votes = F.flatten(F.transform("at", lambda x: F.transform(F.element_at(postings, x["w"]), lambda q: F.struct(q["t"].alias("t"), (x["i"] - q["r"]).alias("d")))))
-    a = a.select("id", "words", "n_words", F.array_sort(votes).alias("votes"))
-    # equal votes are neighbours now: a place stands where the vote `votes-1` further on is the same and the one before differs
-    runs = F.filter(
-        F.transform("votes", lambda v, i: F.struct(v["t"].alias("t"), v["d"].alias("d"), F.element_at(spec, v["t"] + 1).alias("s"), i.alias("i"))),
-        lambda v: F.try_element_at("votes", v["i"] + v["s"]["votes"]).eqNullSafe(F.element_at("votes", v["i"] + 1)),
-    )
-    # 1-based start of the key phrase in the text is d + key; the template itself may reach over either end of the text
-    kept = F.filter(runs, lambda v: (v["d"] + v["s"]["key"] >= 1) & (F.slice("words", F.greatest(v["d"] + v["s"]["key"], F.lit(1)), v["s"]["n_key"]) == v["s"]["phrase"]))
-    share = lambda v: F.size(F.filter(v["s"]["words"], lambda w, j: F.when(v["d"] + j >= 0, F.get("words", v["d"] + j) == w).otherwise(False))) / F.size(v["s"]["words"])
-    places = F.transform(kept, lambda v: F.struct(v["s"]["label"].alias("label"), v["d"].alias("start"), F.round(share(v), 6).alias("score"), v["s"]["base"].alias("base")))
-    a = a.select("id", "n_words", F.filter(F.array_distinct(places), lambda p: p["score"] >= MIN_SCORE).alias("places"))
-    a = a.select("id", "n_words", "places", F.transform(F.filter("places", lambda p: p["base"]), lambda p: F.struct(p["start"].alias("start"), p["label"].alias("label"))).alias("b"))
+    templates = stored(built_in(docs.sparkSession) if templates is None else templates, "templates")
+    if frequencies is None:
+        vocabulary = stored(templates.select(F.explode("words").alias("w")).distinct(), "vocabulary")
+        frequencies = word_frequencies(docs, vocabulary, text_col)
+    postings = stored(postings_of(templates, frequencies), "postings")
+    bits = _some_words(postings.select("w").distinct())
+    reach = templates.agg(F.max(F.size("words"))).first()[0] or 1
+
+    words = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("fp"), ascii_words(F.col(text_col)).alias("words"))
+    # a place that may hold an anchor, with the words that a template can reach from there
+    at = F.filter(F.transform("words", lambda w, i: F.when(has_bit(*bits, F.xxhash64(w)), i)), lambda i: i.isNotNull())
+    lo = lambda i: F.greatest(i - reach, F.lit(0))
+    places = F.transform(at, lambda i: F.struct(i.alias("i"), F.get("words", i).alias("w"), lo(i).alias("lo"), F.slice("words", lo(i) + 1, i - lo(i) + reach + 1).alias("near")))
+    mark = F.array(F.struct(F.lit(-1).alias("i"), F.lit("").alias("w"), F.lit(0).alias("lo"), F.array().cast("array<string>").alias("near")))
+    hits = words.select("id", "fp", F.size("words").alias("n_words"), F.explode(F.concat(mark, places)).alias("h")).select("id", "fp", "n_words", "h.*")
+    met = hits.join(small_side(postings.withColumnRenamed("words", "whole")), "w", "left").where("i = -1 or r is not null").withColumn("d", F.col("i") - F.col("r"))
+    # word j of the template stands at d + j of the text
+    stands = lambda j: F.when(F.col("d") + j >= F.col("lo"), F.get("near", F.col("d") + j - F.col("lo")))
+    agreed = F.forall("anchors", lambda a: F.coalesce(stands(a["r"]) == a["w"], F.lit(False)))
+    verified = F.slice("near", F.greatest(F.col("d") + F.col("key") - F.col("lo") + 1, F.lit(1)), F.col("n_key")) == F.col("phrase")
+    kept = (F.col("d") + F.col("key") >= F.col("lo")) & agreed & verified
+    share = F.size(F.filter("whole", lambda w, j: F.coalesce(stands(j) == w, F.lit(False)))) / F.size("whole")
+    place = F.when(F.col("r").isNotNull() & kept & (F.round(share, 6) >= MIN_SCORE), F.struct(F.col("label"), F.col("d").alias("start"), F.round(share, 6).alias("score"), F.col("base")))
+    a = met.select("id", "fp", "n_words", (F.col("i") == -1).alias("mark"), place.alias("place"))
+    a = a.groupBy("id", "fp", "n_words").agg(F.sum(F.col("mark").cast("int")).alias("copies"), F.sort_array(F.collect_set("place")).alias("places"))
+    base = F.transform(F.filter("places", lambda p: p["base"]), lambda p: F.struct(p["start"].alias("start"), p["label"].alias("label")))
+    a = a.withColumn("b", base).withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
     names = lambda xs: F.array_join(F.array_sort(F.array_distinct(F.transform(xs, lambda p: p["label"]))), ",")
     starts = F.transform("b", lambda p: p["start"])
     return a.select(
@@ -139,7 +170,5 @@ FROM docs LEFT JOIN per USING (r)
 """
 
 
-def op3_license_scan(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).drop("places")

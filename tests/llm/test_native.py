@@ -98,6 +98,15 @@ def test_license_scan(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_license_templates_of_a_table(spark):
+    own = spark.sql("SELECT * FROM VALUES (array('a', 'rare', 'phrase', 'of', 'ours'), 1, 2, 'own', false), (array('of', 'of'), 0, 2, 'twice', true) AS t(words, key, n_key, label, base)")
+    texts = ["a rare phrase of ours", "rare phrase", "such a rare phrase of", "of of of", "rare rare phrase of ours", None]
+    docs = spark.createDataFrame([(1, t) for t in texts] + [(1, texts[0])], "doc_id long, text string")
+    got = sorted((r.n_words, r.labels, r.n_base, r.score) for r in licenses.scan(docs, templates=own).collect())
+    assert got == sorted([(5, "own", 0, 1.0), (5, "own", 0, 1.0), (2, "", 0, 0.0), (5, "own", 0, 0.8), (3, "twice", 2, 1.0), (5, "own", 0, 0.8), (0, "", 0, 0.0)])
+    assert {r.labels for r in licenses.scan(docs, templates=own.limit(0)).collect()} == {""}
+
+
 def test_chat_linking(spark):
     calls = [
         ("a", "f", '{"y": 2, "x": "q"}', []),
