@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir), with docs the table that the stage before
 it kept, and its result is written as Parquet before the next one reads it.
+
+Odd rows, in every stage: null and empty texts are kept by the filtering stages (they
+have no hits, no words and no spans), and are packed as the end id alone.  Rows without
+id are kept.  Repeated rows are judged alike; the near-copy stage keeps one of them, the
+other stages all.  Long texts are judged whole.  An empty table gives an empty one.
+Columns beyond id, text and n_chars are passed through, whatever their names.
 """
 
 from __future__ import annotations
