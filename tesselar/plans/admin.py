@@ -7,11 +7,13 @@ import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import Catalog, RoutingError, ShardedTable, write_sharded
+from .ddl import setting
 from .planner import QueryCache
 
 
@@ -80,6 +82,7 @@ class Engine:
     transactions: list[tuple[str, str]] = field(default_factory=list)
     synced: list[tuple[str, str, str]] = field(default_factory=list)
     tasks: list[tuple[int, str, str]] = field(default_factory=list)
+    moves: dict[str, Any] = field(default_factory=dict)  # streaming.orchestrator.Reshard by name
     instance: str = field(default_factory=lambda: uuid.uuid4().hex[:8])
 
     def _views(self) -> dict[str, tuple[str, Callable[[], list[tuple]]]]:
@@ -131,6 +134,39 @@ class Engine:
         return df.select(*wanted)
 
 
+    _STEPS = {"reshard": "run", "copy_data": "copy", "replicate": "replay", "cutover": "cutover", "schema_sync pre": "schema_pre", "schema_sync post": "schema_post"}
+
+    def run(self, sql: str) -> DataFrame:
+        """An admin command: RESHARD, COPY_DATA, REPLICATE, CUTOVER or SCHEMA_SYNC PRE | POST of a move, RESET QUERY_CACHE, RELOAD, SET name = value; returns what it did."""
+        words = sql.strip().rstrip(";").split()
+        verb = " ".join(words[:-1]).lower()
+        if verb in self._STEPS and words[-1] in self.moves:
+            number = len(self.tasks) + 1
+            self.tasks.append((number, verb, "running"))
+            try:
+                result = getattr(self.moves[words[-1]], self._STEPS[verb])()
+            except Exception:
+                self.tasks[number - 1] = (number, verb, "failed")
+                raise
+            self.tasks[number - 1] = (number, verb, "done")
+            self.synced += [s for s in self.moves[words[-1]].steps if s not in self.synced]
+            said = "" if result is None else str(result)
+        elif sql.strip().rstrip(";").lower() == "reset query_cache":
+            self.queries.seen.clear()
+            said = "empty"
+        elif sql.strip().rstrip(";").lower() == "reload":
+            for table in self.spark.catalog.listTables():
+                if not table.isTemporary:
+                    self.spark.catalog.refreshTable(table.name)
+            said = "reloaded"
+        elif given := setting(sql):
+            self.settings[given[0]] = given[1]
+            said = f"{given[0]} = {given[1]}"
+        else:
+            raise RoutingError(f"no such command: {sql}")
+        return self.spark.createDataFrame([(verb or sql.lower(), said)], "command string, result string")
+
+
 def system_tables(spark: SparkSession) -> DataFrame:
     """Tables and views that the session's catalog knows."""
     rows = [(t.catalog, ".".join(t.namespace or []) or None, t.name, t.tableType, t.isTemporary) for t in spark.catalog.listTables()]

@@ -199,6 +199,40 @@ def test_admin_views(spark, tmp_path):
     assert rows(system_columns(spark).where("table_name = 'seen_view'").select("column_name", "data_type")) == [("id", "bigint")]
 
 
+def test_admin_commands(spark, tmp_path):
+    from tesselar.streaming.orchestrator import Followed, Reshard
+    from tesselar.streaming.reshard import CutoverPolicy
+
+    old, new = (Store(spark, str(tmp_path / str(n)), Catalog(n, [ShardedTable("acc", "id", n)])) for n in (2, 3))
+    old.create("acc", spark.createDataFrame([(i, "a", 0.5) for i in range(20)], "id long, status string, amount double"))
+    kind = "table string, lsn long, seq int, op string, key long, old_key long, new struct<status:string,amount:double>, unchanged array<string>"
+    log = [("acc", 1, 0, "U", 3, None, ("b", 1.0), []), ("acc", 2, 0, "D", 4, None, None, []), ("acc", 3, 0, "I", 99, None, ("c", 2.0), []), ("acc", 4, 0, "U", 98, 99, ("d", 2.0), [])]
+    changes = spark.createDataFrame(log, kind)
+    at = {"lsn": 0}
+    e = Engine(spark, C, moves={"m": Reshard(spark, old, new, [Followed("acc", "id", ["status", "amount"])], lambda after: changes.where(F.col("lsn") > after), lambda: at["lsn"], CutoverPolicy(3600, 0, 60))})
+    for command in ("SCHEMA_SYNC PRE m", "COPY_DATA m", "SCHEMA_SYNC POST m"):
+        e.run(command)
+    at["lsn"] = 3
+    assert new.read("acc").count() == 20 and rows(e.run("CUTOVER m")) == [("cutover", "")]  # changes are left
+    before = new.manifest("acc").folders
+    e.run("REPLICATE m")
+    touched = {s for s in before if before[s] != new.manifest("acc").folders.get(s)}
+    assert touched <= {str(s) for k in (3, 4, 99) for s in ShardedTable("acc", "id", 3).shards_of(k)}
+    at["lsn"] = 4
+    e.run("REPLICATE m")
+    e.run("REPLICATE m")  # nothing twice
+    assert rows(e.run("CUTOVER m")) == [("cutover", "lag")]
+    got = {r.id: r.status for r in spark.table("acc").collect()}
+    assert got == {**{i: "a" for i in range(20) if i not in (3, 4)}, 3: "b", 98: "d"}
+    with pytest.raises(RoutingError):
+        e.run("SCHEMA_SYNC PRE m")  # the target holds rows
+    assert [t[2] for t in e.tasks].count("failed") == 1 and e.show("SHOW schema_sync").count() > 3
+    e.run("SET role = 'primary'")
+    assert e.settings["role"] == "primary" and rows(e.run("RESET QUERY_CACHE"))
+    with pytest.raises(RoutingError):
+        e.run("RESHARD nothing")
+
+
 def test_messages():
     r = pgoutput.Relation(5, "public", "t", "f", ((True, "id", 20), (False, "x", 25)))
     assert pgoutput.decode(pgoutput.relation(r)) == {"kind": "relation", "relation": r}
