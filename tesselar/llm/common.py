@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
@@ -74,6 +79,37 @@ def measured(df: DataFrame) -> int:
     return df.agg(F.sum(sum((_bytes_of(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(24)).cast("long"))).first()[0] or 0
 
 
+@contextmanager
+def whole_partitions(spark: SparkSession) -> Iterator[None]:
+    """While it holds, AQE joins shuffle partitions up to the advisory size, whatever the number of cores: an operator of many small jobs then starts few tasks and writes few files."""
+    name = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+#: Of each operator that keeps something in a Python worker between tasks: how to let go of it.
+worker_caches: dict[str, Callable[[], None]] = {}
+_owner = ""
+
+
+def worker_of(operator: str) -> None:
+    """A Python worker serves many operators in turn: what the others keep is dropped, and freed memory returned to the system."""
+    global _owner
+    if _owner != operator:
+        _owner = operator
+        for name, clear in worker_caches.items():
+            if name != operator:
+                clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # another C library has no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if its measured bytes stay below limit, else df for a shuffled join.
 

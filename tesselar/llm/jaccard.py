@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, small_side, stored, table
+from .common import small_batches, small_side, stored, table, whole_partitions, worker_of
 from .graph import merged
 from .words import mix, text_chunks, word_hashes
 
@@ -115,6 +115,7 @@ def _heavy(slim: DataFrame) -> np.ndarray:
     """Shingles that many texts have, sorted.  Every text is counted; within a batch only those seen twice are passed on."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_of("jaccard")
         held, size = [], 0
 
         def out() -> pa.RecordBatch:
@@ -142,6 +143,7 @@ def _signed(slim: DataFrame, heavy: np.ndarray) -> DataFrame:
     held = slim.sparkSession.sparkContext.broadcast(heavy)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_of("jaccard")
         heavy = held.value
         for b in batches:
             for a, z, data, at in text_chunks(b.column("text")):
@@ -167,7 +169,7 @@ def _signed(slim: DataFrame, heavy: np.ndarray) -> DataFrame:
 def _verified(pairs: DataFrame, reps: DataFrame, slim: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose sets link, as (u, v)."""
     pairs = stored(pairs, "pairs")
-    nodes = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     info = stored(reps.select("node", "n", "bits", "id", "fp").join(small_side(nodes), "node"), "info")
     known, sizes = small_side(info.select("node", "bits")), small_side(info.select("node", "n"))
     with_size = lambda x: sizes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"))
@@ -183,7 +185,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, slim: DataFrame) -> DataFrame:
     left = stored(left, "bounded")
 
     # of a pair the set of the leaf, the class of fewer pairs, travels to that of the hub; a hub of many pairs is dealt over groups of about GROUP leaves
-    degree = small_side(stored(left.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("deg")), "degree"))
+    degree = small_side(left.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("deg")))
     of = lambda x: degree.select(F.col("node").alias(x), F.col("deg").alias(f"deg_{x}"))
     turned = F.col("deg_a") < F.col("deg_b")
     one = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x))
@@ -192,9 +194,10 @@ def _verified(pairs: DataFrame, reps: DataFrame, slim: DataFrame) -> DataFrame:
     leaves = star.groupBy(F.col("leaf").alias("node"), F.pmod(F.xxhash64("hub"), F.col("parts"))).agg(F.collect_list(F.struct("hub", "salt", "leaf")).alias("to")).select("node", "to")
     hubs = star.select(F.col("hub").alias("node"), "salts").distinct().select("node", F.transform(F.sequence(F.lit(0), (F.col("salts") - 1).cast("int")), lambda k: F.struct(F.col("node").alias("hub"), k.alias("salt"), F.lit(None).cast("long").alias("leaf"))).alias("to"))
     # texts are known by id, sets by their digest: a text that shares its id with a wanted one has another digest
-    need = small_side(stored(info.select("node", "id", "fp").join(leaves.unionByName(hubs), "node").select("id", "fp", "to"), "need"))
+    need = small_side(info.select("node", "id", "fp").join(leaves.unionByName(hubs), "node").select("id", "fp", "to"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_of("jaccard")
         for b in batches:
             for a, z, data, at in text_chunks(b.column("text")):
                 out = []
@@ -275,11 +278,11 @@ def _tile_pairs(rows: DataFrame, reps: DataFrame) -> DataFrame:
     rows = rows.withColumn("k", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = stored(rows.withColumn("lo", F.least("k", "j")).withColumn("hi", F.greatest("k", "j")), "blocks")
     size = F.greatest(F.lit(64.0), F.pow(F.lit(2.0), F.ceil(F.log2("n")))) / 8 + 64  # of a row with its bitmap
-    weight = stored(rows.groupBy("least").agg(F.sum(size).alias("size")), "weights")
+    weight = rows.groupBy("least").agg(F.sum(size).alias("size"))
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), int((weight.agg(F.sum("size")).first()[0] or 0) // GROUP_BYTES) + 1)
     rows = rows.join(small_side(weight.select("least", F.ceil(F.col("size") / GROUP_BYTES).alias("salts"))), "least")
     rows = rows.withColumn("g", F.pmod(F.xxhash64("least", "lo", "hi", F.pmod(F.xxhash64("t"), F.col("salts"))), F.lit(parts))).drop("least", "salts")
-    wanted = small_side(stored(rows.select("node").distinct(), "wanted"))
+    wanted = small_side(rows.select("node").distinct())
     rows = rows.join(stored(reps.select("node", "bits").join(wanted, "node"), "bits"), "node")
 
     def compare(b: pd.DataFrame) -> pd.DataFrame:
@@ -329,11 +332,11 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, key) -> DataFrame:
     slim = docs.select(F.col(id_col).alias("id"), key.alias("key"), F.col(text_col).alias("text"))
     signed = stored(_signed(slim, _heavy(slim)).withColumn("row", F.monotonically_increasing_id()), "signed")
     known = signed.where("id is not null and n > 0")
-    classes = stored(known.groupBy("fp").agg(F.min("row").alias("node")), "classes")
-    of_row = stored(known.select("row", "id", "fp").join(classes, "fp").select("row", "id", "node"), "rows")
-    reps = known.join(small_side(of_row.where("row <> node").select("row")), "row", "left_anti").withColumnRenamed("row", "node")
-
-    of_row = stored(of_row.join(_components(reps, slim), "node", "left").withColumn("root", F.coalesce("root", "node")), "rows")
+    with whole_partitions(docs.sparkSession):
+        classes = stored(known.groupBy("fp").agg(F.min("row").alias("node")), "classes")
+        of_row = stored(known.select("row", "id", "fp").join(classes, "fp").select("row", "id", "node"), "rows")
+        reps = known.join(small_side(of_row.where("row <> node").select("row")), "row", "left_anti").withColumnRenamed("row", "node")
+        of_row = stored(of_row.join(_components(reps, slim), "node", "left").withColumn("root", F.coalesce("root", "node")), "rows")
     lows = of_row.groupBy("root").agg(F.min("id").alias("low"))
     firsts = of_row.join(lows, "root").where("id = low").groupBy("root").agg(F.min("row").alias("first"))
     of_row = of_row.join(lows, "root").join(firsts, "root").select("row", "node", "low", "first")

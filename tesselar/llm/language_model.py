@@ -44,7 +44,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, stored, table
+from .common import fresh_path, stored, table, worker_caches, worker_of
 from .elias_fano import EliasFano, read_arrays, write_arrays
 from .words import binary_parts, runs, text_chunks, word_hashes
 
@@ -188,12 +188,14 @@ class Spec:
 
 
 _opened: dict[str, dict] = {}  # of one model, in each worker
+worker_caches["language_model"] = _opened.clear
 
 
 class Trie:
     """Reads the levels of a Spec.  Word numbers: rank by hash; `start` (one more than all) is the start of a text; -1 is unknown."""
 
     def __init__(self, spec: Spec):
+        worker_of("language_model")
         self.spec, self.start, self.bits = spec, spec.distinct, np.uint64(spec.bits)
         self.no_word = np.uint64((1 << spec.bits) - 1)
         self.norm = spec.tokens + ADD * (spec.distinct + 1)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, table
+from .common import small_batches, stored, table, worker_caches, worker_of
 
 WIDTH = 2048
 END_ID = 0
@@ -91,6 +91,7 @@ class Encoder:
 _NAMES, _TYPES = ["piece", "start", "length", "ids_crc32"], [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 _COLUMNS = "piece int, start long, length long, ids_crc32 long"
 _encoders: dict[str, Encoder] = {}
+worker_caches["packing"] = _encoders.clear
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -101,6 +102,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 def _encoder(path: str | None) -> Encoder:
     """One per Python worker; None: the installed vocabulary, looked up where the task runs."""
+    worker_of("packing")
     path = path or vocabulary_path()
     if path not in _encoders:
         _encoders[path] = Encoder(path)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import small_batches, table, worker_of
 
 # The base patterns, kinds in their order.
 KINDS = ("assign", "access", "hex", "entropy")
@@ -131,6 +131,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_of("secrets")
         for b in batches:
             rows = [find_spans(t) for t in b.column("text").to_pylist()]
             n = [pa.array([sum(k == want for _, k, _ in every) for _, every in rows], pa.int64()) for want in range(4)]
@@ -158,6 +159,7 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[{kind}]") -> D
 
     @F.pandas_udf("string")
     def masked(texts: pd.Series) -> pd.Series:
+        worker_of("secrets")
         return texts.map(clean)
 
     return docs.select(*(masked(F.col(c)).alias(c) if c == text_col else F.col(c) for c in names))

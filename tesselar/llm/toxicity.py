@@ -51,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_side, stored, table
+from .common import small_batches, small_side, stored, table, worker_caches, worker_of
 from .words import CHUNK, runs
 
 SAMPLE = 200_000
@@ -130,7 +130,7 @@ class Matcher:
     """Union of the Levenshtein automata of all terms, intersected with their trie; determinised on demand."""
 
     KEEP = 200_000  # words that were run
-    STATES = 30_000
+    STATES = 20_000
     SPAN = 24  # longer words go to the automaton without a look at their deletions
 
     def __init__(self, terms: list[str], stems: list[str]):
@@ -267,6 +267,7 @@ class Matcher:
 
 
 _matchers: dict[str, Matcher] = {}  # of the last model
+worker_caches["toxicity"] = _matchers.clear
 
 
 @dataclass
@@ -282,6 +283,7 @@ class Model:
 
     def matcher(self) -> Matcher:
         """One per Python worker: what it has learned of words serves the worker's later tasks."""
+        worker_of("toxicity")
         if self.key not in _matchers:
             _matchers.clear()
             _matchers[self.key] = Matcher(self.terms, self.stems)
@@ -413,6 +415,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 50
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fit_sample: int = FIT_SAMPLE) -> Model:
+    small_batches(docs.sparkSession)
     fold = training_labels(labels, sample)
     rows = _with_text(docs, fold)
     size = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
@@ -436,32 +439,45 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fit_sample: in
     lexicon = Model(model.terms, model.stems)  # the layer is still to be learned
     model.key = lexicon.key
 
-    def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = lexicon.matcher()
+        kind = pa.list_(pa.struct([("w", pa.string()), ("t", pa.string()), ("e", pa.int32()), ("q", pa.float64())]))
         for b in batches:
-            got = [x for texts in _parts(b["text"].tolist()) for x in find_hits(texts, matcher)]
-            yield pd.DataFrame({"toxic": b["toxic"], "n": [n for _, _, n in got], "hits": [[[w, t, str(e), repr(q.get(w, 0.0))] for w, (t, e) in h.items()] for h, q, _ in got]})
-
-    rows = _with_text(docs, few).select("text", "toxic").mapInPandas(hits, "toxic int, n int, hits array<array<string>>").collect()
-    seen = [(r.toxic, {w: (t, int(e)) for w, t, e, _ in r.hits}, {w: float(q) for w, _, _, q in r.hits}, r.n) for r in rows]
+            at = 0
+            for texts in _parts(b.column("text").to_pylist()):
+                got = list(find_hits(texts, matcher))
+                found = pa.array([[(w, t, e, q.get(w, 0.0)) for w, (t, e) in h.items()] for h, q, _ in got], kind)
+                yield pa.RecordBatch.from_arrays([b.column("toxic").slice(at, len(texts)), pa.array([n for _, _, n in got], pa.int64()), found], ["toxic", "n", "hits"])
+                at += len(texts)
+
+    seen = stored(_with_text(docs, few).select("text", "toxic").mapInArrow(hits, "toxic int, n long, hits array<struct<w:string,t:string,e:int,q:double>>"), "hits")
+    # in how many clean and toxic texts each misspelt term stands: a few rows per term at most
+    misspelt = F.array_distinct(F.transform(F.filter("hits", lambda h: h["e"] > 0), lambda h: F.struct(h["t"].alias("t"), h["e"].alias("e"))))
     near: dict[tuple[str, int], list[int]] = {}
-    for y, h, _, _ in seen:
-        for m in set(h.values()):
-            if m[1]:
-                near.setdefault(m, [0, 0])[y] += 1
+    for r in seen.select("toxic", F.explode(misspelt).alias("m")).groupBy("m.t", "m.e", "toxic").count().collect():
+        near.setdefault((r.t, r.e), [0, 0])[r.toxic] = r["count"]
     for w in dict.fromkeys(model.terms + model.stems):
         for e in range(1, Matcher.edits(w) + 1):
             c, t = near.get((w, e), (0, 0))
             # a rare misspelling leans on the term's own weight; clean texts that have it take that away
             model.weights[w, e] = (4 * 0.6**e * max(model.weights[w, 0], 0.0) + (t + c) * ratio(t, c)) / (4 + t + c)
-    x = np.array([model.features(h, q, n) for _, h, q, n in seen])
-    model.layer = _logistic(x, np.array([float(r[0]) for r in seen])).tolist()
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for n, found in zip(b.column("n").to_pylist(), b.column("hits").to_pylist(), strict=True):
+                rows.append(model.features({h["w"]: (h["t"], h["e"]) for h in found}, {h["w"]: h["q"] for h in found}, n))
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(rows, pa.list_(pa.float64()))], ["toxic", "x"])
+
+    rows = seen.mapInArrow(features, "toxic int, x array<double>").collect()  # fit_sample rows of six numbers
+    model.layer = _logistic(np.array([r.x for r in rows]), np.array([float(r.toxic) for r in rows])).tolist()
     return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, score and predicted of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = model.matcher()
@@ -476,6 +492,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs without the rows that score THRESHOLD or more; columns stay."""
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
