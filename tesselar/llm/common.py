@@ -7,7 +7,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager, suppress
+from contextlib import AbstractContextManager, contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,15 +80,25 @@ def measured(df: DataFrame) -> int:
 
 
 @contextmanager
-def whole_partitions(spark: SparkSession) -> Iterator[None]:
-    """While it holds, AQE joins shuffle partitions up to the advisory size, whatever the number of cores: an operator of many small jobs then starts few tasks and writes few files."""
-    name = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+def _settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    before = {k: spark.conf.get(k) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def whole_partitions(spark: SparkSession) -> AbstractContextManager:
+    """While it holds, AQE joins shuffle partitions up to the advisory size, whatever the number of cores: an operator of many small jobs then starts few tasks and writes few files."""
+    return _settings(spark, **{"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"})
+
+
+def short_jobs(spark: SparkSession) -> AbstractContextManager:
+    """For rounds of jobs over few rows: no stage is compiled as a whole, which would take driver and executors longer than the rows, and fill their memory with classes."""
+    return _settings(spark, **{"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.codegen.wholeStage": "false"})
 
 
 #: Of each operator that keeps something in a Python worker between tasks: how to let go of it.
@@ -96,18 +106,36 @@ worker_caches: dict[str, Callable[[], None]] = {}
 _owner = ""
 
 
+def _give_back() -> None:
+    """Return freed memory to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def worker_of(operator: str) -> None:
-    """A Python worker serves many operators in turn: what the others keep is dropped, and freed memory returned to the system."""
+    """A Python worker serves many operators in turn: what the others keep is dropped."""
     global _owner
     if _owner != operator:
         _owner = operator
         for name, clear in worker_caches.items():
             if name != operator:
                 clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with suppress(OSError, AttributeError):  # another C library has no such call
-            ctypes.CDLL(None).malloc_trim(0)
+        _give_back()
+
+
+def in_worker(operator: str, run: Callable) -> Callable:
+    """run(batches) of an operator's task, in a worker that holds nothing of other operators and, after the task, nothing that is free."""
+
+    def task(batches: Iterator) -> Iterator:
+        worker_of(operator)
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return task
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:

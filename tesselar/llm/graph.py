@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_side, stored
+from .common import short_jobs, small_side, stored
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -44,12 +44,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 def merged(roots: DataFrame | None, edges: DataFrame) -> DataFrame:
     """roots (node, root: a smaller node that it is connected with; other nodes are their own) after more edges (u, v); stored, and to be broadcast if small."""
+    with short_jobs(edges.sparkSession):
+        return small_side(_merged(roots, edges))
+
+
+def _merged(roots: DataFrame | None, edges: DataFrame) -> DataFrame:
     if roots is None:
-        return small_side(stored(components(edges).where("node <> root"), "roots"))
+        return stored(components(edges).where("node <> root"), "roots")
     e = edges
     for end in ("u", "v"):
         at = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
         e = e.join(at, end, "left").withColumn(end, F.coalesce(f"root_{end}", end)).drop(f"root_{end}")
     more = stored(components(e).where("node <> root"), "more")
     on = small_side(more).select(F.col("node").alias("root"), F.col("root").alias("lower"))
-    return small_side(stored(roots.join(on, "root", "left").select("node", F.coalesce("lower", "root").alias("root")).unionByName(more), "roots"))
+    return stored(roots.join(on, "root", "left").select("node", F.coalesce("lower", "root").alias("root")).unionByName(more), "roots")

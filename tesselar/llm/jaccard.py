@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, small_side, stored, table, whole_partitions, worker_of
+from .common import in_worker, short_jobs, small_batches, small_side, stored, table, whole_partitions
 from .graph import merged
 from .words import mix, text_chunks, word_hashes
 
@@ -56,10 +56,10 @@ HEAVY_MOST = 300_000
 MINS, ROUNDS, PIVOTS = 6, 2, 2
 #: Members from which a shingle's list is compared as matrices of bitmaps, in blocks of BLOCK.
 LARGE, BLOCK = 32, 2048
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 #: Leaves that meet a hub's set in one group.
 GROUP = 200
-FLUSH = 1_000_000
+FLUSH = 500_000
 
 _rng = np.random.default_rng(20240501)
 _PLACE = _rng.integers(1, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -115,7 +115,6 @@ def _heavy(slim: DataFrame) -> np.ndarray:
     """Shingles that many texts have, sorted.  Every text is counted; within a batch only those seen twice are passed on."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_of("jaccard")
         held, size = [], 0
 
         def out() -> pa.RecordBatch:
@@ -133,7 +132,7 @@ def _heavy(slim: DataFrame) -> np.ndarray:
         if held:
             yield out()
 
-    many = slim.select("text").mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY)
+    many = slim.select("text").mapInArrow(in_worker("jaccard", count), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY)
     got = many.orderBy(F.desc("n"), "s").limit(HEAVY_MOST).toPandas()["s"].to_numpy(np.int64)
     return np.sort(got.view(np.uint64))
 
@@ -143,7 +142,6 @@ def _signed(slim: DataFrame, heavy: np.ndarray) -> DataFrame:
     held = slim.sparkSession.sparkContext.broadcast(heavy)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_of("jaccard")
         heavy = held.value
         for b in batches:
             for a, z, data, at in text_chunks(b.column("text")):
@@ -163,12 +161,17 @@ def _signed(slim: DataFrame, heavy: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("id").slice(a, z - a), b.column("key").slice(a, z - a), pa.array(n, pa.int32()), pa.array(fp, pa.binary()), pa.array(bits, pa.binary()), mins, lists], ["id", "key", "n", "fp", "bits", "mins", "prefix"])
 
     kind, key = (slim.schema[c].dataType.simpleString() for c in ("id", "key"))
-    return slim.mapInArrow(sign, f"id {kind}, key {key}, n int, fp binary, bits binary, mins array<long>, prefix array<long>")
+    return slim.mapInArrow(in_worker("jaccard", sign), f"id {kind}, key {key}, n int, fp binary, bits binary, mins array<long>, prefix array<long>")
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, slim: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose sets link, as (u, v)."""
     pairs = stored(pairs, "pairs")
+    with short_jobs(slim.sparkSession):
+        return _linked(pairs, reps, slim)
+
+
+def _linked(pairs: DataFrame, reps: DataFrame, slim: DataFrame) -> DataFrame:
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     info = stored(reps.select("node", "n", "bits", "id", "fp").join(small_side(nodes), "node"), "info")
     known, sizes = small_side(info.select("node", "bits")), small_side(info.select("node", "n"))
@@ -197,7 +200,6 @@ def _verified(pairs: DataFrame, reps: DataFrame, slim: DataFrame) -> DataFrame:
     need = small_side(info.select("node", "id", "fp").join(leaves.unionByName(hubs), "node").select("id", "fp", "to"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_of("jaccard")
         for b in batches:
             for a, z, data, at in text_chunks(b.column("text")):
                 out = []
@@ -221,7 +223,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, slim: DataFrame) -> DataFrame:
                     found.append(x)
         return pa.table({"u": pa.array([hub] * len(found), pa.int64()), "v": pa.array(found, pa.int64())})
 
-    sets = slim.select("id", "text").join(need, "id").select("text", "fp", "to").mapInArrow(send, "hub long, salt int, leaf long, s binary")
+    sets = slim.select("id", "text").join(need, "id").select("text", "fp", "to").mapInArrow(in_worker("jaccard", send), "hub long, salt int, leaf long, s binary")
     return stored(sets.groupBy("hub", "salt").applyInArrow(meet, "u long, v long").distinct(), "links")
 
 

@@ -44,7 +44,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, stored, table, worker_caches, worker_of
+from .common import fresh_path, in_worker, stored, table, worker_caches
 from .elias_fano import EliasFano, read_arrays, write_arrays
 from .words import binary_parts, runs, text_chunks, word_hashes
 
@@ -195,7 +195,6 @@ class Trie:
     """Reads the levels of a Spec.  Word numbers: rank by hash; `start` (one more than all) is the start of a text; -1 is unknown."""
 
     def __init__(self, spec: Spec):
-        worker_of("language_model")
         self.spec, self.start, self.bits = spec, spec.distinct, np.uint64(spec.bits)
         self.no_word = np.uint64((1 << spec.bits) - 1)
         self.norm = spec.tokens + ADD * (spec.distinct + 1)
@@ -405,7 +404,7 @@ def _counted(rows: DataFrame, keys, starts: list[int], write) -> tuple[dict, lis
         s = key[0].as_py()
         return write(s, files[s], files[s + 1] if s + 1 < len(files) else 1 << 64, blocks)
 
-    done = rows.mapInArrow(task, _BLOCKS).groupBy("file").applyInArrow(finish, _WRITTEN).where("n > 0").collect()
+    done = rows.mapInArrow(in_worker("language_model", task), _BLOCKS).groupBy("file").applyInArrow(finish, _WRITTEN).where("n > 0").collect()
     return {r.file: r for r in done}, files
 
 
@@ -460,7 +459,7 @@ def tokenised(slim: DataFrame, spec: Spec) -> DataFrame:
                 binary = pa.Array.from_buffers(pa.binary(), z - a, [None, pa.py_buffer((first * 4).astype(np.int32)), pa.py_buffer(raw)])
                 yield pa.RecordBatch.from_arrays([b.column("id").slice(a, z - a), b.column("held_out").slice(a, z - a), pa.array(np.diff(first)), pa.array(known), pa.array(base), binary], ["id", "held_out", "n_tokens", "n_known", "base_score", "ids"])
 
-    return stored(slim.mapInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, ids binary"), "tokens")
+    return stored(slim.mapInArrow(in_worker("language_model", run), f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, ids binary"), "tokens")
 
 
 def fit(docs: DataFrame, order: int = 3, per_range: int = PER_RANGE, id_col: str = "doc_id", text_col: str = "text") -> tuple[Spec, DataFrame | None]:
@@ -535,7 +534,7 @@ def score(docs: DataFrame, spec: Spec, tokens: DataFrame | None = None, id_col:
             keep = ["id", "held_out", "n_tokens", "n_known", "base_score"]
             yield pa.RecordBatch.from_arrays([*(b.column(c).slice(a, z - a) for c in keep), pa.array(trie.score(ids, first))], [*keep, "score"])
 
-    out = tokens.mapInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = tokens.mapInArrow(in_worker("language_model", run), f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(spec.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

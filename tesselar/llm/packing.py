@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, table, worker_caches, worker_of
+from .common import in_worker, small_batches, stored, table, worker_caches
 
 WIDTH = 2048
 END_ID = 0
@@ -102,7 +102,6 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 def _encoder(path: str | None) -> Encoder:
     """One per Python worker; None: the installed vocabulary, looked up where the task runs."""
-    worker_of("packing")
     path = path or vocabulary_path()
     if path not in _encoders:
         _encoders[path] = Encoder(path)
@@ -131,7 +130,7 @@ def pieces(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row, pa.int64())), *map(pa.array, columns, _TYPES)], ["id", *_NAMES])
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, f"id {kind}, {_COLUMNS}")
+    return slim.mapInArrow(in_worker("packing", run), f"id {kind}, {_COLUMNS}")
 
 
 def lower_bound(lengths: np.ndarray, width: int = WIDTH) -> int:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, worker_of
+from .common import in_worker, small_batches, table, worker_of
 
 # The base patterns, kinds in their order.
 KINDS = ("assign", "access", "hex", "entropy")
@@ -131,7 +131,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_of("secrets")
         for b in batches:
             rows = [find_spans(t) for t in b.column("text").to_pylist()]
             n = [pa.array([sum(k == want for _, k, _ in every) for _, every in rows], pa.int64()) for want in range(4)]
@@ -139,7 +138,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([b.column("id"), *n[:3], digests, pa.array([_named(x) for _, x in rows], pa.string()), n[3]], ["id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_entropy"])
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, f"id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_entropy long").withColumnRenamed("id", id_col)
+    return slim.mapInArrow(in_worker("secrets", run), f"id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_entropy long").withColumnRenamed("id", id_col)
 
 
 def redact(docs: DataFrame, text_col: str = "text", mask: str = "[{kind}]") -> DataFrame:

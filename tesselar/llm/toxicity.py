@@ -51,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, small_side, stored, table, worker_caches, worker_of
+from .common import in_worker, small_batches, small_side, stored, table, worker_caches, worker_of
 from .words import CHUNK, runs
 
 SAMPLE = 200_000
@@ -336,8 +336,8 @@ def find_hits(texts: list[str | None], matcher: Matcher) -> Iterator[tuple[dict[
 
 
 def _parts(texts: list[str | None]) -> Iterator[list[str | None]]:
-    """Texts in runs of about 2 * CHUNK characters."""
-    for a, z in runs(np.fromiter((len(t or "") for t in texts), np.int64, len(texts)), 2 * CHUNK):
+    """Texts in runs of about 4 * CHUNK characters."""
+    for a, z in runs(np.fromiter((len(t or "") for t in texts), np.int64, len(texts)), 4 * CHUNK):
         yield texts[a:z]
 
 
@@ -450,7 +450,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fit_sample: in
                 yield pa.RecordBatch.from_arrays([b.column("toxic").slice(at, len(texts)), pa.array([n for _, _, n in got], pa.int64()), found], ["toxic", "n", "hits"])
                 at += len(texts)
 
-    seen = stored(_with_text(docs, few).select("text", "toxic").mapInArrow(hits, "toxic int, n long, hits array<struct<w:string,t:string,e:int,q:double>>"), "hits")
+    seen = stored(_with_text(docs, few).select("text", "toxic").mapInArrow(in_worker("toxicity", hits), "toxic int, n long, hits array<struct<w:string,t:string,e:int,q:double>>"), "hits")
     # in how many clean and toxic texts each misspelt term stands: a few rows per term at most
     misspelt = F.array_distinct(F.transform(F.filter("hits", lambda h: h["e"] > 0), lambda h: F.struct(h["t"].alias("t"), h["e"].alias("e"))))
     near: dict[tuple[str, int], list[int]] = {}
@@ -486,7 +486,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("held_out"), pa.array(got, pa.float64())], ["id", "held_out", "score"])
 
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    out = slim.mapInArrow(run, f"id {kind}, held_out boolean, score double")
+    out = slim.mapInArrow(in_worker("toxicity", run), f"id {kind}, held_out boolean, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 

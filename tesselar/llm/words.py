@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _LONG = 256  # bytes from which a word is hashed on its own
 _TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else 0x20 if 0x09 <= c <= 0x0D else c for c in range(256))
 _MASK = np.array([(1 << 8 * min(n, 8)) - 1 for n in range(_LONG + 1)], dtype=np.uint64)
