@@ -188,7 +188,8 @@ def _linked(pairs: DataFrame, reps: DataFrame, slim: DataFrame) -> DataFrame:
     left = stored(left, "bounded")
 
     # of a pair the set of the leaf, the class of fewer pairs, travels to that of the hub; a hub of many pairs is dealt over groups of about GROUP leaves
-    degree = small_side(left.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("deg")))
+    ends = [left.groupBy(F.col(x).alias("node")).agg(F.count(F.lit(1)).alias("deg")) for x in ("a", "b")]
+    degree = small_side(stored(ends[0].union(ends[1]).groupBy("node").agg(F.sum("deg").alias("deg")), "degree"))
     of = lambda x: degree.select(F.col("node").alias(x), F.col("deg").alias(f"deg_{x}"))
     turned = F.col("deg_a") < F.col("deg_b")
     one = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x))
