@@ -12,8 +12,10 @@ whole word sequence if it has fewer words).  Two sets link when 100 * shared >=
 * Prefix.  In one global order of shingles, linked sets share a shingle within
   their first n - ceil(0.75 n) + 1.  The order is by hash, with shingles that many
   texts have at its end, so shared passages rarely get into a prefix.  Any order
-  gives the same links; this one keeps candidate lists short.  Only shingles that
-  classes of different components have in their prefixes are followed.
+  gives the same links; this one keeps candidate lists short.  Prefixes are kept as
+  48 bits a shingle and meet as sorted blocks of differences (see _shared_places):
+  most shingles stand in one prefix only and go no further.  Of the others those
+  that classes of different components have are followed.
 * Tiles.  A tile holds the prefix places of one shingle and one size band (sizes
   within a factor 4/3, so linked sets lie in the same or neighbouring bands).
   Its members first meet PIVOTS pivots; then those of short lists that are still
@@ -46,7 +48,7 @@ from pyspark.sql import functions as F
 
 from .common import in_worker, short_jobs, small_batches, small_side, stored, table, whole_partitions
 from .graph import merged
-from .words import mix, text_chunks, word_hashes
+from .words import binary_parts, mix, text_chunks, word_hashes
 
 K = 5
 PERCENT = 75
@@ -60,11 +62,14 @@ GROUP_BYTES = 8 << 20
 #: Leaves that meet a hub's set in one group.
 GROUP = 200
 FLUSH = 500_000
+#: Bytes of a prefix place, and places of a range in which they meet.  Of one shingle a batch sends OFTEN places to the range.
+PLACE, RANGE, OFTEN = 6, 1 << 20, 16
 
 _rng = np.random.default_rng(20240501)
 _PLACE = _rng.integers(1, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHORT = _rng.integers(1, 2**63, K + 1, dtype=np.uint64)
 _SEEDS = [0, *_rng.integers(1, 2**62, ROUNDS + PIVOTS - 1).tolist()]
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _ORDER = _rng.integers(1, 2**63, MINS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -111,6 +116,26 @@ def most_shared(a: bytes, n_a: int, b: bytes, n_b: int) -> int:
     return min(n_a, n_b, (n_a + n_b - int(np.bitwise_count(x ^ y).sum())) // 2)
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """PLACE bytes of each value; which shingles share them is all that a prefix has to tell, so a rare clash gives a pair too many and never loses one."""
+    return (values * _SPREAD).astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - PLACE :].tobytes()
+
+
+def _unpacked(raw: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(raw) // PLACE, 8), np.uint8)
+    out[:, :PLACE] = raw.reshape(-1, PLACE)
+    return out.view("<u8")[:, 0]
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers of 32 bits, all first bytes first: Spark's compression then finds the empty ones."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unplaned(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4")[:, 0]
+
+
 def _heavy(slim: DataFrame) -> np.ndarray:
     """Shingles that many texts have, sorted.  Every text is counted; within a batch only those seen twice are passed on."""
 
@@ -155,13 +180,12 @@ def _signed(slim: DataFrame, heavy: np.ndarray) -> DataFrame:
                     if len(heavy) and take:
                         last = heavy[np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)] == s
                         s = np.concatenate([s[~last][:take], s[last][:take]])
-                    prefix.append(s[:take].view(np.int64).copy())
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(p) for p in prefix])), pa.int32()), pa.array(np.concatenate(prefix)))
+                    prefix.append(_packed(s[:take]))
                 mins = pa.ListArray.from_arrays(pa.array(np.arange(0, MINS * (z - a) + 1, MINS), pa.int32()), pa.array(np.concatenate(mins)))
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(a, z - a), b.column("key").slice(a, z - a), pa.array(n, pa.int32()), pa.array(fp, pa.binary()), pa.array(bits, pa.binary()), mins, lists], ["id", "key", "n", "fp", "bits", "mins", "prefix"])
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(a, z - a), b.column("key").slice(a, z - a), pa.array(n, pa.int32()), pa.array(fp, pa.binary()), pa.array(bits, pa.binary()), mins, pa.array(prefix, pa.binary())], ["id", "key", "n", "fp", "bits", "mins", "prefix"])
 
     kind, key = (slim.schema[c].dataType.simpleString() for c in ("id", "key"))
-    return slim.mapInArrow(in_worker("jaccard", sign), f"id {kind}, key {key}, n int, fp binary, bits binary, mins array<long>, prefix array<long>")
+    return slim.mapInArrow(in_worker("jaccard", sign), f"id {kind}, key {key}, n int, fp binary, bits binary, mins array<long>, prefix binary")
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, slim: DataFrame) -> DataFrame:
@@ -274,6 +298,73 @@ def _matrix_pairs(n: np.ndarray, roots: np.ndarray, block: np.ndarray, bits: lis
     return out
 
 
+def _blocks(node: np.ndarray, t: np.ndarray) -> Iterator[tuple[int, int, int, bool, bytes, bytes]]:
+    """(part, salt, base, sure, t, row) of places: those of one range by t, rows numbered from base.
+
+    Those that are sure to be shared have a salt, so that a range's groups are many.
+    """
+    base = node >> 32
+    order = np.lexsort((t, base))
+    node, t, base = node[order], t[order], base[order]
+    first = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (base[1:] != base[:-1])))
+    nth = np.arange(len(t)) - np.repeat(first, np.diff(np.append(first, len(t))))
+    for sure in (False, True):
+        take = (nth >= OFTEN) == sure
+        if not take.any():
+            continue
+        n, x, b = node[take], t[take], base[take]
+        part = (x >> np.uint64(32)).astype(np.int64)
+        cut = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (b[1:] != b[:-1]))).tolist()
+        for i, j in zip(cut, [*cut[1:], len(x)], strict=True):
+            steps = np.diff(x[i:j] & np.uint64(0xFFFFFFFF), prepend=np.uint64(0))
+            yield int(part[i]), int(n[i]) if sure else -1, int(b[i]), sure, _planes(steps), _planes(n[i:j] & 0xFFFFFFFF)
+
+
+def _shared_places(reps: DataFrame) -> DataFrame:
+    """t and node of the prefix places whose t (the top bits of a packed shingle) another class has too.
+
+    Most shingles stand in one prefix only.  They meet by ranges of t, as sorted blocks of
+    differences and rows that take some 5 bytes a place; of a t that a batch holds more
+    than OFTEN times its range gets OFTEN places, the others need no answer and are dealt
+    elsewhere, so a frequent shingle burdens no range.
+    """
+    total = reps.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
+    ranges = min(8 * PLACE - 32, max(8, (total // PLACE // RANGE).bit_length()))  # bits of their number
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, values, size = [], [], 0
+
+        def out() -> pa.RecordBatch:
+            columns = zip(*_blocks(np.concatenate(nodes), np.concatenate(values)), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], ["part", "salt", "base", "sure", "t", "row"])
+
+        for b in batches:
+            data, at = binary_parts(b.column("prefix"))
+            values.append(_unpacked(data) >> np.uint64(8 * PLACE - 32 - ranges))
+            nodes.append(np.repeat(b.column("node").to_numpy(zero_copy_only=False).astype(np.int64), np.diff(at) // PLACE))
+            size += len(nodes[-1])
+            if size > FLUSH:
+                yield out()
+                nodes, values, size = [], [], 0
+        if size:
+            yield out()
+
+    def meet(table: pa.Table) -> pa.Table:
+        part, sure = table.column("part")[0].as_py(), table.column("sure")[0].as_py()
+        t = np.concatenate([np.cumsum(_unplaned(x.as_py()), dtype=np.uint64) for x in table.column("t")])
+        node = np.concatenate([_unplaned(x.as_py()).astype(np.int64) + (b.as_py() << 32) for x, b in zip(table.column("row"), table.column("base"), strict=True)])
+        if not sure:
+            order = np.argsort(t, kind="stable")
+            t, node = t[order], node[order]
+            same = t[1:] == t[:-1]
+            several = np.append(same, False) | np.append(False, same)
+            t, node = t[several], node[several]
+        return pa.table({"t": pa.array(t.astype(np.int64) + (part << 32)), "node": pa.array(node)})
+
+    met = reps.select("node", "prefix").mapInArrow(in_worker("jaccard", pack), "part int, salt long, base long, sure boolean, t binary, row binary")
+    return met.groupBy("part", "salt").applyInArrow(meet, "t long, node long")
+
+
 def _tile_pairs(rows: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs (a, b) of long lists: a tile holds one list, or two blocks of it, and is compared as matrices; only pairs within the bound become rows."""
     # lists of one smallest member go to one group, which gives a pair once; GROUP_BYTES and more of them are dealt to several by shingle
@@ -308,12 +399,12 @@ def _components(reps: DataFrame, slim: DataFrame) -> DataFrame:
         p = _rooted(p, roots)
 
     # shingles that different components have in their prefixes; a list of two is its smallest and largest member
-    places = _rooted(reps.select("node", "prefix"), roots).select("node", "root", F.explode("prefix").alias("t"))
-    lists = places.groupBy("t").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c"))
+    shared = stored(_shared_places(reps), "shared")
+    lists = _rooted(shared, roots).groupBy("t").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c"))
     lists = stored(lists.where("lo <> hi").select("t", "a", "b", "c"), "lists")
     pairs = lists.where("c = 2").select("a", "b").distinct()
     band = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT))).cast("int").alias("band")
-    places = reps.select("node", F.explode("prefix").alias("t")).join(small_side(lists.where("c > 2").select("t")), "t")
+    places = shared.join(small_side(lists.where("c > 2").select("t")), "t")
     places = stored(_rooted(places.join(reps.select("node", "n"), "node"), roots).select("t", "node", "n", "root", band), "places")
     pairs = pairs.union(_pivot_pairs(places, ["t", "band"], _SEEDS[ROUNDS:], roots))
     roots = merged(roots, _verified(pairs.distinct(), reps, slim))

@@ -230,6 +230,37 @@ def test_components(spark, monkeypatch, seed, large):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in want.items() if c == i)
 
 
+def test_shared_places(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "OFTEN", 3)
+    rng = np.random.default_rng(5)
+    rows = [(int(i) + (int(i) % 3 << 33), np.unique(np.append(rng.integers(0, 2**64, 30, dtype=np.uint64), rng.integers(0, 50, 5, dtype=np.uint64)))) for i in range(200)]
+    rows.append((1 << 40, np.zeros(0, np.uint64)))
+    reps = spark.createDataFrame([(i, bytearray(jaccard._packed(s))) for i, s in rows], "node long, prefix binary")
+    met = {}
+    for r in jaccard._shared_places(reps).collect():
+        met.setdefault(r.t, []).append(r.node)
+    lists = {}
+    for i, s in rows:
+        for x in s.tolist():
+            lists.setdefault(x, []).append(i)
+    assert sorted(sorted(x) for x in met.values()) == sorted(sorted(x) for x in lists.values() if len(x) > 1)
+
+
+def test_disk_of_a_place(spark):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(map(str, rng.integers(0, 10**6, 800).tolist())) for _ in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = shuffled()
+    assert jaccard.jaccard_components(docs).where("component_id <> doc_id").count() == 0
+    assert shuffled() - before < 12 * 600 * 200
+
+
 def test_repeated_and_missing_ids(spark):
     docs = spark.createDataFrame([(3, "a b c d e f g"), (3, "a b c d e f g"), (None, "a b c d e f g"), (9, "a b c d e f g")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id) for r in jaccard.jaccard_components(docs).collect()), key=repr)
