@@ -1,7 +1,8 @@
 """Corpus pipeline: toxicity, near copies, benchmark passages, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir), with docs the table that the stage before
-it kept, and its result is written as Parquet before the next one reads it.
+it kept, and its result is written as Parquet before the next one reads it.  Each begins with
+executors that have returned the heap of the work before.
 
 Odd rows, in every stage: null and empty texts are kept by the filtering stages (they
 have no hits, no words and no spans), and are packed as the end id alone.  Rows without
@@ -16,26 +17,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselar.llm import decontaminate, jaccard, packing, secrets, toxicity
-from tesselar.llm.common import stored, table
+from tesselar.llm.common import heap_back, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold; the model learns from the labelled training rows among docs."""
+    heap_back(spark)
     return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group that five-word shingles link at 0.75 or more."""
+    heap_back(spark)
     return jaccard.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words lies in benchmark windows."""
+    heap_back(spark)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each secret replaced by its kind; n_chars follows the new text."""
+    heap_back(spark)
     clean = secrets.redact(docs.withColumn("__old", F.col("text")))
     n = F.when(F.col("text").eqNullSafe(F.col("__old")), F.col("n_chars")).otherwise(F.length("text").cast("long"))
     return clean.withColumn("n_chars", n).select(docs.columns)
@@ -43,6 +48,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a document, with its place in a training sequence."""
+    heap_back(spark)
     return packing.pack(docs)
 
 

@@ -138,6 +138,16 @@ def in_worker(operator: str, run: Callable) -> Callable:
     return task
 
 
+def heap_back(spark: SparkSession) -> None:
+    """Executors collect their garbage and return the heap that is free then to the system.
+
+    A heap that a large job has stretched keeps that size through small ones, beside the
+    Python workers and buffers of each.  For the borders of stages: one task on each core.
+    """
+    n = 1 if spark.sparkContext._jsc.sc().isLocal() else spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.call_function("java_method", F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if its measured bytes stay below limit, else df for a shuffled join.
 

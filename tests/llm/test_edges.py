@@ -1,5 +1,6 @@
 """Nulls, large ids, repeated rows, long texts, empty tables and clashing columns, for every operator and pipeline stage."""
 
+import gc
 import hashlib
 import math
 import os
@@ -318,6 +319,20 @@ def test_measured_sizes(spark):
     assert 200 < measured(df) < 400 and measured(df.limit(0)) == 0
 
 
+def test_stages_begin_without_garbage(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    jvm = spark.sparkContext._jvm
+    heap = jvm.java.lang.Runtime.getRuntime()
+    docs = spark.createDataFrame([(1, "a b c", 5)], "doc_id long, text string, n_chars long")
+    jvm.System.gc()
+    held = [jvm.java.nio.ByteBuffer.allocate(16 << 20) for _ in range(6)]
+    used = heap.totalMemory() - heap.freeMemory()
+    del held
+    gc.collect()  # the JVM's objects go with those here
+    corpus_pipeline.mask_secrets(spark, docs, "")
+    assert heap.totalMemory() - heap.freeMemory() < used - (64 << 20)
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
 def test_native_plans_have_no_python(spark):
     from tesselar.llm import registry
