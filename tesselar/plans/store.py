@@ -280,8 +280,11 @@ class Store:
         self._publish(table, after)
         return self._returned(table, new, StructType.fromJson(json.loads(m.schema)))
 
-    def upsert(self, table: str, rows: DataFrame, key: str, order_by: str) -> Written:
-        """Rows replace those of equal key, others are added; of several rows of a key that with the greatest order_by holds (order_by is no column of the table)."""
+    def upsert(self, table: str, rows: DataFrame, key: str, order_by: str, where: str | None = None) -> Written:
+        """Rows replace those of equal key, others are added; of several rows of a key that with the greatest order_by holds (order_by is no column of the table).
+
+        where is the predicate of a partial unique index, as in ON CONFLICT (key) WHERE: rows that do not satisfy it neither replace nor are replaced.
+        """
         m, t = self.manifest(table), self.catalog.sharded(table)
         columns = [f.name for f in StructType.fromJson(json.loads(m.schema)).fields]
         last = rows.groupBy(key).agg(F.max_by(F.struct(*columns), order_by).alias("r")).select("r.*")
@@ -291,8 +294,9 @@ class Store:
         else:
             shards = None
         new = self._write(table, placed)
-        kept = self._frame(Manifest(0, m.schema, {s: [f] for s, f in new.items()}), table).select(key)
-        after, _ = self._rewrite(table, shards, lambda df: df.join(kept, key, "left_anti").select(*columns, "shard"))
+        unique = F.coalesce(F.expr(where), F.lit(False)) if where else F.lit(True)
+        kept = self._frame(Manifest(0, m.schema, {s: [f] for s, f in new.items()}), table).where(unique).select(F.col(f"`{key}`").alias("_kept"))
+        after, _ = self._rewrite(table, shards, lambda df: df.join(kept, (F.col(f"`{key}`") == F.col("_kept")) & unique, "left_anti").select(*columns, "shard"))
         for s, f in new.items():
             after.folders.setdefault(s, []).append(f)
         self._publish(table, after)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesselar.functions.ids import job_number, unique_id, with_unique_ids
-from tesselar.operators import relational, scans
+from tesselar.operators import dml, relational, scans
 from tesselar.plans import ddl
 from tesselar.plans.admin import Engine, TableCopies, system_columns, system_tables
 from tesselar.plans.catalog import Catalog, ForeignKey, RoutingError, ShardedTable
@@ -74,6 +74,20 @@ def test_key_update_and_upsert(spark, store):
     assert got[99] == 10 and 1 not in got and got[2] == 5 and got[500] == 1 and len(got) == 42
 
 
+def test_upsert_on_a_partial_index(spark, store):
+    new = spark.createDataFrame([(2, 7, 1), (3, 8, 1), (500, 1, 1)], "id long, v long, n int")
+    assert store.upsert("t", new, "id", "n", "id % 2 = 0").affected == 3
+    got = content(store)
+    assert [x for x in got if x[0] in (2, 3, 500)] == [(2, 7), (3, 30), (3, 8), (500, 1)] and (None, -1) in got and len(got) == 43
+
+
+def test_upsert_query_adds_beside_a_taken_key(spark, tmp_path):
+    """On larger tables an order has the number of the row that the query adds."""
+    orders = [(100, 7, 1.5), (101, 8, 2.5), (900010, 9, 3.5)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    assert rows(dml.dml_upsert(spark, str(tmp_path))) == [(100, 1, 0.5), (101, 8, 2.5), (900010, 1, 0.5), (900010, 9, 3.5)]
+
+
 def test_foreign_keys_guard_moves(spark, tmp_path):
     c = Catalog(2, [ShardedTable("parent", "id", 2)], foreign_keys=C.foreign_keys)
     s = Store(spark, str(tmp_path / "fk"), c)
