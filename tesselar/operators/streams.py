@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from ..session import read
@@ -146,42 +147,54 @@ def stream_session(spark, sf_dir):
     return _collected(spark, w.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n"), "complete")
 
 
-def _log(spark, sf_dir, folder: str, files: int = 3) -> None:
-    """The events table as message files of a replication log: a transaction per event, whole files in the order of their positions."""
+def _log(spark, sf_dir, folder: str, files: int = 3, most: int = 100_000) -> None:
+    """The events table as message files of a replication log: a transaction per event, whole files in the order of their positions.
+
+    There are at least so many ranges of positions as files says; a file holds at most so many transactions as most says, whatever the table's size.
+    """
     relation = pgoutput.relation(pgoutput.Relation(7, "public", "accounts", "d", ((True, "id", 20), (False, "status", 25), (False, "amount", 701))))
 
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for e in part.sort_values("event_id").itertuples(index=False):
-            lsn, m, key = int(e.event_id) + 1, int(e.event_id) % 10, str(e.user_id)
-            row = [key, e.event_type, None if pd.isna(e.value) else repr(float(e.value))]
-            if m == 9:
-                said = pgoutput.insert(7, row)
-            elif m == 8:
-                said = pgoutput.delete(7, [key, None, None])
-            else:
-                said = pgoutput.update(7, [*row[:2], ...] if m >= 6 else row)
-            out += [(lsn, pgoutput.begin(lsn)), (lsn, relation), (lsn, said), (lsn, pgoutput.commit(lsn))]
-        return pd.DataFrame({"lsn": [out[-1][0]], "content": [pgoutput.to_file(out)]})
-
-    e = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
-    most = e.agg(F.max("event_id")).first()[0]
-    dealt = e.withColumn("g", F.floor(F.col("event_id") * files / (most + 1)))
-    rows = dealt.groupBy("g").applyInPandas(one, "lsn long, content binary")
+    def said(event_id: int, user: int, status: str, value: float | None) -> bytes:
+        lsn, m, key = event_id + 1, event_id % 10, str(user)
+        row = [key, status, None if value is None else repr(value)]
+        if m == 9:
+            change = pgoutput.insert(7, row)
+        elif m == 8:
+            change = pgoutput.delete(7, [key, None, None])
+        else:
+            change = pgoutput.update(7, [*row[:2], ...] if m >= 6 else row)
+        return pgoutput.to_file([(lsn, pgoutput.begin(lsn)), (lsn, relation), (lsn, change), (lsn, pgoutput.commit(lsn))])
 
     def put(batches):
+        """A range's events, sorted, written file by file."""
         from pyarrow import fs
 
+        where, path = fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+        where.create_dir(path, recursive=True)
+        attempt = TaskContext.get().taskAttemptId()
+
+        def close(lsn: int, content: bytearray) -> pa.RecordBatch:
+            with where.open_output_stream(f"{path}/.{lsn}.{attempt}.part", compression=None) as f:
+                f.write(content)
+            where.move(f"{path}/.{lsn}.{attempt}.part", f"{path}/{lsn}.log")
+            return pa.RecordBatch.from_arrays([pa.array([lsn], pa.int64())], ["lsn"])
+
+        content, held, last = bytearray(), 0, None
         for b in batches:
-            for lsn, content in zip(b["lsn"], b["content"], strict=True):
-                where, path = fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
-                where.create_dir(path, recursive=True)
-                with where.open_output_stream(f"{path}/.{lsn}.part", compression=None) as f:
-                    f.write(content)
-                where.move(f"{path}/.{lsn}.part", f"{path}/{lsn}.log")
-            yield b[["lsn"]]
-
-    rows.mapInPandas(put, "lsn long").agg(F.count("*")).collect()
+            for e in zip(*(b.column(c).to_pylist() for c in columns), strict=True):
+                lsn = e[0] + 1
+                if held >= most and lsn != last:  # a position is in one file only
+                    yield close(last, content)
+                    content, held = bytearray(), 0
+                content += said(*e)
+                held, last = held + 1, lsn
+        if held:
+            yield close(last, content)
+
+    columns = ["event_id", "user_id", "event_type", "value"]
+    e = read(spark, sf_dir, "events").select(*columns)
+    ranges = max(files, -(-2 * e.count() // most))
+    e.repartitionByRange(ranges, "event_id").sortWithinPartitions("event_id").mapInArrow(put, "lsn long").agg(F.count("*")).collect()
 
 
 def _decoded(files, spark):

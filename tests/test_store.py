@@ -3,11 +3,12 @@
 import os
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tesselar.functions.ids import job_number, unique_id, with_unique_ids
-from tesselar.operators import dml, relational, scans
+from tesselar.operators import dml, relational, scans, streams
 from tesselar.plans import ddl
 from tesselar.plans.admin import Engine, TableCopies, system_columns, system_tables
 from tesselar.plans.catalog import Catalog, ForeignKey, RoutingError, ShardedTable
@@ -276,6 +277,51 @@ def test_events_of_messages(spark):
     ]
 
 
+def test_message_files_are_bounded_and_whole(spark, tmp_path):
+    """A file holds so many transactions at most, however dense their positions are; a position is in one file."""
+    ids = [*range(40), *range(1000, 1003), 1003, 1003, 10**9]
+    kinds = ["click", "view"]
+    events = [(i, i % 7, kinds[n % 2], None if n == 5 else float("nan") if n == 6 else n / 3) for n, i in enumerate(ids)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    folder = str(tmp_path / "log")
+    streams._log(spark, str(tmp_path), folder, most=4)
+    names = [n for n in os.listdir(folder) if not n.endswith(".crc")]
+    assert all(re.fullmatch(r"\d+\.log", n) for n in names)
+    held = []
+    for last, name in sorted((int(n[:-4]), n) for n in names):
+        with open(f"{folder}/{name}", "rb") as f:
+            begun = [lsn for lsn, m in pgoutput.from_file(f.read()) if m[:1] == b"B"]
+        assert begun == sorted(begun) and begun[-1] == last and len(begun) <= 5 and len(set(begun)) <= 4
+        held += begun
+    assert held == [i + 1 for i in ids]
+    got = streams._decoded(spark.read.format("binaryFile").load(folder), spark)
+    have = [(r.lsn, r.op, r.key, *(r.new or (None, None)), r.unchanged) for r in got.orderBy("lsn").collect()]
+    op = {9: "I", 8: "D"}
+    want = [(i + 1, op.get(i % 10, "U"), k, *((None, None) if i % 10 == 8 else (t, None if i % 10 in (6, 7) else v)), ["amount"] if i % 10 in (6, 7) else []) for i, k, t, v in events]
+    assert sorted(map(repr, have)) == sorted(map(repr, want))
+
+
+def test_decoded_batches_are_bounded():
+    """A file of many events is decoded in batches, none of which grows with it."""
+    r = pgoutput.Relation(5, "public", "t", "d", ((True, "id", 20), (False, "x", 25)))
+    said = [(1, pgoutput.begin(10)), (1, pgoutput.relation(r))] + [(2, pgoutput.insert(5, [str(i), "a" * 30])) for i in range(25_000)] + [(10, pgoutput.commit(10))]
+    large = [(1, pgoutput.begin(20))] + [(2, pgoutput.insert(5, [str(i), "b" * (3 << 20)])) for i in range(4)] + [(20, pgoutput.commit(20))]
+    run = []
+
+    class Files:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, schema):
+            run.append(f)
+
+    pgoutput.events(Files(), [(1, r)])
+    contents = pa.RecordBatch.from_arrays([pa.array([pgoutput.to_file(said), b"", pgoutput.to_file(large)], pa.binary())], ["content"])
+    batches = list(run[0](iter([contents])))
+    assert sum(b.num_rows for b in batches) == 25_004 and max(b.num_rows for b in batches) == 10_000
+    assert max(b.nbytes for b in batches) < 8 << 20
+
+
 def test_retry_and_unique(spark):
     waits, calls = [], []
 
