@@ -36,14 +36,19 @@ class _Reader(DataSourceStreamReader):
         """A task per file whose last position lies in (start, end]."""
         return [InputPartition(x) for x in _list(self.path) if start["lsn"] < x[0] <= end["lsn"]]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def read(self, partition: InputPartition) -> Iterator:
+        """The file in pieces of whole transactions, each a batch of its own, so that no batch grows with the file."""
+        import pyarrow as pa
         from pyarrow import fs
 
+        from .pgoutput import pieces
+
         lsn, path = partition.value
         uri = self.path if re.match(r"[a-z0-9+.-]+:", self.path) else f"file://{self.path}"
         where, _ = fs.FileSystem.from_uri(uri)
         with where.open_input_file(path) as f:
-            yield lsn, f.read()
+            for piece in pieces(f):
+                yield pa.RecordBatch.from_arrays([pa.array([lsn], pa.int64()), pa.array([piece], pa.binary())], ["lsn", "content"])
 
 
 class ReplicationSource(DataSource):

@@ -322,6 +322,31 @@ def test_decoded_batches_are_bounded():
     assert max(b.nbytes for b in batches) < 8 << 20
 
 
+def test_followed_files_come_in_pieces(spark, tmp_path):
+    """A large message file is read in batches of whole transactions, not as one."""
+    from tesselar.sources import replication
+
+    r = pgoutput.relation(pgoutput.Relation(5, "public", "t", "d", ((True, "id", 20), (False, "x", 25))))
+    said = lambda lsn, n, x: pgoutput.to_file([(lsn, pgoutput.begin(lsn)), (lsn, r)] + [(lsn, pgoutput.insert(5, [str(i), x])) for i in range(n)] + [(lsn, pgoutput.commit(lsn))])
+    whole = b"".join(said(lsn, 3, "C" * 50_000) for lsn in range(1, 101)) + said(101, 200, "b" * 50_000) + said(102, 1, "")
+    (tmp_path / "102.log").write_bytes(whole)
+    reader = replication._Reader(str(tmp_path), 0)
+    (one,) = reader.partitions({"lsn": 0}, {"lsn": 102})
+    got = list(reader.read(one))
+    assert all(isinstance(b, pa.RecordBatch) and b.num_rows == 1 for b in got)
+    contents = [b.column("content")[0].as_py() for b in got]
+    assert b"".join(contents) == whole and {b.column("lsn")[0].as_py() for b in got} == {102}
+    kinds = [[m[:1] for _, m in pgoutput.from_file(c)] for c in contents]
+    assert all(k[0] == b"B" and k[-1] == b"C" for k in kinds)
+    assert len(got) > 4 and max(map(len, contents)) < len(said(101, 200, "b" * 50_000)) + (8 << 20)
+    spark.dataSource.register(replication.ReplicationSource)
+    out = []
+    files = spark.readStream.format("replication").load(str(tmp_path))
+    put = lambda batch, _: out.append(pgoutput.events(batch, pgoutput.relations_of(batch)).groupBy("lsn").agg(F.count("*"), F.max("seq")).collect())
+    files.writeStream.foreachBatch(put).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(tuple(x) for b in out for x in b) == [*((lsn, 3, 2) for lsn in range(1, 101)), (101, 200, 199), (102, 1, 0)]
+
+
 def test_retry_and_unique(spark):
     waits, calls = [], []
 
