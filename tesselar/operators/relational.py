@@ -139,7 +139,17 @@ sql_query("agg_filter", "orders", "SELECT count(*) FILTER (WHERE o_orderstatus =
 sql_query("agg_rollup", "lineitem", "SELECT l_returnflag, l_linestatus, count(*) AS n, grouping(l_linestatus) AS g FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 sql_query("agg_cube", "lineitem", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 sql_query("agg_grouping_sets", "lineitem", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
-sql_query("agg_approx_distinct", "lineitem", "SELECT abs(approx_count_distinct(l_orderkey, 0.01) - count(DISTINCT l_orderkey)) < 0.05 * count(DISTINCT l_orderkey) AS close FROM lineitem", "SELECT abs(approx_count_distinct(l_orderkey) - count(DISTINCT l_orderkey)) < 0.2 * count(DISTINCT l_orderkey) AS close FROM lineitem")
+
+
+@query("agg_approx_distinct", "SELECT abs(approx_count_distinct(l_orderkey) - count(DISTINCT l_orderkey)) < 0.2 * count(DISTINCT l_orderkey) AS close FROM lineitem")
+def agg_approx_distinct(spark, sf_dir):
+    """The sketch and the exact count are aggregates of their own: in one, Spark keeps and shuffles a sketch of 13 KB for each distinct key."""
+    keys = read(spark, sf_dir, "lineitem").select("l_orderkey")
+    sketch = keys.agg(F.approx_count_distinct("l_orderkey", 0.01).alias("about"))
+    exact = keys.distinct().agg(F.count("l_orderkey").alias("n"))
+    return sketch.crossJoin(exact).selectExpr("abs(about - n) < 0.05 * n AS close")
+
+
 sql_query("agg_approx_percentile", "orders", "SELECT abs(approx_percentile(o_totalprice, 0.5, 10000) - percentile(o_totalprice, 0.5)) < 0.01 * percentile(o_totalprice, 0.5) AS close FROM orders", "SELECT abs(approx_quantile(o_totalprice, 0.5) - quantile_cont(o_totalprice, 0.5)) < 0.05 * quantile_cont(o_totalprice, 0.5) AS close FROM orders")
 sql_query("agg_empty", "lineitem", "SELECT count(*) AS n, sum(l_quantity) AS q, min(l_shipdate) AS d FROM lineitem WHERE l_orderkey < 0")
 sql_query("groupby_ordinal", "orders", "SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2")

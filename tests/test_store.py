@@ -347,6 +347,16 @@ def test_followed_files_come_in_pieces(spark, tmp_path):
     assert sorted(tuple(x) for b in out for x in b) == [*((lsn, 3, 2) for lsn in range(1, 101)), (101, 200, 199), (102, 1, 0)]
 
 
+def test_sketch_is_not_kept_by_key(spark, tmp_path):
+    for name, keys, want in (("some", [*range(5000), *range(3000), None], True), ("none", [None], False)):
+        spark.createDataFrame([(k,) for k in keys], "l_orderkey long").write.parquet(str(tmp_path / name / "lineitem.parquet"))
+        got = relational.agg_approx_distinct(spark, str(tmp_path / name))
+        assert got.columns == ["close"] and rows(got) == [(want,)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    sketches = [x for x in plan.splitlines() if "approx_count_distinct" in x and "Aggregate" in x]
+    assert sketches and all("keys=[]" in x for x in sketches)
+
+
 def test_retry_and_unique(spark):
     waits, calls = [], []
 
